@@ -43,6 +43,15 @@ def template_rows(templates: dict) -> list[tuple[str, list[str]]]:
     return [(name, bigrams(normalised(text))) for name, texts in templates.items() for text in texts]
 
 
+def computed(df: DataFrame, keep: list[str], name: str, value: Column, where: Column) -> DataFrame:
+    """The rows ``where`` holds, with ``value``.
+
+    As a generator's output the value is computed once a row: the optimizer would put the expression of a plain
+    column in place of its name, also within the functions that run for each element of an array.
+    """
+    return df.select(*keep, F.explode(F.when(where, F.array(value))).alias(name))
+
+
 def scan_licenses(documents: DataFrame, templates: dict | None = None, least: float = LEAST_DICE) -> DataFrame:
     """(doc_id, line, license, dice) of every line, and of the whole text as line 0, that is a licence notice.
 
@@ -63,18 +72,18 @@ def scan_licenses(documents: DataFrame, templates: dict | None = None, least: fl
     found = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.posexplode(units).alias("line", "unit"))
     # A word takes two characters with its separator.
     found = found.filter(F.length("unit") >= 2 * int(fewest))
-    found = found.select("doc_id", "line", F.filter(F.split(F.regexp_replace(F.lower("unit"), "[^a-z0-9]+", " "), " "), lambda w: w != "").alias("words"))
-    found = found.filter(F.size("words") - 1 >= fewest)
-    pairs = F.when(F.size("words") >= 2, F.transform(F.sequence(F.lit(0), F.size("words") - 2), lambda i: F.concat(F.get("words", i), F.lit(" "), F.get("words", i + 1))))
-    found = found.filter(F.size("words") >= 2).select("doc_id", "line", F.array_distinct(pairs).alias("grams"))
-    found = found.filter(F.size("grams").between(fewest, largest))
+    words = F.filter(F.split(F.regexp_replace(F.lower("unit"), "[^a-z0-9]+", " "), " "), lambda w: w != "")
+    found = computed(found, ["doc_id", "line"], "words", words, F.lit(True))
+    pairs = F.transform(F.sequence(F.lit(0), F.size("words") - 2), lambda i: F.concat(F.get("words", i), F.lit(" "), F.get("words", i + 1)))
+    found = computed(found, ["doc_id", "line"], "grams", F.array_distinct(pairs), (F.size("words") >= 2) & (F.size("words") - 1 >= fewest))
 
     def dice(t: Column) -> Column:
         return F.round(2.0 * F.size(F.array_intersect("grams", t["grams"])) / (F.size("grams") + t["size"]), 9)
 
     able = F.filter(known, lambda t: 2.0 * F.least(t["size"], F.size("grams")) >= least * (t["size"] + F.size("grams")))
     best = F.array_max(F.transform(able, lambda t: F.struct(dice(t).alias("dice"), t["name"].alias("name"))))
-    return found.withColumn("best", best).filter(F.col("best.dice") >= least).select("doc_id", "line", F.col("best.name").alias("license"), F.col("best.dice").alias("dice"))
+    found = computed(found, ["doc_id", "line"], "best", best, F.size("grams").between(fewest, largest))
+    return found.filter(F.col("best.dice") >= least).select("doc_id", "line", F.col("best.name").alias("license"), F.col("best.dice").alias("dice"))
 
 
 def scan_sql(table: str = "documents", least: float = LEAST_DICE) -> str:
