@@ -1,4 +1,302 @@
-"""The queries of the cache-workload operators and their SQL."""
+"""The queries of the cache-workload operators over the driver's tables, and the same in DuckDB SQL."""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from ..config import AdmissionConfig, CacheConfig, DbConfig, EvictionConfig
+from ..functions.keys import key_hash, key_hash_sql, mix64, mix64_sql, next_pow2, shard_of
+from ..functions.scalars import expired, expiry_probability, fmt_mem, payload_equal, weight
+from ..operators import admission, lifetime, replay, storage, telemetry
+from ..sources.tables import document_entries, event_log, table
+from ..streaming.ttl import drain_ttl_stream
+
+TTL_US = 6 * 3600 * 1_000_000
+NOW = "2024-01-31 00:00:00"
+NOW_US = 1_706_659_200_000_000
+ADMISSION = AdmissionConfig()
+DAY_US = 86_400_000_000
 
 QUERIES: dict = {}
 ORACLES: dict = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+LOG = "log AS (SELECT user_id AS key, epoch_us(ts) AS ts_us, event_id, 56 + octet_length(encode(coalesce(props, ''))) AS weight, event_type AS op FROM events)"
+USERS = f"users AS (SELECT user_id AS key, {key_hash_sql('user_id')} & 1023 AS shard, max(epoch_us(ts)) AS touched, count(*) AS n FROM events GROUP BY user_id)"
+DOCS = f"docs AS (SELECT doc_id AS key, ({key_hash_sql('doc_id')} & 1023)::INT AS shard, (56 + octet_length(encode(coalesce(text, ''))))::BIGINT AS weight, doc_id AS touched FROM documents)"
+
+
+def users(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entries (key, shard, touched): a user's last access."""
+    log = event_log(spark, sf_dir)
+    return log.groupBy("key").agg(F.max("ts_us").alias("touched")).withColumn("shard", shard_of(key_hash(F.col("key"))))
+
+
+@query(f"WITH {LOG}, c AS (SELECT key, row_number() OVER (PARTITION BY key ORDER BY ts_us, event_id) = 1 AS miss FROM log) SELECT ({key_hash_sql('key')} & 1023)::INT AS shard, count(*) FILTER (NOT miss) AS hits, count(*) FILTER (miss) AS misses FROM c GROUP BY 1")
+def get_hit_miss(spark, sf_dir):
+    rows = storage.classify_hits(event_log(spark, sf_dir))
+    return rows.groupBy(shard_of(key_hash(F.col("key"))).alias("shard")).agg(F.count_if(F.col("outcome") == "hit").alias("hits"), F.count_if(F.col("outcome") == "miss").alias("misses"))
+
+
+@query("SELECT e.event_id, e.user_id AS key, coalesce(c.c_name, 'loaded-' || e.user_id) AS payload, CASE WHEN c.c_custkey IS NULL THEN 'miss_admitted' ELSE 'hit' END AS outcome FROM events e LEFT JOIN customer c ON c.c_custkey = e.user_id AND c.c_custkey % 3 = 0")
+def get_or_compute_join(spark, sf_dir):
+    seed = table(spark, sf_dir, "customer").filter("c_custkey % 3 = 0").select(F.col("c_custkey").cast("long").alias("key"), F.col("c_name").alias("payload"))
+    requests = table(spark, sf_dir, "events").select("event_id", F.col("user_id").alias("key"))
+    answers, _ = storage.get_or_compute(requests, seed, lambda missing: missing.withColumn("payload", F.concat(F.lit("loaded-"), F.col("key").cast("string"))))
+    return answers.select("event_id", "key", "payload", "outcome")
+
+
+@query(f"WITH {DOCS} SELECT shard, count(*) AS len, sum(weight)::BIGINT AS mem FROM docs WHERE key NOT IN (SELECT user_id FROM events WHERE event_type = 'error') GROUP BY shard")
+def del_anti(spark, sf_dir):
+    gone = event_log(spark, sf_dir).filter("op = 'error'").select("key").distinct()
+    return storage.shard_stats(storage.delete_keys(document_entries(spark, sf_dir), gone))
+
+
+@query(f"WITH {DOCS} SELECT shard, count(*) AS len, sum(weight)::BIGINT AS mem FROM docs GROUP BY shard")
+def shard_stats(spark, sf_dir):
+    return storage.shard_stats(document_entries(spark, sf_dir))
+
+
+def line_writes(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem")
+    return rows.select(F.col("l_partkey").alias("key"), F.struct("l_shipdate", "l_orderkey", "l_linenumber").alias("seq"), F.floor(F.col("l_quantity")).cast("long").alias("weight"), "l_orderkey", "l_linenumber")
+
+
+@query("SELECT l_partkey AS key, arg_max(floor(l_quantity)::BIGINT, (l_shipdate, l_orderkey, l_linenumber)) AS weight FROM lineitem GROUP BY l_partkey")
+def upsert_last_wins(spark, sf_dir):
+    return storage.last_wins(line_writes(spark, sf_dir), "weight")
+
+
+@query("WITH w AS (SELECT l_partkey AS key, l_orderkey, l_linenumber, floor(l_quantity)::BIGINT AS weight, lag(floor(l_quantity)::BIGINT) OVER (PARTITION BY l_partkey ORDER BY l_shipdate, l_orderkey, l_linenumber) AS before FROM lineitem) SELECT key, l_orderkey, l_linenumber, (before IS NULL)::INT AS len_delta, (weight - coalesce(before, 0))::BIGINT AS bytes_delta FROM w")
+def set_deltas(spark, sf_dir):
+    return storage.write_deltas(line_writes(spark, sf_dir)).select("key", "l_orderkey", "l_linenumber", "len_delta", "bytes_delta")
+
+
+@query(f"WITH {USERS} SELECT key, shard::INT AS shard, touched, row_number() OVER (PARTITION BY shard ORDER BY touched, key)::INT AS lru_rank FROM users")
+def lru_rank(spark, sf_dir):
+    return storage.lru_rank(users(spark, sf_dir)).select("key", "shard", "touched", "lru_rank")
+
+
+@query(f"WITH {DOCS}, r AS (SELECT *, row_number() OVER (PARTITION BY shard ORDER BY touched, key) AS p FROM docs), m AS (SELECT *, row_number() OVER (PARTITION BY shard ORDER BY p) AS q FROM r WHERE p <= 3 AND weight > 2000) SELECT key, shard, weight FROM m WHERE q = 1")
+def lru_peek_tail_k(spark, sf_dir):
+    return storage.peek(document_entries(spark, sf_dir), 3, where=F.col("weight") > 2000).select("key", "shard", "weight")
+
+
+@query(f"WITH {DOCS}, r AS (SELECT *, row_number() OVER (PARTITION BY shard ORDER BY touched DESC, key DESC) AS p FROM docs) SELECT key, shard, weight FROM r WHERE p = 1")
+def lru_peek_head(spark, sf_dir):
+    return storage.peek(document_entries(spark, sf_dir), 1, most_recent=True).select("key", "shard", "weight")
+
+
+@query(f"WITH {DOCS}, r AS (SELECT *, row_number() OVER (PARTITION BY shard ORDER BY touched, key) AS p FROM docs) SELECT key, shard FROM r WHERE p > 1")
+def lru_pop_tail(spark, sf_dir):
+    return storage.pop_tail(document_entries(spark, sf_dir)).select("key", "shard")
+
+
+@query(f"WITH {DOCS} SELECT key, shard, touched FROM docs WHERE (shard - 1020 + 1024) % 1024 < 8 ORDER BY touched, (shard - 1020 + 1024) % 1024, key LIMIT 1")
+def victim_by_list(spark, sf_dir):
+    return storage.victim_by_list(document_entries(spark, sf_dir), 1020)
+
+
+@query(f"WITH {DOCS} SELECT key, shard, touched FROM docs ORDER BY touched, key LIMIT 1")
+def victim_global(spark, sf_dir):
+    return storage.victim_by_list(document_entries(spark, sf_dir), 0, probes=1024)
+
+
+@query()
+def victim_by_sample(spark, sf_dir):
+    return storage.victim_by_sample(document_entries(spark, sf_dir), 1, 64, 8, seed=1)
+
+
+@query(f"WITH {DOCS}, r AS (SELECT *, row_number() OVER (PARTITION BY shard ORDER BY touched, key) AS lru_rank, (shard - 1 + 1024) % 1024 AS turn FROM docs), s AS (SELECT *, coalesce(sum(weight) OVER (ORDER BY lru_rank, turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS freed_before, sum(weight) OVER () AS total FROM r) SELECT key, shard, weight, freed_before FROM s WHERE total - freed_before > 1000000")
+def evict_until_limit(spark, sf_dir):
+    return storage.evict_until(document_entries(spark, sf_dir), 1_000_000).select("key", "shard", "weight", "freed_before")
+
+
+@query(f"WITH {DOCS}, s AS (SELECT *, coalesce(sum(weight) OVER (ORDER BY touched, key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS freed_before, sum(weight) OVER () AS total FROM docs) SELECT key, weight, freed_before FROM s WHERE total - freed_before > 1000000")
+def evict_oldest_until_limit(spark, sf_dir):
+    return storage.evict_oldest_until(document_entries(spark, sf_dir), 1_000_000).select("key", "weight", "freed_before")
+
+
+DISTANCES = f"""{LOG}, r AS (SELECT *, ts_us // {DAY_US} AS period, row_number() OVER (PARTITION BY ts_us // {DAY_US} ORDER BY ts_us, event_id) AS pos FROM log),
+    l AS (SELECT *, lag(pos) OVER (PARTITION BY period, key ORDER BY pos) AS prev FROM r),
+    d AS (SELECT a.event_id, a.key, (SELECT count(DISTINCT b.key) FROM l b WHERE b.period = a.period AND b.pos > a.prev AND b.pos < a.pos) AS distance FROM l a WHERE a.prev IS NOT NULL)"""
+
+
+@query(f"WITH {DISTANCES} SELECT event_id, key, distance FROM d")
+def lru_reuse_distance(spark, sf_dir):
+    rows = storage.reuse_distance(event_log(spark, sf_dir), F.floor(F.col("ts_us") / DAY_US))
+    return rows.select(F.col("seq.id").alias("event_id"), "key", "distance")
+
+
+@query(f"WITH {DISTANCES} SELECT c.capacity, count(*) FILTER (distance < capacity) AS hits FROM d, (SELECT unnest([5, 10, 20, 50]) AS capacity) c GROUP BY c.capacity")
+def lru_hit_by_capacity(spark, sf_dir):
+    rows = storage.reuse_distance(event_log(spark, sf_dir), F.floor(F.col("ts_us") / DAY_US)).groupBy("distance").agg(F.count("*").alias("n"))
+    sizes = rows.withColumn("capacity", F.explode(F.array(*[F.lit(c) for c in (5, 10, 20, 50)])))
+    return sizes.groupBy("capacity").agg(F.sum(F.when(F.col("distance") < F.col("capacity"), F.col("n")).otherwise(0)).alias("hits"))
+
+
+@query(f"SELECT event_id, ({NOW_US} - epoch_us(ts) > 3600000000 * (1 + user_id % 800)) AS expired FROM events")
+def expired_deterministic(spark, sf_dir):
+    log = event_log(spark, sf_dir)
+    return log.select("event_id", expired(F.lit(NOW_US), F.col("ts_us"), F.lit(3_600_000_000) * (1 + F.col("key") % 800)).alias("expired"))
+
+
+@query(f"SELECT event_id, CASE WHEN {NOW_US} - epoch_us(ts) >= {12 * DAY_US} THEN round(1 - exp(-0.5::DOUBLE * ({NOW_US} - epoch_us(ts))::DOUBLE / {24 * DAY_US}), 9) ELSE 0.0::DOUBLE END AS probability FROM events")
+def expire_probability(spark, sf_dir):
+    log = event_log(spark, sf_dir)
+    return log.select("event_id", F.round(expiry_probability(F.lit(NOW_US), F.col("ts_us"), F.lit(24 * DAY_US), 0.5, 0.5), 9).alias("probability"))
+
+
+@query(f"""WITH RECURSIVE {LOG}, o AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY ts_us, event_id) AS n FROM log),
+    f AS (SELECT key, event_id, ts_us, n, ts_us AS anchor, 'miss' AS outcome FROM o WHERE n = 1
+    UNION ALL SELECT o.key, o.event_id, o.ts_us, o.n, CASE WHEN o.ts_us - f.anchor > {TTL_US} THEN o.ts_us ELSE f.anchor END, CASE WHEN o.ts_us - f.anchor > {TTL_US} THEN 'miss' ELSE 'hit' END FROM f JOIN o ON o.key = f.key AND o.n = f.n + 1)
+    SELECT key, event_id, ts_us, outcome FROM f""")
+def ttl_fold(spark, sf_dir):
+    return lifetime.ttl_fold(event_log(spark, sf_dir), TTL_US)
+
+
+@query("WITH d AS (SELECT user_id AS key, epoch_us(ts) AS updated_us, event_id, epoch_us(date_trunc('hour', ts)) AS due_us FROM events), r AS (SELECT *, row_number() OVER (PARTITION BY due_us ORDER BY updated_us, key)::INT AS place FROM d) SELECT key, event_id, place FROM r WHERE place <= 3")
+def refresh_pick_oldest(spark, sf_dir):
+    log = event_log(spark, sf_dir)
+    hour = 3_600_000_000
+    due = log.select("key", "event_id", F.col("ts_us").alias("updated_us"), (F.floor(F.col("ts_us") / hour) * hour).alias("due_us"))
+    return lifetime.refresh_picks(due, 3).select("key", "event_id", "place")
+
+
+def hashed_log(spark, sf_dir):
+    return event_log(spark, sf_dir).withColumn("key_hash", key_hash(F.col("key")))
+
+
+def spots(h: str, count: int, size: int) -> str:
+    """DuckDB list of the positions of a hash, nested by unrolled mixing of a UBIGINT."""
+    chain = f"[{h}::UBIGINT]"
+    for _ in range(count - 1):
+        chain = f"list_transform([{chain}], lambda a: list_append(a, {mix64_sql('a[-1]')}))[1]"
+    return f"list_transform({chain}, lambda p: (p & {size - 1})::BIGINT)"
+
+
+SEEN = f"""{LOG}, keys AS (SELECT DISTINCT key, {key_hash_sql('key')} AS h FROM log),
+    bits AS (SELECT key, h, h & {ADMISSION.shards - 1} AS shard, unnest(list_distinct({spots('h', 3, ADMISSION.door_len)})) AS bit FROM keys),
+    firsts AS (SELECT shard, bit, min((ts_us, event_id)) AS first FROM bits JOIN log USING (key) GROUP BY shard, bit),
+    known AS (SELECT key, h, shard, max(first) AS all_set FROM bits JOIN firsts USING (shard, bit) GROUP BY key, h, shard),
+    seen AS (SELECT log.*, h, shard, all_set < (ts_us, event_id) AS seen FROM log JOIN known USING (key))"""
+INCS = f"""{SEEN}, ord AS (SELECT key, h, shard, ((row_number() OVER (PARTITION BY shard ORDER BY ts_us, event_id) - 1) // {ADMISSION.reset_at})::INT AS epoch FROM seen WHERE seen),
+    kidx AS (SELECT key, unnest({spots('h', 4, ADMISSION.table_len)}) AS idx FROM keys),
+    incs AS (SELECT shard, idx, epoch, count(*) AS n FROM ord JOIN kidx USING (key) GROUP BY shard, idx, epoch)"""
+COUNTERS = f"""{INCS}, lasts AS (SELECT shard, max(epoch) AS last FROM incs GROUP BY shard), slots AS (SELECT DISTINCT shard, idx FROM incs),
+    fold AS (SELECT s.shard, s.idx, 0 AS epoch, least(15, coalesce(n, 0)) AS c FROM slots s LEFT JOIN incs i ON i.shard = s.shard AND i.idx = s.idx AND i.epoch = 0
+    UNION ALL SELECT f.shard, f.idx, f.epoch + 1, least(15, f.c // 2 + coalesce(i.n, 0)) FROM fold f JOIN lasts l ON l.shard = f.shard AND f.epoch < l.last LEFT JOIN incs i ON i.shard = f.shard AND i.idx = f.idx AND i.epoch = f.epoch + 1),
+    counters AS (SELECT f.shard, f.idx, f.c FROM fold f JOIN lasts l ON l.shard = f.shard AND l.last = f.epoch),
+    est AS (SELECT key, h, min(coalesce(c, 0)) AS estimate FROM keys JOIN kidx USING (key) LEFT JOIN counters k ON k.shard = h & {ADMISSION.shards - 1} AND k.idx = kidx.idx GROUP BY key, h)"""
+
+
+@query(f"WITH {SEEN} SELECT event_id, shard::INT AS shard, seen FROM seen")
+def doorkeeper_seen(spark, sf_dir):
+    return admission.doorkeeper(hashed_log(spark, sf_dir), ADMISSION).select("event_id", "shard", "seen")
+
+
+@query(f"WITH {INCS}, counters AS (SELECT shard, idx, least(15, sum(n)) AS c FROM incs GROUP BY shard, idx) SELECT h AS key_hash, min(coalesce(c, 0))::INT AS estimate FROM keys JOIN kidx USING (key) LEFT JOIN counters k ON k.shard = h & {ADMISSION.shards - 1} AND k.idx = kidx.idx GROUP BY h")
+def sketch_estimate(spark, sf_dir):
+    log = hashed_log(spark, sf_dir)
+    return admission.estimates(log, admission.counters(log, ADMISSION, aging=False), ADMISSION)
+
+
+@query(f"WITH RECURSIVE {COUNTERS} SELECT shard::INT AS shard, idx, c::INT AS counter FROM counters")
+def sketch_aged(spark, sf_dir):
+    return admission.counters(hashed_log(spark, sf_dir), ADMISSION)
+
+
+@query(f"WITH RECURSIVE {COUNTERS}, v AS (SELECT h, estimate FROM est ORDER BY key LIMIT 1) SELECT est.h AS candidate, v.h AS victim, est.estimate::INT AS candidate_freq, v.estimate::INT AS victim_freq, (est.h = v.h OR est.estimate > v.estimate) AS allow FROM est, v")
+def admission_allow(spark, sf_dir):
+    log = hashed_log(spark, sf_dir)
+    victim = log.agg(F.min_by("key_hash", "key").alias("victim"))
+    pairs = log.select(F.col("key_hash").alias("candidate")).distinct().crossJoin(F.broadcast(victim))  # one row
+    return admission.allow(pairs, log, ADMISSION).select("candidate", "victim", "candidate_freq", "victim_freq", "allow")
+
+
+@query("SELECT l_partkey AS key, count(*) AS n FROM lineitem GROUP BY l_partkey ORDER BY n DESC, key LIMIT 20")
+def hot_keys(spark, sf_dir):
+    return table(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").alias("key")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "key").limit(20)
+
+
+def fmt_sql(x: str) -> str:
+    units = ["B", "KB", "MB", "GB", "TB"]
+    return "CASE " + " ".join(f"WHEN {x} >= {1 << 10 * k} THEN ({x} // {1 << 10 * k}) || '{units[k]} ' || (({x} % {1 << 10 * k}) // {1 << 10 * (k - 1)}) || '{units[k - 1]}'" for k in range(4, 0, -1)) + f" ELSE {x} || 'B' END"
+
+
+SIZES = "(o_orderkey * o_orderkey * o_custkey)"
+
+
+@query(f"SELECT o_orderkey, {fmt_sql(SIZES)} AS size FROM orders")
+def fmt_mem_sizes(spark, sf_dir):
+    rows = table(spark, sf_dir, "orders")
+    return rows.select("o_orderkey", fmt_mem(F.col("o_orderkey") * F.col("o_orderkey") * F.col("o_custkey")).alias("size"))
+
+
+@query("SELECT o_orderkey, (CASE WHEN o_custkey <= 1 THEN 1 ELSE 1::BIGINT << length(bin(o_custkey - 1)) END)::BIGINT AS pow2 FROM orders")
+def next_pow2_sizes(spark, sf_dir):
+    return table(spark, sf_dir, "orders").select("o_orderkey", next_pow2(F.col("o_custkey")).cast("long").alias("pow2"))
+
+
+@query(f"SELECT o_orderkey, ({mix64_sql('o_orderkey::UBIGINT')} >> 1)::BIGINT AS mixed FROM orders")
+def mix64_keys(spark, sf_dir):
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.shiftrightunsigned(mix64(F.col("o_orderkey")), 1).alias("mixed"))
+
+
+@query("WITH d AS (SELECT doc_id, text, lag(text) OVER (PARTITION BY source ORDER BY doc_id) AS other FROM documents) SELECT doc_id, text IS NOT DISTINCT FROM other AS same FROM d")
+def payload_equal_neighbours(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    other = F.lag("text").over(Window.partitionBy("source").orderBy("doc_id"))
+    return docs.withColumn("other", other).select("doc_id", payload_equal(F.col("text"), F.col("other")).alias("same"))
+
+
+@query(f"WITH {DOCS} SELECT key, weight FROM docs")
+def entry_weight(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("key"), weight(F.col("text")).alias("weight"))
+
+
+INTERVALS = f"{LOG}, c AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY ts_us, event_id) = 1 AS miss FROM log), w AS (SELECT ts_us // {DAY_US} AS interval, count(*) FILTER (NOT miss) AS hits, count(*) FILTER (miss) AS misses, coalesce(sum(weight) FILTER (miss), 0)::BIGINT AS bytes_loaded FROM c GROUP BY 1)"
+
+
+@query(f"WITH {INTERVALS} SELECT interval, hits, misses, bytes_loaded FROM w")
+def telemetry_window(spark, sf_dir):
+    return telemetry.interval_counts(storage.classify_hits(event_log(spark, sf_dir)), DAY_US)
+
+
+@query(f"WITH {INTERVALS}, x AS (SELECT interval, hits, lag(hits) OVER (ORDER BY interval) AS before FROM w) SELECT interval, hits, CASE WHEN before IS NULL OR hits < before THEN hits ELSE hits - before END AS hits_delta FROM x")
+def telemetry_delta(spark, sf_dir):
+    rows = telemetry.interval_counts(storage.classify_hits(event_log(spark, sf_dir)), DAY_US)
+    return telemetry.counter_deltas(rows.select("interval", "hits"), "interval", ["hits"])
+
+
+REPLAY = CacheConfig(db=DbConfig(size_bytes=4096), admission=ADMISSION, eviction=EvictionConfig())
+
+
+@query()
+def replay_full(spark, sf_dir):
+    return replay.replay(hashed_log(spark, sf_dir), REPLAY, groups=1)
+
+
+@query()
+def replay_sharded(spark, sf_dir):
+    return replay.replay(hashed_log(spark, sf_dir), REPLAY, groups=16, compat=True)
+
+
+@query(ORACLES["ttl_fold"])
+def stream_replay(spark, sf_dir):
+    root = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
+    return drain_ttl_stream(spark, sf_dir, TTL_US, f"{root.rstrip('/')}/ttl-{uuid.uuid4().hex}")

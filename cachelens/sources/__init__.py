@@ -1,0 +1 @@
+"""Readers of the input tables."""
