@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from .sampling import labelled_sample
 from .textops import distinct_sets, ngram_hashes, slices, strings, word_hashes
 
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 2 << 20
 CONTENT, SOURCES = 2048, 64
 #: The classifiers are fitted on at most so many labelled rows of either class and unlabelled rows (bounded sample).
 ROWS_PER_CLASS, UNLABELLED = 2048, 4096

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from .sampling import held_out, labelled_sample
 from .textops import U64, distinct_sets, mix64, slices, strings, sums, word_hashes
 
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 2 << 20
 #: Features are hashed to so many bits; the weights of them can't be more.
 HASH_BITS = 20
 #: The classifier is fitted on at most so many labelled rows of either class (bounded sample).
@@ -76,7 +76,7 @@ def fit_task(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
     """One row with the model; examples go in hashed order of their ids."""
     rows = rows.sort_values(["place", "doc_id"], kind="stable")
     labels = rows["label"].to_numpy().astype(float)
-    found = [np.frombuffer(x, np.uint32).astype(np.int64) for x in rows["found"]]
+    found = [np.frombuffer(x, np.uint32) for x in rows["found"]]
     at, w, bias = fit_ftrl(found, labels, np.where(labels > 0, TOXIC_WEIGHT, CLEAN_WEIGHT))
     return pd.DataFrame({"at": [at.astype(np.uint32).tobytes()], "weights": [w.astype(np.float32).tobytes()], "bias": [bias]})
 
