@@ -31,9 +31,9 @@ def target_means(documents: DataFrame, targets: DataFrame | None, temperature: f
     else:
         named = targets.select(F.col("source").alias("named"), F.col("weight").cast("double"))
         weighted = counts.join(named, F.col("source").eqNullSafe(F.col("named")), "left").select("source", "rows", F.coalesce("weight", F.lit(0.0)).alias("weight"))
-    sums = weighted.agg(F.sum("rows").alias("all_rows"), F.sum(F.col("weight")).alias("all_weight"))
-    mean = F.col("weight") / F.col("all_weight") * (F.lit(total) if total is not None else F.col("all_rows")) / F.col("rows")
-    means = weighted.crossJoin(F.broadcast(sums)).select("source", mean.alias("mean"))  # one row of sums
+    all_rows, all_weight = weighted.agg(F.sum("rows"), F.sum("weight")).first()
+    mean = F.col("weight") / F.lit(all_weight or 1.0) * F.lit(float(total if total is not None else all_rows or 0)) / F.col("rows")
+    means = weighted.select("source", mean.alias("mean"))
     pieces = F.ceil(F.col("mean") / PIECE_MEAN).cast("int")
     means = means.select("source", pieces.alias("pieces"), (F.col("mean") / F.greatest(pieces, F.lit(1))).alias("piece_mean"))
     steps = F.sequence(F.lit(1), F.lit(TERMS))
