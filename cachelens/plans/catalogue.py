@@ -223,8 +223,8 @@ def sketch_aged(spark, sf_dir):
 @query(f"WITH RECURSIVE {COUNTERS}, v AS (SELECT h, estimate FROM est ORDER BY key LIMIT 1) SELECT est.h AS candidate, v.h AS victim, est.estimate::INT AS candidate_freq, v.estimate::INT AS victim_freq, (est.h = v.h OR est.estimate > v.estimate) AS allow FROM est, v")
 def admission_allow(spark, sf_dir):
     log = hashed_log(spark, sf_dir)
-    victim = log.agg(F.min_by("key_hash", "key").alias("victim"))
-    pairs = log.select(F.col("key_hash").alias("candidate")).distinct().crossJoin(F.broadcast(victim))  # one row
+    victim = log.agg(F.min_by("key_hash", "key")).first()[0]
+    pairs = log.select(F.col("key_hash").alias("candidate")).distinct().withColumn("victim", F.lit(victim).cast("long"))
     return admission.allow(pairs, log, ADMISSION).select("candidate", "victim", "candidate_freq", "victim_freq", "allow")
 
 
