@@ -21,10 +21,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import work_dir
+from .base import stored, work_dir
 
-#: Payload that goes to one file. A file is read by one task at a time.
-FILE_BYTES = 4 << 20
+#: Records of a file. A file is read by one task at a time.
+FILE_RECORDS = 1000
 CRLF = "\r\n"
 VERSION = b"WARC/1."
 GZIP = b"\x1f\x8b\x08"
@@ -44,7 +44,7 @@ def one_line(col: Column) -> Column:
 
 
 def warc_records(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
-    """(page_id, size, record) for ``pages`` (page_id, url, html): the text of each WARC record, without its end.
+    """(page_id, record) for ``pages`` (page_id, url, html): the text of each WARC record, without its end.
 
     Of pages with equal payloads of at least ``least_bytes`` bytes the smallest page_id is the response. Rows
     with that same page_id and payload are all responses. A null html is empty, a null url has no target. A null
@@ -53,9 +53,11 @@ def warc_records(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
     meta = rows.select("page_id", F.octet_length("html").alias("size"), F.sha1(F.col("html").cast("binary")).alias("sha1")).filter(F.col("size") >= least_bytes)
     first = meta.groupBy("sha1").agg(F.min("page_id").alias("first"), F.count("*").alias("rows")).filter("rows > 1 AND first IS NOT NULL").drop("rows")
-    # Only repeated payloads are joined again, and only their ids and digests.
-    later = meta.join(first, "sha1").filter(~F.col("page_id").eqNullSafe(F.col("first"))).select(F.col("page_id").alias("later"), F.col("sha1").alias("later_sha1"), "first").distinct()
-    rows = rows.withColumn("sha1", F.sha1(F.col("html").cast("binary"))).join(later, F.col("page_id").eqNullSafe(F.col("later")) & (F.col("sha1") == F.col("later_sha1")), "left")
+    # Only ids and hashed digests of repeated payloads meet the pages again. They are written first, so that the
+    # planner knows their size: up to the broadcast threshold the pages needn't be shuffled.
+    tag = F.xxhash64("sha1")
+    later = stored(meta.join(first, "sha1").filter(~F.col("page_id").eqNullSafe(F.col("first"))).select(F.col("page_id").alias("later"), tag.alias("tag"), "first").distinct(), "revisits")
+    rows = rows.withColumn("sha1", F.sha1(F.col("html").cast("binary"))).join(later, F.col("page_id").eqNullSafe(F.col("later")) & (tag == F.col("tag")), "left")
     size = F.octet_length("html").cast("string")
     digest = F.concat(F.lit("sha1:"), base32_of_hex(F.col("sha1")))
     revisit = F.col("first").isNotNull()
@@ -75,16 +77,12 @@ def warc_records(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
         header("WARC-Profile", F.when(revisit, F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"))),
         header("Content-Type", F.lit("application/http;msgtype=response")), header("Content-Length", F.octet_length(block).cast("string")), F.lit(CRLF),
     )
-    return rows.select("page_id", F.octet_length("html").alias("size"), F.concat(head, block).alias("record"))
+    return rows.select("page_id", F.concat(head, block).alias("record"))
 
 
 def write_warc(pages: DataFrame, path: str, least_bytes: int = 0) -> None:
-    """Writes ``pages`` as WARC files of about FILE_BYTES below ``path``; records go to files by hash."""
-    records = warc_records(pages, least_bytes)
-    total = pages.agg(F.coalesce(F.sum(F.octet_length("html")), F.lit(0)) + 400 * F.count("*")).first()[0]
-    files = max(1, -(-int(total) // FILE_BYTES))
-    dealt = records.repartition(files, F.xxhash64("page_id", F.length("record")))
-    dealt.select("record").write.option("lineSep", CRLF + CRLF).text(path)
+    """Writes ``pages`` as WARC files of at most FILE_RECORDS records below ``path``, each task its own."""
+    warc_records(pages, least_bytes).select("record").write.option("lineSep", CRLF + CRLF).option("maxRecordsPerFile", FILE_RECORDS).text(path)
 
 
 def header_end(data: bytes, at: int) -> int:
