@@ -17,9 +17,10 @@ class SetTrie:
         self.tokens, self.sizes = tokens, np.asarray(sizes, np.int64)
         keys = [s.astype(">i4").tobytes() for s in sets]
         order = sorted(range(len(sets)), key=keys.__getitem__)
-        parent, begin, depth, segment, member = [-1], [0], [0], [], []
+        del keys
+        parent, begin, depth, pieces, member = [-1], [0], [0], [], []
         stack = [0]  # nodes from the root to the set before
-        starts, before = [0], np.zeros(0, np.int64)
+        before, stored = np.zeros(0, np.int32), 0
         ends = [0]
         for i in order:
             s = sets[i]
@@ -39,17 +40,17 @@ class SetTrie:
                     stack.append(len(parent) - 1)
             if len(s) > depth[stack[-1]]:
                 parent.append(stack[-1])
-                begin.append(len(segment))
-                segment.extend(s[depth[stack[-1]] :].tolist())
-                ends.append(len(segment))
+                begin.append(stored)
+                pieces.append(s[depth[stack[-1]] :])
+                stored += len(pieces[-1])
+                ends.append(stored)
                 depth.append(len(s))
                 stack.append(len(parent) - 1)
             member.append((i, stack[-1]))
             before = s
-        del starts
         self.parent = np.array(parent)
         self.begin, self.end, self.depth = np.array(begin), np.array(ends), np.array(depth)
-        self.segment = np.array(segment, np.int64)
+        self.segment = np.concatenate([np.zeros(0, np.int32), *pieces])
         self.level = np.zeros(len(parent), np.int64)
         by_depth = np.argsort(self.depth, kind="stable")
         for node in by_depth.tolist():
@@ -76,9 +77,9 @@ class SetTrie:
         """Sets with 100 * common >= percent * union, the query's own included if it is stored."""
         has = np.zeros(self.tokens, bool)
         has[query] = True
-        seen = np.concatenate([[0], np.cumsum(has[self.segment])])
+        seen = np.concatenate([[0], np.cumsum(has[self.segment], dtype=np.int32)])
         own = seen[self.end] - seen[self.begin]
-        upto = np.concatenate([[0], np.cumsum(has)])
+        upto = np.concatenate([[0], np.cumsum(has, dtype=np.int32)])
         left = len(query) - upto[self.last + 1]  # of the query, behind the node's last token
         common = np.zeros(len(own), np.int64)
         alive = np.zeros(len(own), bool)
@@ -106,11 +107,12 @@ def linked_groups(sets: list[np.ndarray], sizes: np.ndarray, first: int, percent
     if len(sets) < 2:
         return root
     every, back, df = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    rank = np.empty(len(every), np.int64)
-    rank[np.lexsort((every, -df))] = np.arange(len(every))  # common tokens first, so that many sets share a beginning
+    rank = np.empty(len(every), np.int32)
+    rank[np.argsort(-df, kind="stable")] = np.arange(len(every), dtype=np.int32)  # common tokens first, so that many sets share a beginning
     cuts = np.cumsum([len(s) for s in sets])[:-1]
-    sets = [np.sort(x) for x in np.split(rank[back], cuts)]
-    trie = SetTrie(sets, sizes, len(every))
+    sets, count = [np.sort(x) for x in np.split(rank[back], cuts)], len(every)
+    del every, back, df, rank
+    trie = SetTrie(sets, sizes, count)
     queue = [first, *(i for i in range(len(sets)) if i != first)] if asked is None else np.flatnonzero(asked).tolist()
     for i in queue:
         if asked is None and i != first and root[i] == root[first]:
