@@ -31,6 +31,8 @@ from .trie import linked_groups
 SLICE_BYTES = 8 << 20
 #: n-grams in at least one of so many sets are known to all tasks: at most HEAVY_SHARE times the mean set size of them.
 HEAVY_SHARE = 512
+#: Partitions that blocks are dealt to grow with the blocks up to this many; from there on a task has several.
+MOST_PARTITIONS = 20_000
 #: Tokens of a block, of a family's block in the join, and sets of the latter.
 BLOCK_TOKENS, JOIN_TOKENS, JOIN_SETS = 2_000_000, 4_000_000, 8192
 
@@ -276,9 +278,10 @@ def ngram_jaccard_join(documents: DataFrame, words: int = 5, percent: int = 80,
     heavy = seen.filter("token IS NOT NULL").groupBy("token").agg(F.sum("sets").alias("sets")).filter(F.col("sets") >= least).select("token")
     heavy = np.sort(np.array([r[0] for r in heavy.toLocalIterator()], np.int64).view(U64))  # at most HEAVY_SHARE * tokens / sets
     blocks = max(1, -(-int(tokens) // block_tokens))
-    parts = texts.mapInArrow(pack_task(words, heavy, blocks), "block long, data binary")
+    tasks = min(max(8, 2 * blocks), MOST_PARTITIONS)
+    parts = texts.mapInArrow(pack_task(words, heavy, blocks), "block long, data binary").repartition(tasks, "block")
     counted = parts.groupBy("block").applyInPandas(count_block(blocks), "part long, data binary")
-    able = counted.groupBy("part").applyInPandas(prefix_block(percent), "d1 long, n long, alone long, prefix int, tokens array<long>")
+    able = counted.repartition(tasks, "part").groupBy("part").applyInPandas(prefix_block(percent), "d1 long, n long, alone long, prefix int, tokens array<long>")
     able = able.join(classes.select("d1", "cls"), "d1").filter("cls IS NOT NULL").drop("d1")
     labels = components(links(stored(able, "candidates"), percent, join_tokens, join_sets))
     whole = classes.join(labels.select(F.col("node").alias("cls"), F.col("component").alias("label")), "cls", "left").select("d1", "d2", F.coalesce("label", "cls").alias("label"))
