@@ -126,13 +126,20 @@ def evict_oldest_until(entries: DataFrame, limit: int, buckets: int = 256) -> Da
 def reuse_distance(log: DataFrame, period: Column) -> DataFrame:
     """(key, seq, distance): distinct other keys between an access and its key's previous one, within each ``period``.
 
-    A single LRU list of capacity c hits exactly where distance < c. A period starts empty; periods bound what
-    a task holds. The count runs over (previous, this) intervals: another key counts if its last access
-    before this one is after previous.
+    A single LRU list of capacity c hits exactly where distance < c. A period starts empty. Of the accesses
+    between the two, those are repeats whose own previous one lies there too, so the distance is their number
+    less the accesses that are earlier but whose previous one is later. These are counted by halving: two
+    accesses of a period part at one binary digit of their positions, where the earlier one has 0 and the
+    later one 1, and a running sum per digit counts the former. That is a row per access and digit, and the
+    largest sorted run is one period.
     """
     rows = log.withColumn("period", period)
+    sizes = rows.groupBy(F.col("period").alias("sized")).agg(F.count("*").alias("size"))
     own = Window.partitionBy("period", "key").orderBy("seq")
-    rows = rows.withColumn("at", F.row_number().over(Window.partitionBy("period").orderBy("seq"))).withColumn("prev", F.lag("at").over(own)).withColumn("next", F.lead("at").over(own))
-    a, b = rows.filter("prev IS NOT NULL").alias("a"), rows.alias("b")
-    met = a.join(b, (F.col("a.period") == F.col("b.period")) & (F.col("b.at") > F.col("a.prev")) & (F.col("b.at") < F.col("a.at")) & (F.col("b.next").isNull() | (F.col("b.next") > F.col("a.at"))), "left")
-    return met.groupBy(F.col("a.key").alias("key"), F.col("a.seq").alias("seq")).agg(F.count("b.at").alias("distance"))
+    rows = rows.withColumn("at", F.row_number().over(Window.partitionBy("period").orderBy("seq"))).withColumn("prev", F.lag("at").over(own))
+    again = rows.filter("prev IS NOT NULL").select("period", "key", "seq", "at", "prev").join(sizes, F.col("period").eqNullSafe(F.col("sized")))
+    digits = again.withColumn("digit", F.explode(F.sequence(F.lit(0), F.length(F.bin("size")) - 1)))
+    digits = digits.withColumn("block", F.call_function("shiftright", "at", F.col("digit") + 1)).withColumn("late", F.call_function("shiftright", "at", "digit").bitwiseAND(F.lit(1)))
+    later = Window.partitionBy("period", "digit", "block").orderBy(F.desc("prev")).rowsBetween(Window.unboundedPreceding, 0)
+    counted = digits.withColumn("repeats", F.sum(1 - F.col("late")).over(later)).filter("late = 1")
+    return counted.groupBy("key", "seq", "at", "prev").agg(F.sum("repeats").alias("repeats")).select("key", "seq", (F.col("at") - F.col("prev") - 1 - F.col("repeats")).alias("distance"))
