@@ -2,7 +2,14 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field, replace
+from pathlib import Path
+
+try:
+    import yaml
+except ImportError:  # only files need it
+    yaml = None
 
 
 @dataclass(frozen=True)
@@ -93,3 +100,45 @@ def load_config(spec: dict) -> CacheConfig:
     if unknown:
         raise ValueError(f"unknown sections: {sorted(unknown)}")
     return adjusted(CacheConfig(**{k: parts[k](**v) for k, v in spec.items() if v is not None}))
+
+
+# The sections and keys of a configuration file, and what they are called here.
+FILE_KEYS = {
+    "db": ("db", {"size": "size_bytes", "stat_logs_enabled": "telemetry_logs", "telemetry_logs_interval": "telemetry_interval_us", "cache_time_enabled": "cached_time"}),
+    "admission_control": ("admission", {"capacity": "capacity", "shards": "shards", "min_table_len_per_shard": "min_table", "sample_multiplier": "sample_multiplier", "door_bits_per_counter": "door_bits"}),
+    "eviction": ("eviction", {"mode": "mode", "soft_limit_coefficient": "soft_limit_coefficient", "calls_per_sec": "calls_per_sec", "backoff_spins_per_call": "backoff_spins"}),
+    "lifetime": ("lifetime", {"on_ttl": "on_ttl", "ttl": "ttl_us", "rate": "rate", "coefficient": "coefficient", "beta": "beta", "stochastic_refresh_enabled": "stochastic"}),
+}
+MICROSECONDS = {"ns": 0.001, "us": 1, "ms": 1000, "s": 1_000_000, "m": 60_000_000, "h": 3_600_000_000}
+
+
+def duration_us(value: str | int) -> int:
+    """Microseconds of a duration such as "24h", "1m30s" or "500ms"; a number counts nanoseconds."""
+    if isinstance(value, int):
+        return value // 1000
+    if not re.fullmatch(r"(?:\d+(?:\.\d+)?(?:ns|us|ms|s|m|h))+", value):
+        raise ValueError(f"not a duration: {value!r}")
+    return round(sum(float(n) * MICROSECONDS[u] for n, u in re.findall(r"(\d+(?:\.\d+)?)(ns|us|ms|s|m|h)", value)))
+
+
+def config_from_file(path: str) -> CacheConfig:
+    """The adjusted configuration of a YAML file. A missing section disables its part; compression is read by nothing.
+
+    Raises FileNotFoundError for no file, OSError for an unreadable one and ValueError for one that isn't such a file.
+    """
+    if yaml is None:
+        raise RuntimeError("configuration files need the yaml package; load_config takes a dict")
+    text = Path(path).read_text(encoding="utf-8")
+    try:
+        parsed = yaml.safe_load(text) or {}
+        if not isinstance(parsed, dict):
+            raise ValueError("no sections")
+        spec = {}
+        for section, values in parsed.items():
+            if section == "compression" or values is None:
+                continue
+            name, keys = FILE_KEYS[section]
+            spec[name] = {keys[k]: duration_us(v) if keys[k].endswith("_us") else v for k, v in values.items()}
+        return load_config(spec)
+    except (yaml.YAMLError, KeyError, TypeError, AttributeError, ValueError) as e:
+        raise ValueError(f"{path} isn't a configuration: {e}") from e

@@ -48,3 +48,8 @@ def refresh_picks(due: DataFrame, rate: int) -> DataFrame:
 def expired_first(entries: DataFrame, limit: int) -> DataFrame:
     """The ``limit`` expired entries (key, expired, is_queued, updated_us) that a worker takes first: queued ones, then the oldest."""
     return entries.filter("expired").orderBy(F.desc("is_queued"), "updated_us", "key").limit(limit)
+
+
+def oldest_expired(entries: DataFrame) -> DataFrame:
+    """(shard, key, expired): per shard its expired entries' number and the key that was updated least recently."""
+    return entries.filter("expired").groupBy("shard").agg(F.min_by("key", F.struct("updated_us", "key")).alias("key"), F.count("*").alias("expired"))

@@ -12,9 +12,13 @@ from ..functions.keys import SHARDS
 
 
 def classify_hits(log: DataFrame) -> DataFrame:
-    """``log`` (key, seq, ...) with outcome: "miss" for a key's first access, else "hit"; the cache is unbounded."""
-    first = F.row_number().over(Window.partitionBy("key").orderBy("seq")) == 1
-    return log.withColumn("outcome", F.when(first, "miss").otherwise("hit"))
+    """``log`` (key, seq, ...) with outcome: "miss" for a key's first access, else "hit"; the cache is unbounded.
+
+    seq is unique. The first accesses are joined on key and seq, so a hot key's rows spread over all tasks.
+    """
+    firsts = log.groupBy(F.col("key").alias("first_key")).agg(F.min("seq").alias("first_seq"))
+    same = F.col("key").eqNullSafe(F.col("first_key")) & (F.col("seq") == F.col("first_seq"))
+    return log.join(firsts, same, "left").withColumn("outcome", F.when(F.col("first_seq").isNotNull(), "miss").otherwise("hit")).drop("first_key", "first_seq")
 
 
 def get_or_compute(requests: DataFrame, entries: DataFrame, loader: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:

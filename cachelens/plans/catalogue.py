@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..config import AdmissionConfig, CacheConfig, DbConfig, EvictionConfig
+from ..cache import Cache
+from ..config import AdmissionConfig, CacheConfig, DbConfig, EvictionConfig, LifetimeConfig
 from ..functions.keys import key_hash, key_hash_sql, mix64, mix64_sql, next_pow2, shard_of
 from ..functions.scalars import expired, expiry_probability, fmt_mem, payload_equal, weight
 from ..operators import admission, lifetime, replay, storage, telemetry
@@ -283,6 +284,42 @@ def telemetry_delta(spark, sf_dir):
     return telemetry.counter_deltas(rows.select("interval", "hits"), "interval", ["hits"])
 
 
+HALF_US = NOW_US - 15 * DAY_US
+BATCHES = f"old AS (SELECT DISTINCT user_id FROM events WHERE epoch_us(ts) < {HALF_US})"
+
+
+def loaded_users(missing: DataFrame) -> DataFrame:
+    return missing.withColumn("payload", F.concat(F.lit("user-"), F.col("key").cast("string")))
+
+
+@query(f"WITH {BATCHES} SELECT event_id, user_id AS key, 'user-' || user_id AS payload, CASE WHEN user_id IN (FROM old) THEN 'hit' ELSE 'miss_admitted' END AS outcome FROM events WHERE epoch_us(ts) >= {HALF_US}")
+def cache_get_batches(spark, sf_dir):
+    """Two batches of requests through one cache; the second one's answers."""
+    cache, log = Cache(spark, CacheConfig()), event_log(spark, sf_dir).select("event_id", "key", "ts_us")
+    cache.get(log.filter(F.col("ts_us") < HALF_US), loaded_users, HALF_US)
+    return cache.get(log.filter(F.col("ts_us") >= HALF_US), loaded_users, NOW_US).select("event_id", "key", "payload", "outcome")
+
+
+@query(f"WITH {BATCHES} SELECT user_id AS key, 'user-' || user_id AS payload, {NOW_US}::BIGINT AS updated_us FROM (SELECT DISTINCT user_id FROM events WHERE user_id NOT IN (FROM old))")
+def cache_expire_removes(spark, sf_dir):
+    """What a cache holds once the entries of the first of two batches have outlived their time."""
+    cache, log = Cache(spark, CacheConfig(lifetime=LifetimeConfig(ttl_us=DAY_US))), event_log(spark, sf_dir).select("event_id", "key", "ts_us")
+    cache.get(log.filter(F.col("ts_us") < HALF_US), loaded_users, HALF_US)
+    cache.get(log.filter(F.col("ts_us") >= HALF_US), loaded_users, NOW_US)
+    cache.expire(NOW_US, seconds=3600)
+    return cache.around().select("key", "payload", "updated_us")
+
+
+EXPIRED = f"d AS (SELECT user_id AS key, {key_hash_sql('user_id')} & 1023 AS shard, max(epoch_us(ts)) AS updated_us FROM events GROUP BY user_id)"
+
+
+@query(f"WITH {EXPIRED} SELECT shard::INT AS shard, arg_min(key, (updated_us, key)) AS key, count(*) AS expired FROM d WHERE {NOW_US} - updated_us > {TTL_US} GROUP BY shard")
+def peek_expired(spark, sf_dir):
+    rows = users(spark, sf_dir).withColumnRenamed("touched", "updated_us")
+    old = expired(F.lit(NOW_US), F.col("updated_us"), F.lit(TTL_US))
+    return lifetime.oldest_expired(rows.withColumn("expired", old))
+
+
 REPLAY = CacheConfig(db=DbConfig(size_bytes=4096), admission=ADMISSION, eviction=EvictionConfig())
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,3 +27,11 @@ def document_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     h = key_hash(F.col("doc_id").cast("string"))
     return docs.select(F.col("doc_id").alias("key"), h.alias("key_hash"), h.bitwiseAND(1023).cast("int").alias("shard"), weight(F.col("text")).alias("weight"), F.col("doc_id").alias("touched"))
+
+
+def written(df: DataFrame, what: str) -> DataFrame:
+    """``df`` written as a table in the folder that the cluster shares and read again, which cuts its lineage."""
+    root = df.sparkSession.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
+    path = f"{root.rstrip('/')}/{what}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from cachelens.config import AdmissionConfig, CacheConfig, DbConfig, EvictionConfig, LifetimeConfig, adjusted, load_config
+from cachelens.config import AdmissionConfig, CacheConfig, DbConfig, EvictionConfig, LifetimeConfig, adjusted, config_from_file, duration_us, load_config
 from cachelens.functions.keys import mix64, next_pow2
 from cachelens.functions.scalars import expired, expiry_probability, fmt_mem, payload_equal, weight
 from cachelens.operators.replay import mixed
@@ -59,3 +59,19 @@ def test_configuration():
     with pytest.raises(ValueError):
         load_config({"compression": {}})
     assert adjusted(CacheConfig(db=DbConfig(size_bytes=10), eviction=EvictionConfig())).eviction.is_listing
+
+
+def test_configuration_file(tmp_path):
+    pytest.importorskip("yaml")
+    path = tmp_path / "cache.yaml"
+    path.write_text("db: {size: 1000, telemetry_logs_interval: 5s}\nadmission_control: {capacity: 128, shards: 4, min_table_len_per_shard: 64}\neviction: {mode: listing}\nlifetime: {on_ttl: refresh, ttl: 1h30m}\ncompression: {level: 1}\n")
+    cfg = config_from_file(str(path))
+    assert (cfg.db.size_bytes, cfg.db.telemetry_interval_us, cfg.eviction.soft_limit_bytes) == (1000, 5_000_000, 800)
+    assert cfg.lifetime.ttl_us == 5_400_000_000 and not cfg.lifetime.is_remove and cfg.admission.table_len == 64
+    assert duration_us("500ms") == 500_000 and duration_us(1000) == 1
+    for text in ("db: 3", "- 1", "other: {}", "db: {other: 1}", "lifetime: {ttl: soon}", "a: [", "admission_control: {shards: 3}"):
+        path.write_text(text)
+        with pytest.raises(ValueError):
+            config_from_file(str(path))
+    with pytest.raises(FileNotFoundError):
+        config_from_file(str(tmp_path / "none.yaml"))
