@@ -127,23 +127,39 @@ def evict_oldest_until(entries: DataFrame, limit: int, buckets: int = 256) -> Da
     return live.withColumn("freed_before", F.col("before") + F.coalesce(F.sum("weight").over(within), F.lit(0))).filter(F.col("total") - F.col("freed_before") > limit).drop("bucket", "before", "total")
 
 
-def reuse_distance(log: DataFrame, period: Column) -> DataFrame:
+def reuse_distance(log: DataFrame, period: Column, run: Column | None = None, piece: int = 1 << 16) -> DataFrame:
     """(key, seq, distance): distinct other keys between an access and its key's previous one, within each ``period``.
 
     A single LRU list of capacity c hits exactly where distance < c. A period starts empty. Of the accesses
     between the two, those are repeats whose own previous one lies there too, so the distance is their number
     less the accesses that are earlier but whose previous one is later. These are counted by halving: two
     accesses of a period part at one binary digit of their positions, where the earlier one has 0 and the
-    later one 1, and a running sum per digit counts the former. That is a row per access and digit, and the
-    largest sorted run is one period.
+    later one 1, and a running sum per digit counts the former. That is a row per access and digit.
+
+    No sorted run holds a whole period. ``run`` never falls as seq grows: positions are ranks within its values
+    plus the sizes of those before. Running sums are cut at every ``piece`` positions of the previous accesses,
+    and the pieces' own sums are added.
     """
-    rows = log.withColumn("period", period)
-    sizes = rows.groupBy(F.col("period").alias("sized")).agg(F.count("*").alias("size"))
+    rows = log.withColumn("period", period).withColumn("run", F.lit(0) if run is None else run)
+    before = F.sum("n").over(Window.partitionBy("in_period").orderBy("in_run").rowsBetween(Window.unboundedPreceding, -1))
+    runs = rows.groupBy(F.col("period").alias("in_period"), F.col("run").alias("in_run")).agg(F.count("*").alias("n"))
+    runs = runs.select("in_period", "in_run", F.coalesce(before, F.lit(0)).alias("before"), F.sum("n").over(Window.partitionBy("in_period")).alias("size"))
     own = Window.partitionBy("period", "key").orderBy("seq")
-    rows = rows.withColumn("at", F.row_number().over(Window.partitionBy("period").orderBy("seq"))).withColumn("prev", F.lag("at").over(own))
-    again = rows.filter("prev IS NOT NULL").select("period", "key", "seq", "at", "prev").join(sizes, F.col("period").eqNullSafe(F.col("sized")))
+    ranked = rows.withColumn("place", F.row_number().over(Window.partitionBy("period", "run").orderBy("seq")))
+    ranked = ranked.join(runs, F.col("period").eqNullSafe(F.col("in_period")) & F.col("run").eqNullSafe(F.col("in_run"))).withColumn("at", F.col("before") + F.col("place"))
+    again = ranked.withColumn("prev", F.lag("at").over(own)).filter("prev IS NOT NULL").select("period", "key", "seq", "at", "prev", "size")
     digits = again.withColumn("digit", F.explode(F.sequence(F.lit(0), F.length(F.bin("size")) - 1)))
     digits = digits.withColumn("block", F.call_function("shiftright", "at", F.col("digit") + 1)).withColumn("late", F.call_function("shiftright", "at", "digit").bitwiseAND(F.lit(1)))
-    later = Window.partitionBy("period", "digit", "block").orderBy(F.desc("prev")).rowsBetween(Window.unboundedPreceding, 0)
-    counted = digits.withColumn("repeats", F.sum(1 - F.col("late")).over(later)).filter("late = 1")
-    return counted.groupBy("key", "seq", "at", "prev").agg(F.sum("repeats").alias("repeats")).select("key", "seq", (F.col("at") - F.col("prev") - 1 - F.col("repeats")).alias("distance"))
+    # A block of at most ``piece`` positions stays whole.
+    digits = digits.withColumn("part", F.when(F.pow(F.lit(2.0), F.col("digit") + 1) > piece, F.floor(F.col("prev") / piece)).otherwise(-1))
+    later = Window.partitionBy("period", "digit", "block", "part").orderBy(F.desc("prev")).rowsBetween(Window.unboundedPreceding, 0)
+    names = {c: f"of_{c}" for c in ("period", "digit", "block", "part")}
+    parts = digits.filter("part >= 0").groupBy(*[F.col(c).alias(n) for c, n in names.items()]).agg(F.sum(1 - F.col("late")).alias("held"))
+    behind = Window.partitionBy("of_period", "of_digit", "of_block").orderBy(F.desc("of_part")).rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select(*names.values(), F.coalesce(F.sum("held").over(behind), F.lit(0)).alias("held_behind"))
+    same = F.lit(True)
+    for c, n in names.items():
+        same = same & F.col(c).eqNullSafe(F.col(n))
+    counted = digits.withColumn("repeats", F.sum(1 - F.col("late")).over(later)).filter("late = 1").join(parts, same, "left")
+    repeats = F.sum(F.col("repeats") + F.coalesce("held_behind", F.lit(0)))
+    return counted.groupBy("key", "seq", "at", "prev").agg(repeats.alias("repeats")).select("key", "seq", (F.col("at") - F.col("prev") - 1 - F.col("repeats")).alias("distance"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cachelens.config import AdmissionConfig, CacheConfig, DbConfig, EvictionConfig, LifetimeConfig
 from cachelens.operators import admission, lifetime, replay, storage, telemetry
+from cachelens.plans import catalogue
 
 SMALL = AdmissionConfig(capacity=16, shards=2, min_table=8, sample_multiplier=3, door_bits=4)
 
@@ -144,3 +145,31 @@ def test_reuse_distance(spark):
     log = spark.createDataFrame([(k, i) for i, k in enumerate(stream)], "key long, seq long")
     got = {r.seq: r.distance for r in storage.reuse_distance(log, F.lit(0)).collect()}
     assert got == {3: 2, 4: 0, 5: 2, 7: 3, 8: 3}
+
+
+def brute_distances(stream):
+    last, out = {}, {}
+    for i, k in enumerate(stream):
+        if k in last:
+            out[i] = len(set(stream[last[k] + 1 : i]))
+        last[k] = i
+    return out
+
+
+@pytest.mark.parametrize("piece", [4, 1 << 16])
+def test_reuse_distance_in_runs_and_pieces(spark, piece):
+    rng = random.Random(3)
+    stream = [min(rng.randrange(25), rng.randrange(25)) for _ in range(300)]
+    log = spark.createDataFrame([(k, i) for i, k in enumerate(stream)], "key long, seq long")
+    got = storage.reuse_distance(log, F.lit(0), run=F.floor(F.col("seq") / 37), piece=piece).collect()
+    assert {r.seq: r.distance for r in got} == brute_distances(stream) and len(got) == len(brute_distances(stream))
+
+
+def test_reuse_distance_crosses_midnight(spark):
+    data = "/root/testdata/sf0.001"
+    rows = [(r.user_id, r.event_id) for r in spark.read.parquet(f"{data}/events.parquet").orderBy("ts", "event_id").collect()]
+    expected = {rows[i][1]: d for i, d in brute_distances([k for k, _ in rows]).items()}
+    got = catalogue.QUERIES["lru_reuse_distance_whole_log"](spark, data).collect()
+    assert {r.event_id: r.distance for r in got} == expected and len(got) == len(rows) - len({k for k, _ in rows})
+    hits = {r.capacity: r.hits for r in catalogue.QUERIES["lru_hit_by_capacity_whole_log"](spark, data).collect()}
+    assert hits == {c: sum(d < c for d in expected.values()) for c in (5, 10, 20, 50)}
