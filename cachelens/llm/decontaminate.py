@@ -1,9 +1,8 @@
 """Benchmark decontamination by spaced seeds, in DataFrame functions only.
 
-A mask keeps some positions of a window of words and ignores the others, so a substituted word in an ignored
-position does not break a match. The hashes of all masked windows of the benchmark are joined with those of
-the documents. Hits on one diagonal (document position minus item position) are put together: the item's
-positions that matching seeds cover, on that diagonal and around the hit, are words that agree.
+A mask keeps three words of a short window. The hashes of all masked windows of the benchmark are joined with
+those of the documents; a hit only makes a candidate. Around each hit the document's and the item's words on
+its diagonal (document position minus item position) are then compared one by one.
 """
 
 from __future__ import annotations
@@ -12,62 +11,92 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .base import SPACE_CLASS, stored, text_or_empty
+from .licenses import computed
 
-#: Positions that count in a window of SPAN words.
+#: Any ENOUGH of REACH positions, or MOST of a shorter item's, hold all positions of one of these somewhere.
+SEEDS = ((0, 1, 2), (0, 1, 3), (0, 2, 3))
+#: Positions that count in a window of SPAN words, in the SQL.
 MASKS = ((0, 1, 3, 4, 6, 7), (0, 1, 2, 5, 6, 7))
 SPAN = 8
 #: Words that have to agree, or MOST of a shorter item's.
 ENOUGH, MOST = 13, 0.8
 #: Words that agree have to lie within so many positions of the item.
 REACH = 24
-#: Benchmark seeds up to this many are sent to all executors (24 bytes each); more are joined by a shuffle.
+#: Benchmark seeds up to this many are sent to all executors (some 40 bytes each); more are joined by a shuffle.
 BROADCAST_SEEDS = 1_000_000
+#: A document's candidates are compared in groups of so many diagonals.
+DIAGONALS = 4096
 
 
-def word_keys(df: DataFrame, key: str, name: str) -> DataFrame:
-    """(name, keys): the text's lower-cased words as 64-bit hashes."""
+def word_keys(df: DataFrame, key: str, *others: str) -> DataFrame:
+    """(key, text_key, keys, ...): the whole text, and its lower-cased words, as 64-bit hashes."""
     words = F.filter(F.split(F.lower(text_or_empty()), SPACE_CLASS), lambda w: w != "")
-    return df.select(F.col(key).cast("long").alias(name), F.transform(words, lambda w: F.xxhash64(w)).alias("keys"))
+    return df.select(F.col(key).cast("long").alias(key), F.xxhash64(text_or_empty()).alias("text_key"), F.transform(words, lambda w: F.xxhash64(w)).alias("keys"), *others)
 
 
 def seeds(keys: Column) -> Column:
-    """One array of all masks' seeds, the masks one behind the other; empty for a text under SPAN words."""
-    starts = F.sequence(F.lit(1), F.size(keys) - (SPAN - 1))
+    """One array of all masks' seeds, the masks one behind the other; empty for a text under SPAN words.
+
+    Windows that leave the text have the hash of fewer words, which can only add candidates.
+    """
+    starts = F.sequence(F.lit(0), F.size(keys) - 3)
 
     def seed(mask: tuple) -> Column:
-        return F.transform(starts, lambda i: F.xxhash64(*[F.get(keys, i + (k - 1)) for k in mask]))
+        return F.transform(starts, lambda i: F.xxhash64(*[F.get(keys, i + k) for k in mask]))
+
+    return F.when(F.size(keys) >= SPAN, F.concat(*[seed(m) for m in SEEDS])).otherwise(F.array().cast("array<bigint>"))
+
 
-    return F.when(F.size(keys) >= SPAN, F.concat(*[seed(m) for m in MASKS])).otherwise(F.array().cast("array<bigint>"))
+def seed_rows(df: DataFrame, name: str, key: str, at: str) -> DataFrame:
+    """(name, key, words, mask, at, seed), ``key`` being the text's."""
+    per = F.col("words") - 2
+    rows = df.select(name, F.col("text_key").alias(key), F.size("keys").alias("words"), F.posexplode(seeds(F.col("keys"))).alias("k", "seed"))
+    return rows.select(name, key, "words", "seed", F.floor(F.col("k") / per).cast("int").alias("mask"), (F.col("k") % per).alias(at))
 
 
-def seed_rows(df: DataFrame, name: str, at: str) -> DataFrame:
-    """(name, words, mask, at, seed)"""
-    per = F.col("words") - (SPAN - 1)
-    rows = df.select(name, F.size("keys").alias("words"), F.posexplode(seeds(F.col("keys"))).alias("k", "seed"))
-    return rows.select(name, "words", "seed", F.floor(F.col("k") / per).cast("int").alias("mask"), (F.col("k") % per).alias(at))
+def candidates(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """(doc_id, text_key, hits): a row for a text's hits on up to DIAGONALS diagonals; near is the part of the item."""
+    items = stored(seed_rows(word_keys(benchmark, "item_id"), "item_id", "item_key", "j"), "seeds").withColumnRenamed("words", "item_words")
+    if items.count() <= BROADCAST_SEEDS:
+        items = F.broadcast(items)
+    rows = seed_rows(word_keys(documents, "doc_id"), "doc_id", "doc_key", "i").drop("words")
+    near, diagonal = F.floor(F.col("j") / REACH).cast("int").alias("near"), (F.col("i") - F.col("j")).alias("diagonal")
+    hits = rows.join(items, ["seed", "mask"]).select("doc_id", "doc_key", "item_id", "item_key", "item_words", diagonal, near).distinct()
+    found = F.collect_list(F.struct("item_id", "item_key", "item_words", "diagonal", "near")).alias("hits")
+    return stored(hits.groupBy("doc_id", "doc_key", F.floor(F.col("diagonal") / DIAGONALS).alias("group")).agg(found).drop("group"), "hits")
 
 
 def contaminated(documents: DataFrame, benchmark: DataFrame, enough: int = ENOUGH) -> DataFrame:
     """(doc_id, item_id, matched) for every document that holds a benchmark item's passage.
 
     Reported are pairs where, on one diagonal and within REACH positions of the item, at least
-    min(enough, ceil(0.8 * item words)) words are covered by matching seeds; matched is the largest such
-    number. Words are separated by ASCII white space and lower-cased. An item or text with fewer than SPAN
-    words, a null or an empty one has no seeds and is never reported. Rows with the same doc_id or item_id
-    give one row with the largest figure. Other columns are ignored. Empty tables give an empty result.
+    min(enough, ceil(0.8 * item words)) words agree; matched is the largest such number. With ``enough`` from
+    ENOUGH on no such pair is missed. Words are separated by ASCII white space and lower-cased. An item or
+    text with fewer than SPAN words, a null or an empty one has no seeds and is never reported. Rows with the
+    same doc_id or item_id give one row with the largest figure. Other columns are ignored. Empty tables give
+    an empty result.
     """
-    items = stored(seed_rows(word_keys(benchmark, "item_id", "item_id"), "item_id", "j"), "seeds").withColumnRenamed("words", "item_words")
-    if items.count() <= BROADCAST_SEEDS:
-        items = F.broadcast(items)
-    rows = seed_rows(word_keys(documents, "doc_id", "doc_id"), "doc_id", "i").drop("words")
-    hits = rows.join(items, ["seed", "mask"]).select("doc_id", "item_id", "item_words", "mask", "j", (F.col("i") - F.col("j")).alias("diagonal"))
-    offsets = F.element_at(F.array(*[F.array(*[F.lit(k) for k in m]) for m in MASKS]), F.col("mask") + 1)
-    pair = ["doc_id", "item_id", "item_words", "diagonal"]
-    agreed = hits.groupBy(*pair).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.transform(offsets, lambda k: F.col("j") + k))))).alias("agreed"))
-    # The most positions within REACH, over the windows that begin at an agreed position.
-    most = F.array_max(F.transform("agreed", lambda a: F.size(F.filter("agreed", lambda b: (b >= a) & (b < a + REACH)))))
+    hits = candidates(documents, benchmark).withColumnRenamed("doc_id", "hit_id")
+    texts = documents.select("doc_id", "text").withColumn("text_key", F.xxhash64(text_or_empty()))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("hit_id")) & (F.col("text_key") == F.col("doc_key"))
+    held = word_keys(texts.join(hits, same), "doc_id", "hits")
+
+    def words_at(h: Column) -> Column:
+        begin = F.greatest(F.lit(0), (h["near"] - 1) * REACH + 1)
+        places = F.sequence(begin, F.least(h["item_words"], (h["near"] + 2) * REACH) - 1)
+        ours = F.transform(places, lambda j: F.get("keys", (j + h["diagonal"]).cast("int")))
+        return F.struct(h["item_id"].alias("found_id"), h["item_key"].alias("found_key"), h["item_words"].alias("item_words"), begin.alias("begin"), ours.alias("ours"))
+
+    pairs = held.select("doc_id", F.explode(F.transform("hits", words_at)).alias("h")).select("doc_id", "h.*")
+    items = stored(word_keys(benchmark, "item_id").dropDuplicates(["item_id", "text_key"]), "items").withColumnRenamed("keys", "theirs")
+    pairs = pairs.join(items, F.col("item_id").eqNullSafe(F.col("found_id")) & (F.col("text_key") == F.col("found_key")))
+    agree = F.zip_with("ours", F.slice("theirs", F.col("begin") + 1, F.size("ours")), lambda a, b: F.coalesce(a == b, F.lit(False)))
+    pairs = computed(pairs, ["doc_id", "item_id", "item_words"], "agree", agree, F.lit(True))
+    starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("agree") - (REACH - 1)))
+    most = F.array_max(F.transform(starts, lambda a: F.size(F.filter(F.slice("agree", a, REACH), lambda x: x))))
+    pairs = computed(pairs, ["doc_id", "item_id", "item_words"], "matched", most, F.lit(True))
     needed = F.least(F.lit(enough), F.ceil(F.col("item_words") * MOST))
-    return agreed.withColumn("matched", most).filter(F.col("matched") >= needed).groupBy("doc_id", "item_id").agg(F.max("matched").cast("int").alias("matched"))
+    return pairs.filter(F.col("matched") >= needed).groupBy("doc_id", "item_id").agg(F.max("matched").cast("int").alias("matched"))
 
 
 def decontaminate(documents: DataFrame, benchmark: DataFrame) -> DataFrame:

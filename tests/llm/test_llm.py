@@ -249,6 +249,46 @@ def test_decontamination(spark):
     assert decontaminate.contaminated(d.limit(0), b).count() == 0 and decontaminate.contaminated(d, b.limit(0)).count() == 0
 
 
+def agreeing(text, item, reach=24):
+    """Most words that agree on one diagonal within ``reach`` positions of the item, by comparing all."""
+    d, t, best = text.split(), item.split(), 0
+    for g in range(-len(t) + 1, len(d)):
+        same = [0 <= j + g < len(d) and d[j + g] == t[j] for j in range(len(t))]
+        best = max(best, *(sum(same[a : a + reach]) for a in range(max(1, len(t) - reach + 1))))
+    return best
+
+
+def test_decontamination_finds_edited_passages(spark):
+    rng = random.Random(21)
+    words = [f"v{i}" for i in range(3000)]
+    items = {n: [rng.choice(words) for _ in range(n)] for n in [*range(8, 25), 40, 61]}
+    docs, expected, edited = [], {}, {}
+    for n, item in items.items():
+        for changes in range(min(n, 24) // 2 + 1):
+            for _ in range(6):
+                copy = list(item)
+                for k in rng.sample(range(n), changes):
+                    copy[k] = rng.choice(words)
+                at = rng.choice([0, 5])
+                text = " ".join([rng.choice(words) for _ in range(at)] + copy + [rng.choice(words) for _ in range(5 - at)])
+                docs.append((len(docs), text))
+                edited[len(docs) - 1] = (n, changes)
+                found = agreeing(text, " ".join(item))
+                if found >= min(13, -(-4 * n // 5)):
+                    expected[len(docs) - 1, n] = found
+    # One word in four, and every second word of 25, substituted.
+    for n, step in ((40, 4), (24, 2)):
+        item = items[n]
+        text = " ".join(w if k % step else "other" for k, w in enumerate(item)) + (" " + item[0] if n == 24 else "")
+        docs.append((len(docs), text))
+        if agreeing(text, " ".join(item)) >= 13:
+            expected[len(docs) - 1, n] = agreeing(text, " ".join(item))
+    b = spark.createDataFrame([(n, " ".join(t)) for n, t in items.items()], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.matched for r in decontaminate.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), b).collect()}
+    assert got == expected
+    assert all((d, 15) in got for d, (n, c) in edited.items() if n == 15 and c <= 3)
+
+
 def test_chat_round_trip(spark):
     texts = ["<|im_end|><|im_start|>assistant ok", "a\\b<\\p\n\\n", "", None, "<|", "\\"]
     rows = [(1, k, ["user", "assistant", "sys\ntem\\n<|"][k % 3], t) for k, t in enumerate(texts)] + [(1, 0, "user", "tie"), (None, None, None, None)]
