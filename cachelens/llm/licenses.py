@@ -2,7 +2,8 @@
 
 Each line of a text, and the text as a whole, is normalised (lower case, everything but letters and digits to
 one space) and compared with licence templates. With a bigrams here and b in the template, the coefficient is
-at most 2 min(a, b) / (a + b), which rules out most templates by their sizes alone.
+at most 2 min(a, b) / (a + b), which rules out most templates by their sizes alone. Notices across line breaks or
+inside longer lines are found as windows of consecutive words, in the texts that have words of some template.
 """
 
 from __future__ import annotations
@@ -27,6 +28,14 @@ TEMPLATES = {
     "CC-BY-NC-4.0": ("Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
     "CC0-1.0": ("Released under CC0 1.0 Universal.",),
 }
+#: Openings of full texts and of file headers, for windows only.
+PASSAGES = {
+    "Apache-2.0": ("Apache License Version 2.0, January 2004 http://www.apache.org/licenses/",),
+    "GPL-3.0": ("GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007", "it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    "GPL-2.0": ("GNU GENERAL PUBLIC LICENSE Version 2, June 1991", "it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
+    "LGPL-3.0": ("GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007",),
+    "AGPL-3.0": ("GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007",),
+}
 #: A unit has a template's licence from this coefficient on.
 LEAST_DICE = 0.85
 
@@ -43,6 +52,16 @@ def template_rows(templates: dict) -> list[tuple[str, list[str]]]:
     return [(name, bigrams(normalised(text))) for name, texts in templates.items() for text in texts]
 
 
+def telling_words(grams: list[str], least: float) -> list[str]:
+    """Words of which every window that reaches ``least`` has one: too few bigrams are without them."""
+    chosen, left = [], grams
+    for word in sorted({w for g in grams for w in g.split()}, key=lambda w: (-len(w), w)):
+        if len(left) >= least * len(grams) / (2 - least):
+            chosen.append(word)
+            left = [g for g in left if word not in g.split()]
+    return chosen
+
+
 def computed(df: DataFrame, keep: list[str], name: str, value: Column, where: Column) -> DataFrame:
     """The rows ``where`` holds, with ``value``.
 
@@ -52,17 +71,70 @@ def computed(df: DataFrame, keep: list[str], name: str, value: Column, where: Co
     return df.select(*keep, F.explode(F.when(where, F.array(value))).alias(name))
 
 
+def words_in(text: Column) -> Column:
+    return F.filter(F.split(F.regexp_replace(F.lower(text), "[^a-z0-9]+", " "), " "), lambda w: w != "")
+
+
+def embedded(documents: DataFrame, rows: list[tuple[str, list[str]]], units: list[tuple[str, list[str]]], least: float) -> DataFrame:
+    """(doc_id, line, license, dice) of the best windows of each text that don't overlap, by their first word's line.
+
+    A window begins and ends at bigrams of a template and has up to (2 - least) / least times as many. The
+    windows of all templates are taken by coefficient, then by length, place and name. One that touches a
+    line which as a unit reaches ``least`` with a template of ``units``, or of a text that does, is left out.
+    """
+    telling = sorted({w for _, grams in rows for w in telling_words(grams, least)})
+    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
+    docs = docs.filter(F.lower("text").rlike(f"(?<![a-z0-9])(?:{'|'.join(telling)})(?![a-z0-9])"))
+    words = F.flatten(F.transform(F.split("text", "\n", -1), lambda x, k: F.transform(words_in(x), lambda w: F.struct((k + 1).alias("line"), w.alias("word")))))
+    docs = computed(docs, ["doc_id"], "words", words, F.lit(True))
+    pairs = F.transform(F.sequence(F.lit(0), F.size("words") - 2), lambda i: F.concat(F.get("words", i)["word"], F.lit(" "), F.get("words", i + 1)["word"]))
+    docs = computed(docs, ["doc_id", "words"], "grams", pairs, F.size("words") >= 2)
+    known = F.array(*[F.struct(F.lit(name).alias("name"), F.array(*[F.lit(g) for g in grams]).alias("theirs"), F.lit(int(len(grams) * (2 - least) / least + 1e-9)).alias("most"), F.lit(len(grams) * least / (2 - least) - 1e-9).alias("fewest")) for name, grams in rows])
+    docs = computed(docs, ["doc_id", "words", "grams"], "able", F.filter(known, lambda t: F.size(F.array_intersect("grams", t["theirs"])) >= t["fewest"]), F.lit(True)).filter(F.size("able") > 0)
+    # Where a template's bigrams are; then, from each of these places on, those within the longest window.
+    places = F.transform("able", lambda t: t.withField("places", F.filter(F.sequence(F.lit(0), F.size("grams") - 1), lambda i: F.array_contains(t["theirs"], F.get("grams", i)))))
+    docs = computed(docs, ["doc_id", "words", "grams"], "placed", places, F.lit(True))
+
+    def window(t: Column, p: Column, q: Column) -> Column:
+        own = F.array_distinct(F.slice("grams", p + 1, q - p + 1))
+        dice = F.round(2.0 * F.size(F.array_intersect(own, t["theirs"])) / (F.size(own) + F.size(t["theirs"])), 9)
+        return F.struct((-dice).alias("order"), (p - q).alias("short"), p.alias("p"), t["name"].alias("name"), q.alias("q"))
+
+    def windows(t: Column) -> Column:
+        near = F.transform(t["places"], lambda p, k: F.filter(F.slice(t["places"], k + 1, t["most"]), lambda q: q < p + t["most"]))
+        near = F.filter(near, lambda qs: F.size(qs) >= t["fewest"])
+        return F.filter(F.flatten(F.transform(near, lambda qs: F.transform(qs, lambda q: window(t, F.get(qs, F.lit(0)), q)))), lambda x: x["order"] <= -least)
+
+    docs = computed(docs, ["doc_id", "words", "grams"], "found", F.array_sort(F.flatten(F.transform("placed", windows))), F.lit(True)).filter(F.size("found") > 0)
+    none = F.array().cast("array<struct<order:double,short:int,p:int,name:string,q:int>>")
+    taken = F.aggregate("found", none, lambda held, x: F.when(F.exists(held, lambda y: (x["p"] <= y["q"] + 1) & (y["p"] <= x["q"] + 1)), held).otherwise(F.concat(held, F.array(x))))
+    docs = docs.select("doc_id", "words", "grams", F.explode(taken).alias("x"))
+    whole = F.array_distinct("grams")
+    theirs = F.array(*[F.array(*[F.lit(g) for g in grams]) for _, grams in units])
+
+    def is_unit(grams: Column) -> Column:
+        return F.exists(theirs, lambda t: F.round(2.0 * F.size(F.array_intersect(grams, t)) / (F.size(grams) + F.size(t)), 9) >= least)
+
+    lines = F.transform(F.sequence(F.get("words", F.col("x.p"))["line"], F.get("words", F.col("x.q") + 1)["line"]), lambda n: F.transform(F.filter("words", lambda w: w["line"] == n), lambda w: w["word"]))
+    docs = computed(docs, ["doc_id", "words", "grams", "x"], "lines", F.filter(lines, lambda ws: F.size(ws) >= 2), F.lit(True))
+    bigrams_of = F.transform("lines", lambda ws: F.array_distinct(F.transform(F.sequence(F.lit(0), F.size(ws) - 2), lambda i: F.concat(F.get(ws, i), F.lit(" "), F.get(ws, i + 1)))))
+    docs = computed(docs, ["doc_id", "words", "x", "grams"], "touched", F.concat(bigrams_of, F.array(whole)), F.lit(True))
+    docs = docs.filter(~F.exists("touched", is_unit))
+    return docs.select("doc_id", F.get("words", F.col("x.p"))["line"].cast("int").alias("line"), F.col("x.name").alias("license"), (-F.col("x.order")).alias("dice"))
+
+
 def scan_licenses(documents: DataFrame, templates: dict | None = None, least: float = LEAST_DICE) -> DataFrame:
-    """(doc_id, line, license, dice) of every line, and of the whole text as line 0, that is a licence notice.
+    """(doc_id, line, license, dice) of every line, of the whole text as line 0, and of other parts that are licence notices.
 
     Lines are separated by line feeds and counted from 1; a text of one line is compared as that line only.
     A unit gets the template with the largest coefficient (rounded to 9 digits; ties to the last name) if it
     reaches ``least``. Only ASCII letters and digits make words. A null or empty text, or a unit under two
-    words, has no bigrams and no licence. Rows with the same doc_id each give their own rows. Other columns
+    words, has no bigrams and no licence. Notices across lines or inside a longer line: see embedded. Rows with the same doc_id each give their own rows. Other columns
     are ignored. An empty table gives an empty result. The templates are literals of the plan, whose size
     doesn't depend on the data.
     """
     rows = template_rows(TEMPLATES if templates is None else templates)
+    parts = embedded(documents, rows + (template_rows(PASSAGES) if templates is None else []), rows, least)
     sizes = [len(grams) for _, grams in rows]
     fewest, largest = min(sizes) * least / (2 - least), max(sizes) * (2 - least) / least
     known = F.array(*[F.struct(F.lit(name).alias("name"), F.array(*[F.lit(g) for g in grams]).alias("grams"), F.lit(len(grams)).alias("size")) for name, grams in rows])
@@ -72,8 +144,7 @@ def scan_licenses(documents: DataFrame, templates: dict | None = None, least: fl
     found = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.posexplode(units).alias("line", "unit"))
     # A word takes two characters with its separator.
     found = found.filter(F.length("unit") >= 2 * int(fewest))
-    words = F.filter(F.split(F.regexp_replace(F.lower("unit"), "[^a-z0-9]+", " "), " "), lambda w: w != "")
-    found = computed(found, ["doc_id", "line"], "words", words, F.lit(True))
+    found = computed(found, ["doc_id", "line"], "words", words_in(F.col("unit")), F.lit(True))
     pairs = F.transform(F.sequence(F.lit(0), F.size("words") - 2), lambda i: F.concat(F.get("words", i), F.lit(" "), F.get("words", i + 1)))
     found = computed(found, ["doc_id", "line"], "grams", F.array_distinct(pairs), (F.size("words") >= 2) & (F.size("words") - 1 >= fewest))
 
@@ -83,7 +154,8 @@ def scan_licenses(documents: DataFrame, templates: dict | None = None, least: fl
     able = F.filter(known, lambda t: 2.0 * F.least(t["size"], F.size("grams")) >= least * (t["size"] + F.size("grams")))
     best = F.array_max(F.transform(able, lambda t: F.struct(dice(t).alias("dice"), t["name"].alias("name"))))
     found = computed(found, ["doc_id", "line"], "best", best, F.size("grams").between(fewest, largest))
-    return found.filter(F.col("best.dice") >= least).select("doc_id", "line", F.col("best.name").alias("license"), F.col("best.dice").alias("dice"))
+    found = found.filter(F.col("best.dice") >= least).select("doc_id", "line", F.col("best.name").alias("license"), F.col("best.dice").alias("dice"))
+    return found.unionByName(parts)
 
 
 def scan_sql(table: str = "documents", least: float = LEAST_DICE) -> str:

@@ -318,6 +318,32 @@ def test_license_scan(spark):
     assert licenses.scan_licenses(edge_docs(spark).limit(0)).count() == 0
 
 
+def test_license_scan_finds_wrapped_and_embedded_notices(spark):
+    mit = """The MIT License (MIT)
+
+Copyright (c) 2020 X Y
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:"""
+    bsd = """Copyright (c) X. All rights reserved.
+# Redistribution and use in source and binary forms, with or without
+# modification, are permitted provided that the following conditions
+# are met:
+# 1. Redistributions of source code must retain the above copyright notice"""
+    gpl = """    This program is free software: you can redistribute it and/or modify
+    it under the terms of the GNU General Public License as published by
+    the Free Software Foundation, either version 3 of the License, or
+    (at your option) any later version."""
+    inside = "Copyright 2020 X Y. Released under the MIT License. All rights reserved."
+    docs = [(1, mit), (2, bsd), (3, gpl), (4, inside), (5, "some words " * 300 + "Licensed under\nCC BY-NC 4.0. " + "more words " * 300), (6, "Released under the MIT License.\n" + inside), (7, "the license of a person that granted nothing"), (None, inside), (None, inside), (8, None)]
+    got = sorted(((r.doc_id or 0, r.line, r.license) for r in licenses.scan_licenses(spark.createDataFrame(docs, "doc_id long, text string")).collect()))
+    assert got == [(0, 1, "MIT"), (0, 1, "MIT"), (1, 5, "MIT"), (2, 2, "BSD-3-Clause"), (3, 2, "GPL-3.0"), (4, 1, "MIT"), (5, 1, "CC-BY-NC-4.0"), (6, 1, "MIT"), (6, 2, "MIT")]
+
+
 def test_warc_round_trip(spark):
     rows = [(3, "u", "same"), (1, None, "same"), (1, None, "same"), (5, "http://x\r\ny", "é\r\n\r\nWARC/1.1\r\n"), (6, "u", None), (7, "u", ""), (None, "u", "same"), (9, "u", "w" * 200000)]
     got = sorted(((r.page_id or 0, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in warc.archive_pages(spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("sha1", F.lit(1))).collect()), key=repr)
