@@ -31,25 +31,40 @@ def unescape(text: Column, codes: tuple = CODES) -> Column:
     return text
 
 
+def doubled(jumps: DataFrame) -> DataFrame:
+    """Jumps (tree, node, up) of twice as many parents, where there are so many."""
+    over = jumps.select("tree", F.col("node").alias("up"), F.col("up").alias("next"))
+    return stored(jumps.join(over, ["tree", "up"]).select("tree", "node", F.col("next").alias("up")), "jumps")
+
+
+def rootless(nodes: DataFrame, jumps: DataFrame) -> DataFrame:
+    """(tree, node) on a cycle or behind one: they still have jumps of more parents than their tree has nodes."""
+    most, step = nodes.groupBy("tree").count().agg(F.max("count")).first()[0] or 0, 1
+    while step <= most and not jumps.isEmpty():
+        jumps, step = doubled(jumps), 2 * step
+    return jumps.select("tree", "node")
+
+
 def reply_paths(messages: DataFrame) -> DataFrame:
     """(tree, leaf, node, back) for every node on the way from a leaf to its root; back is 0 at the leaf.
 
     ``messages`` (tree, node, parent) are the trees; a parent that isn't there makes a root. Each round joins
-    the paths so far with jumps of 1, 2, 4, ... parents, so a path of n messages takes log2(n) rounds. A
-    cycle has no root and no leaf and gives no path unless replies hang on it, which end after 2**20 jumps.
+    the paths so far with jumps of 1, 2, 4, ... parents, so a path of n messages takes log2(n) rounds, for any n.
+    A cycle has no root: its messages and the replies that hang on it give no path.
     """
     nodes = messages.select("tree", "node", "parent").filter("tree IS NOT NULL AND node IS NOT NULL").dropDuplicates(["tree", "node"])
     known = nodes.select("tree", F.col("node").alias("parent"))
     jumps = stored(nodes.filter("parent IS NOT NULL AND parent <> node").join(known, ["tree", "parent"], "left_semi").select("tree", "node", F.col("parent").alias("up")), "jumps")
+    if not jumps.filter(F.col("up") >= F.col("node")).isEmpty():  # parents that all come before end at a root
+        lost = rootless(nodes, jumps)
+        nodes, jumps = (x.join(lost, ["tree", "node"], "left_anti") for x in (nodes, jumps))
     leaves = nodes.join(jumps.select("tree", F.col("up").alias("node")), ["tree", "node"], "left_anti")
     paths = stored(leaves.select("tree", F.col("node").alias("leaf"), "node", F.lit(0).cast("long").alias("back")), "paths")
-    for k in range(20):
-        if jumps.isEmpty():
-            break
-        further = paths.join(jumps, ["tree", "node"]).select("tree", "leaf", F.col("up").alias("node"), (F.col("back") + (1 << k)).alias("back"))
+    step = 1
+    while not jumps.isEmpty():
+        further = paths.join(jumps, ["tree", "node"]).select("tree", "leaf", F.col("up").alias("node"), (F.col("back") + step).alias("back"))
         paths = stored(paths.unionByName(further), "paths")
-        over = jumps.select("tree", F.col("node").alias("up"), F.col("up").alias("next"))
-        jumps = stored(jumps.join(over, ["tree", "up"]).select("tree", "node", F.col("next").alias("up")), "jumps")
+        jumps, step = doubled(jumps), 2 * step
     return paths
 
 

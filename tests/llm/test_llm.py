@@ -311,6 +311,18 @@ def test_reply_trees(spark):
     assert chat_format.format_trees(chain).first().n_turns == 100
 
 
+def test_reply_paths_on_cycles_and_upwards(spark):
+    rows = [("c", 1, 2), ("c", 2, 1), ("c", 3, 1), ("c", 4, 3), ("c", 5, None), ("c", 6, 5), ("d", 1, 2), ("d", 2, 3), ("d", 3, 4), ("d", 4, 9), ("e", 1, 2), ("e", 2, 1)]
+    got = chat_format.reply_paths(spark.createDataFrame(rows, "tree string, node long, parent long")).collect()
+    assert sorted(tuple(r) for r in got) == [("c", 6, 5, 1), ("c", 6, 6, 0), ("d", 1, 1, 0), ("d", 1, 2, 1), ("d", 1, 3, 2), ("d", 1, 4, 3)]
+
+
+def test_reply_path_of_more_than_2_to_20_messages(spark):
+    n = 2**20 + 3
+    chain = spark.range(n).select(F.lit("c").alias("tree"), F.col("id").alias("node"), (F.col("id") - 1).alias("parent"))
+    assert chat_format.reply_paths(chain).agg(F.count("*"), F.max("back"), F.countDistinct("node")).first()[:] == (n, n - 1, n)
+
+
 def test_license_scan(spark):
     docs = [(1, "x\nReleased under the MIT License.\ny"), (2, "released  UNDER the mit license"), (3, "nothing here to see at all"), (4, None), (4, ""), (None, "Licensed under CC BY-NC 4.0.")]
     got = {(r.doc_id, r.line, r.license) for r in licenses.scan_licenses(spark.createDataFrame(docs, "doc_id long, text string").withColumn("line", F.lit(0))).collect()}
