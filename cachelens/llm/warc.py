@@ -118,16 +118,56 @@ def parse_record(data: bytes, at: int) -> tuple[dict, bytes, int]:
     return headers, body, stop + 4
 
 
-def member(data: bytes, at: int) -> tuple[bytes, int]:
-    """A gzip member's contents and the position behind it."""
-    unzip = zlib.decompressobj(31)
-    try:
-        plain = unzip.decompress(data[at:])
-    except zlib.error as e:
-        raise ValueError(f"gzip: {e}") from None
-    if not unzip.eof:
-        raise ValueError("gzip: cut off")
-    return plain, len(data) - len(unzip.unused_data)
+#: Bytes of a member that are unpacked at once.
+PIECE = 1 << 16
+
+
+def member(data: bytes, at: int) -> tuple[bytes, int, str]:
+    """A gzip member's contents, the position behind it, and why it is not whole, if so; then what could be read."""
+    unzip, parts, why = zlib.decompressobj(31), [], "gzip: cut off"
+    view = memoryview(data)
+    for k in range(at, len(data), PIECE):
+        before = unzip.copy()
+        try:
+            parts.append(unzip.decompress(view[k : k + PIECE]))
+        except zlib.error as e:
+            why = f"gzip: {e}"
+            try:
+                for x in range(k, min(k + PIECE, len(data))):
+                    parts.append(before.decompress(view[x : x + 1]))
+            except zlib.error:
+                pass
+            break
+        if unzip.eof:
+            return b"".join(parts), min(k + PIECE, len(data)) - len(unzip.unused_data), ""
+    return b"".join(parts), len(data), why
+
+
+def parse_member(plain: bytes, whole: bool) -> tuple[list[tuple], list[tuple], str]:
+    """(headers, body) of a member's records, (length, reason) of the gaps between them, and the first reason.
+
+    Of a member that isn't whole, a record counts if its digest was checked and another version line follows.
+    """
+    found, gaps, first, at, gap = [], [], "", 0, None
+    while at < len(plain):
+        try:
+            headers, body, stop = parse_record(plain, at)
+            checked = headers.get("warc-type") == "response" and headers.get("warc-payload-digest", "").lower().startswith("sha1:")
+            if not whole and not (checked and plain.startswith(VERSION, stop)):
+                raise ValueError("not confirmed in a broken member")
+        except ValueError as e:
+            gap, first = gap or (at, str(e)), first or str(e)
+            at = plain.find(VERSION, at + 1)
+            at = len(plain) if at < 0 else at
+            continue
+        if gap:
+            gaps.append((at - gap[0], gap[1]))
+            gap = None
+        found.append((headers, body))
+        at = stop
+    if gap:
+        gaps.append((len(plain) - gap[0], gap[1]))
+    return found, gaps, first
 
 
 def next_start(data: bytes, at: int) -> int:
@@ -139,20 +179,21 @@ def next_start(data: bytes, at: int) -> int:
 def salvage(data: bytes) -> Iterator[tuple]:
     """("record", offset, headers, body) and ("gap", offset, length, reason) for a whole file, in order.
 
-    A gap takes in the broken record itself. Adjoining gaps are one, with the first reason.
+    A gap takes in the broken record itself. Adjoining gaps are one, with the first reason. A whole member with
+    broken records gives the others, and a gap at its offset, in unpacked bytes, for each run of broken ones. A
+    member that isn't whole gives the records that are sure, and is a gap itself.
     """
     at, gap = 0, None
     while at < len(data):
         try:
             if data.startswith(GZIP, at):
-                plain, stop = member(data, at)
-                found, inner = [], 0
-                while inner < len(plain):
-                    headers, body, inner = parse_record(plain, inner)
-                    found.append((headers, body))
+                plain, stop, why = member(data, at)
+                found, lost, first = parse_member(plain, not why)
+                if not found and (why or first):
+                    raise ValueError(why or first)
             else:
                 headers, body, stop = parse_record(data, at)
-                found = [(headers, body)]
+                found, lost, why = [(headers, body)], [], ""
         except ValueError as e:
             gap = gap or (at, str(e))
             at = next_start(data, at + 1)
@@ -162,6 +203,12 @@ def salvage(data: bytes) -> Iterator[tuple]:
             gap = None
         for headers, body in found:
             yield "record", at, headers, body
+        if why:
+            gap = at, why
+            at = next_start(data, at + 1)
+            continue
+        for length, reason in lost:
+            yield "gap", at, length, f"in a member: {reason}"
         at = stop
     if gap:
         yield "gap", gap[0], len(data) - gap[0], gap[1]

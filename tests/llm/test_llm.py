@@ -389,6 +389,27 @@ def test_warc_salvage():
     assert kinds(b"") == [] and [x[0] for x in warc.salvage(record(b"x", "A" * 32))] == ["gap"]
 
 
+def test_warc_salvage_inside_members():
+    def record(body, digest=None):
+        block = b"HTTP/1.1 200 OK\r\n\r\n" + body
+        digest = digest or base64.b32encode(hashlib.sha1(body).digest()).decode()
+        return f"WARC/1.1\r\nWARC-Type: response\r\nWARC-Payload-Digest: sha1:{digest}\r\nContent-Length: {len(block)}\r\n\r\n".encode() + block + b"\r\n\r\n"
+
+    kinds = lambda data: [(x[0], x[3] if x[0] == "record" else x[2]) for x in warc.salvage(data)]
+    bad = record(b"bad", "A" * 32)
+    assert kinds(gzip.compress(record(b"one") + bad + record(b"two"))) == [("record", b"one"), ("record", b"two"), ("gap", len(bad))]
+    rng = random.Random(1)
+    bodies = [rng.randbytes(20000) for _ in range(10)]
+    packed = gzip.compress(b"".join(map(record, bodies)))
+    cut = packed[: len(packed) * 3 // 4]
+    assert kinds(cut) == [*(("record", x) for x in bodies[:7]), ("gap", len(cut))]
+    broken = bytearray(packed)
+    broken[-6] ^= 1
+    got = kinds(bytes(broken) + gzip.compress(record(b"next")))
+    assert [x for k, x in got if k == "record"] == [*bodies[:9], b"next"] and sum(k == "gap" for k, _ in got) == 1
+    assert kinds(gzip.compress(record(b"one"))) == [("record", b"one")] and kinds(gzip.compress(b"")) == []
+
+
 def test_pipeline(spark, tmp_path):
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
     words = [f"w{i}" for i in range(900)]
