@@ -12,6 +12,7 @@ LOCAL_WORK_DIR = "/tmp/checkpoints"
 
 #: Word pattern of all operators here: runs of anything but ASCII white space.
 SPACE_CLASS = r"[\x20\x09-\x0D]+"
+SPACE = " \t\n\x0b\x0c\r"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,11 +33,27 @@ def stored(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with underscores until no column of ``df`` is called so."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def text_or_empty(col: str = "text") -> Column:
     """The column as a string, an empty one for null."""
     return F.coalesce(F.col(col).cast("string"), F.lit(""))
 
 
+def text_key(col: str = "text") -> Column:
+    """A 64-bit hash that tells the texts of rows with one id apart; a null counts as empty."""
+    return F.xxhash64(text_or_empty(col))
+
+
 def ascii_lower(col: Column) -> Column:
     """A-Z to a-z; every other character stays."""
     return F.translate(col, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

@@ -10,7 +10,7 @@ from .decontaminate import contaminated, contaminated_sql
 from .html_extract import extract_pages
 from .licenses import scan_licenses, scan_sql
 from .mixing import mix_sources, mix_sql
-from .ngram_join import ngram_jaccard_join
+from .ngram_join import join_sql, ngram_jaccard_join
 from .quality import quality
 from .simhash import edit_likeness
 from .toxicity import toxicity
@@ -70,6 +70,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_html_extraction, op3_document_fingerprints, op4_source_mixing, op5_quality_classifier, op6_toxicity, op7_benchmark_decontamination, op8_chat_formatting, op9_license_scans, op10_warc, pipeline)}
 
 ORACLES = {
+    "op1_ngram_jaccard_join": join_sql(),
     "op4_source_mixing": mix_sql(),
     "op7_benchmark_decontamination": contaminated_sql(),
     "op8_chat_formatting": conversation_sql(),

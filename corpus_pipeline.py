@@ -5,18 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from cachelens.llm.base import stored, table
-from cachelens.llm.decontaminate import contaminated
+from cachelens.llm.decontaminate import decontaminate
 from cachelens.llm.mixing import mix_sources
-from cachelens.llm.ngram_join import ngram_jaccard_join
+from cachelens.llm.ngram_join import first_of_groups
 from cachelens.llm.quality import drop_low_quality
 from cachelens.llm.toxicity import drop_toxic
 
 
-def without(docs: DataFrame, ids: DataFrame, what: str) -> DataFrame:
-    """``docs`` without some ids. The ids are written first, so that the planner knows their size."""
-    return docs.join(stored(ids.select("doc_id").distinct(), what), "doc_id", "left_anti").select(docs.columns)
-
-
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Quality classifier: documents that it rejects go."""
     return drop_low_quality(docs, table(spark, sf_dir, "labels"))
@@ -28,14 +23,13 @@ def keep_clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """N-gram Jaccard join: of each group of linked documents the one with the smallest doc_id stays."""
-    groups = ngram_jaccard_join(docs)
-    return without(docs, groups.filter("doc_id <> component_id"), "duplicates")
+    """N-gram Jaccard join: of each group of linked rows one stays, that with the smallest doc_id; see first_of_groups."""
+    return first_of_groups(docs)
 
 
 def keep_uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Benchmark decontamination: documents with a benchmark passage go."""
-    return without(docs, contaminated(docs, table(spark, sf_dir, "benchmark")), "contaminated")
+    """Benchmark decontamination: rows with a benchmark passage go."""
+    return decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -8,12 +8,13 @@ import random
 import re
 import zlib
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from cachelens.llm import chat_format, decontaminate, html_extract, licenses, mixing, ngram_join, quality, simhash, toxicity, warc
+from cachelens.llm import chat_format, decontaminate, html_extract, licenses, mixing, ngram_join, quality, queries, simhash, toxicity, warc
 from cachelens.llm.components import components
 from cachelens.llm.textops import distinct_sets, ngram_hashes, strings, word_hashes
 from cachelens.llm.trie import SetTrie, linked_groups
@@ -62,7 +63,7 @@ def near_docs(seed):
     return list(enumerate(docs))
 
 
-@pytest.mark.parametrize("options", [{}, {"block_tokens": 500, "join_tokens": 400, "join_sets": 3}])
+@pytest.mark.parametrize("options", [{}, {"block_tokens": 500, "join_tokens": 400, "join_sets": 3, "bucket_sets": 2}])
 def test_ngram_join_equals_brute_force(spark, options):
     docs = near_docs(3)
     got = ngram_join.ngram_jaccard_join(spark.createDataFrame(docs, "doc_id long, text string"), **options).collect()
@@ -75,15 +76,50 @@ def test_ngram_join_edges(spark):
     assert ngram_join.ngram_jaccard_join(edge_docs(spark).limit(0)).count() == 0
 
 
+def test_join_blocks_hold_no_more_than_two_blocks_and_the_leader(spark, tmp_path, monkeypatch):
+    """300 sets share a first n-gram, and hardly any links: no task may hold them all."""
+    rng = random.Random(5)
+    hot = [f"h{i}" for i in range(30)]
+    docs = [(i, " ".join(hot + [f"w{rng.randrange(10**9)}" for _ in range(6)])) for i in range(300)]
+    docs += [(1000 + i, t) for i, t in docs[:50]] + [(2000 + i, t + " tail") for i, t in docs[:40]]
+    seen, whole = str(tmp_path / "seen"), ngram_join.join_block
+
+    def counting(percent):
+        inner = whole(percent)
+
+        def task(key, rows):
+            with open(seen, "a") as f:
+                f.write(f"{rows.groupby('star').size().max()}\n")
+            return inner(key, rows)
+
+        return task
+
+    monkeypatch.setattr(ngram_join, "join_block", counting)
+    got = ngram_join.ngram_jaccard_join(spark.createDataFrame(docs, "doc_id long, text string"), join_sets=30, bucket_sets=20).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute_components(docs)
+    held = [int(x) for x in open(seen)]
+    assert len(held) > 20 and max(held) <= 150  # blocks and groups of 30 by hash; the star has 340 sets
+
+
+def test_first_of_groups(spark):
+    text = " ".join(f"w{i}" for i in range(30))
+    rows = [(1, text), (2, text), (2, "another text than that of the first one"), (4, text + " x"), (4, text + " x"), (None, text), (7, "six words that are not repeated"), (7, "six words that are not repeated"), (None, "no id but words of its own"), (None, "no id but words of its own"), (8, None), (8, ""), (8, "")]
+    d = spark.createDataFrame(rows, "doc_id long, text string").withColumn("count", F.lit(1)).withColumn("of_id", F.lit(2))
+    got = ngram_join.first_of_groups(d)
+    assert got.columns == d.columns
+    assert sorted((r.doc_id or 0, r.text or "") for r in got.collect()) == sorted([(1, text), (2, rows[2][1]), (7, rows[6][1]), (0, rows[8][1]), (8, ""), (8, ""), (8, "")])
+    assert ngram_join.first_of_groups(d.limit(0)).count() == 0
+
+
 def test_trie_search_equals_brute_force():
     rng = np.random.default_rng(1)
     sets = [np.sort(rng.choice(30, rng.integers(1, 20), replace=False)) for _ in range(60)]
     sizes = np.array([len(s) + rng.integers(0, 3) for s in sets])
-    trie = SetTrie(sets, sizes, 30)
     for percent in (50, 80):
-        for s, n in zip(sets, sizes):
+        trie = SetTrie(sets, sizes, 30, percent)
+        for i, (s, n) in enumerate(zip(sets, sizes)):
             both = np.array([len(np.intersect1d(s, x)) for x in sets])
-            assert trie.search(s, int(n), percent).tolist() == np.flatnonzero((100 * both >= percent * (n + sizes - both)) & (both > 0)).tolist()
+            assert trie.search(s, i).tolist() == np.flatnonzero((100 * both >= percent * (n + sizes - both)) & (both > 0)).tolist()
     assert linked_groups(sets[:1], sizes[:1], 0, 80).tolist() == [0]
 
 
@@ -245,7 +281,8 @@ def test_decontamination(spark):
     docs = [(1, " ".join(clean + item + clean)), (2, " ".join(clean + changed)), (3, " ".join(clean)), (4, " ".join(item[:8])), (1, "again"), (6, None), (None, " ".join(item).upper())]
     d, b = spark.createDataFrame(docs, "doc_id long, text string").withColumn("words", F.lit(1)), spark.createDataFrame([(7, " ".join(item)), (8, "too short"), (9, None)], "item_id long, text string")
     assert {(r.doc_id, r.item_id) for r in decontaminate.contaminated(d, b).collect()} == {(1, 7), (2, 7), (None, 7)}
-    assert sorted(r.doc_id or 0 for r in decontaminate.decontaminate(d, b).collect()) == [0, 3, 4, 6]
+    assert sorted((r.doc_id or 0, r.text) for r in decontaminate.decontaminate(d, b).collect())[0] == (1, "again")
+    assert sorted(r.doc_id or 0 for r in decontaminate.decontaminate(d, b).collect()) == [1, 3, 4, 6]
     assert decontaminate.contaminated(d.limit(0), b).count() == 0 and decontaminate.contaminated(d, b.limit(0)).count() == 0
 
 
@@ -289,6 +326,27 @@ def test_decontamination_finds_edited_passages(spark):
     assert all((d, 15) in got for d, (n, c) in edited.items() if n == 15 and c <= 3)
 
 
+def test_decontamination_of_short_items_and_long_texts(spark):
+    items = [(1, "yes"), (2, "oh no"), (3, "a b c"), (4, "one two three four five six seven"), (5, " "), (6, " ".join(f"z{i}" for i in range(30)))]
+    long_text = "filler " * 60000 + items[5][1] + " more" * 60000
+    docs = [(1, "Yes"), (2, "yes indeed, yes"), (3, "oh\tno"), (4, "and oh no"), (5, "x a B c y"), (6, "a b x c"), (7, "x one two three four five six seven"), (8, "one two three four five six eight"), (9, long_text), (None, "a b c")]
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.matched for r in decontaminate.contaminated(d, b).collect()}
+    assert got == {(1, 1): 1, (3, 2): 2, (5, 3): 3, (7, 4): 7, (9, 6): 24, (None, 3): 3}
+    assert sorted(r.doc_id for r in decontaminate.decontaminate(d, b).collect()) == [2, 4, 6, 8]
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLES))
+def test_query_equals_sql(spark, name):
+    con = duckdb.connect()
+    for t in ("documents", "pages", "benchmark", "labels", "conversations"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{DATA}/{t}.parquet'")
+    got = queries.QUERIES[name](spark, DATA)
+    names = sorted(got.columns)
+    con.execute(f"SELECT {', '.join(names)} FROM ({queries.ORACLES[name]})")
+    assert sorted(map(repr, map(tuple, got.select(names).collect()))) == sorted(map(repr, con.fetchall()))
+
+
 def test_chat_round_trip(spark):
     texts = ["<|im_end|><|im_start|>assistant ok", "a\\b<\\p\n\\n", "", None, "<|", "\\"]
     rows = [(1, k, ["user", "assistant", "sys\ntem\\n<|"][k % 3], t) for k, t in enumerate(texts)] + [(1, 0, "user", "tie"), (None, None, None, None)]
