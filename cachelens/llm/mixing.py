@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .base import stored
+from .base import stored, unused
 
 #: A draw with a larger mean is a sum of draws with means up to this one.
 PIECE_MEAN = 4.0
@@ -54,18 +54,19 @@ def mix_sources(documents: DataFrame, targets: DataFrame | None = None, temperat
     rows, by default the number of input rows. A null source is a source of its own. Rows with the same
     doc_id draw alike; a null doc_id draws as the text "null". An empty table gives an empty result. Rows are
     dealt to partitions by the hashed key and sorted by it, which orders them at random over the whole
-    output; a source of any size spreads evenly. Columns named copy or position are replaced.
+    output; a source of any size spreads evenly. Columns named copy or position are replaced, all others stay.
     """
     documents = documents.drop("copy", "position")
+    of_source, pieces, cdf, copies = unused(documents, "mean_source", "pieces", "cdf", "copies")
     # A written table has a known size, by which the planner broadcasts it or not.
-    means = stored(target_means(documents, targets, temperature, total), "means").withColumnRenamed("source", "mean_source")
-    joined = documents.join(means, F.col("source").eqNullSafe(F.col("mean_source")))
+    means = stored(target_means(documents, targets, temperature, total), "means").toDF(of_source, pieces, cdf)
+    joined = documents.join(means, F.col("source").eqNullSafe(F.col(of_source)))
     name = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
-    draws = F.transform(F.sequence(F.lit(1), F.col("pieces")), lambda k: uniform(F.lit(seed), name, k.cast("string")))
-    draw = F.transform(draws, lambda u: F.size(F.filter(F.col("cdf"), lambda c: u >= c)))
-    copies = F.when(F.col("pieces") > 0, F.aggregate(draw, F.lit(0), lambda a, b: a + b)).otherwise(F.lit(0))
-    out = joined.withColumn("copies", copies).drop("mean_source", "pieces", "cdf").filter("copies > 0")
-    out = out.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1))).drop("copies")
+    drawn = F.transform(F.sequence(F.lit(1), F.col(pieces)), lambda k: uniform(F.lit(seed), name, k.cast("string")))
+    drawn = F.transform(drawn, lambda u: F.size(F.filter(F.col(cdf), lambda c: u >= c)))
+    number = F.when(F.col(pieces) > 0, F.aggregate(drawn, F.lit(0), lambda a, b: a + b)).otherwise(F.lit(0))
+    out = joined.withColumn(copies, number).drop(of_source, pieces, cdf).filter(F.col(copies) > 0)
+    out = out.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col(copies) - 1))).drop(copies)
     out = out.withColumn("position", F.md5(F.concat_ws("|", F.lit(seed), name, F.col("copy").cast("string"))))
     return out.repartition("position").sortWithinPartitions("position")
 

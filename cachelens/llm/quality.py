@@ -2,9 +2,9 @@
 
 The content view sees what the text is made of: hashed byte trigrams. The metadata view sees only the row's
 metadata and layout: language, source, length, lines, and shares of symbols, capitals and repeats. Each view
-has a logistic regression. In each round, each classifier labels the unlabelled rows of which it is surest and
-gives them to the other one. Both are then calibrated on labelled rows that they haven't learnt from, and the
-score is the mean of their calibrated log odds.
+has a logistic regression. In each round, each classifier scores all rows of the corpus but those that are learnt
+from, and gives the ones it is surest of, labelled by itself, to the other one. Both are then calibrated on labelled rows
+that they haven't learnt from, and the score is the mean of their calibrated log odds.
 """
 
 from __future__ import annotations
@@ -18,14 +18,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .sampling import labelled_sample
+from .base import stored, text_key
+from .sampling import labelled_sample, sampled_texts
 from .textops import distinct_sets, ngram_hashes, slices, strings, word_hashes
 
 SLICE_BYTES = 2 << 20
 CONTENT, SOURCES = 2048, 64
-#: The classifiers are fitted on at most so many labelled rows of either class and unlabelled rows (bounded sample).
-ROWS_PER_CLASS, UNLABELLED = 2048, 4096
-ROUNDS, GIVEN = 4, 256
+#: The classifiers are fitted on at most so many labelled rows of either class (bounded sample), and on no more bytes than sampling.SAMPLE_BYTES.
+ROWS_PER_CLASS = 2048
+#: Rounds of exchange, and how many rows a view gives away in each: the surest of the whole corpus.
+ROUNDS, GIVEN = 3, 256
+#: Log odds from which a view is sure.
+SURE = 2.0
 #: A document is kept from this score on: below it, it is at least twice as likely to be bad.
 LEAST_SCORE = 1 / 3
 
@@ -107,47 +111,76 @@ def calibration(odds: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return a, b
 
 
-def co_train(content: np.ndarray, meta: np.ndarray, label: np.ndarray) -> dict | None:
-    """The calibrated model of labelled (1, 0) and unlabelled (-1) rows; None unless both labels are there."""
-    known = np.flatnonzero(label >= 0)
-    if len(np.unique(label[known])) < 2 or len(known) < 8:
+def fit_views(content: np.ndarray, meta: np.ndarray, label: np.ndarray, view: np.ndarray, mark: np.ndarray) -> dict | None:
+    """The calibrated model of labelled rows (``view`` -1) and of rows given to a view with a ``mark``; None unless both labels are there."""
+    known = np.flatnonzero(view < 0)
+    if len(known) < 8 or len(np.unique(label[known])) < 2:
         return None
     held, learn = known[::4], np.setdiff1d(known, known[::4])
     if len(np.unique(label[learn])) < 2 or len(np.unique(label[held])) < 2:
         held = learn = known
-    pool = np.flatnonzero(label < 0)
-    inputs, l2 = (content, meta), (3e-3, 1e-3)
-    rows, marks = [learn, learn], [label[learn].astype(np.float32)] * 2
-    left = pool
-    for k in range(ROUNDS + 1):
-        models = [Logistic(inputs[v][rows[v]], marks[v], l2[v]) for v in (0, 1)]
-        if k == ROUNDS or not len(left):
-            break
-        taken = []
-        for v in (0, 1):  # what view v is surest of goes to the other view, both labels in the share they have
-            odds = models[v].odds(inputs[v][left])
-            good = max(1, int(GIVEN * marks[v].mean()))
-            order = np.argsort(odds, kind="stable")
-            chosen = np.concatenate([order[-good:], order[: GIVEN - good]])
-            chosen = chosen[np.abs(odds[chosen]) > 2]
-            rows[1 - v] = np.concatenate([rows[1 - v], left[chosen]])
-            marks[1 - v] = np.concatenate([marks[1 - v], (odds[chosen] > 0).astype(np.float32)])
-            taken.append(left[chosen])
-        left = np.setdiff1d(left, np.concatenate(taken))
-    scales = [calibration(m.odds(x[held]), label[held]) for m, x in zip(models, inputs)]
-    return {"w0": models[0].w, "w1": models[1].w, "rest": np.array([models[0].b, models[1].b, *scales[0], *scales[1]])}
+    models = []
+    for v, x, l2 in ((0, content, 3e-3), (1, meta, 1e-3)):
+        given = np.flatnonzero(view == v)
+        models.append(Logistic(x[np.concatenate([learn, given])], np.concatenate([label[learn], mark[given]]).astype(np.float32), l2))
+    scales = [calibration(m.odds(x[held]), label[held]) for m, x in zip(models, (content, meta))]
+    return {"w0": models[0].w, "w1": models[1].w, "rest": np.array([models[0].b, models[1].b, *scales[0], *scales[1], label[learn].mean()])}
+
+
+MODEL_FIELDS = "w0 binary, w1 binary, rest binary"
+ROW_FIELDS = "doc_id long, label int, place long, view int, mark int, content binary, meta binary"
 
 
 def fit_task(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-    rows = rows.sort_values(["place", "doc_id"], kind="stable")
+    rows = rows.sort_values(["view", "place", "doc_id"], kind="stable")
     content = np.stack([np.frombuffer(x, np.float16) for x in rows["content"]]).astype(np.float32)
     meta = np.stack([np.frombuffer(x, np.float32) for x in rows["meta"]])
-    model = co_train(content, meta, rows["label"].to_numpy())
+    model = fit_views(content, meta, rows["label"].to_numpy(), rows["view"].to_numpy(), rows["mark"].to_numpy())
     if model is None:
         return pd.DataFrame({"w0": [], "w1": [], "rest": []}, dtype=object)
     return pd.DataFrame({"w0": [model["w0"].astype(np.float32).tobytes()], "w1": [model["w1"].astype(np.float32).tobytes()], "rest": [model["rest"].astype(np.float64).tobytes()]})
 
 
+def fitted(rows: DataFrame) -> dict | None:
+    """The model of featured rows (ROW_FIELDS), which one task holds: the labelled sample and 2 * ROUNDS * GIVEN rows."""
+    got = rows.groupBy(F.lit(0).alias("all")).applyInPandas(fit_task, MODEL_FIELDS).collect()
+    if not got:
+        return None
+    return {"w0": np.frombuffer(got[0]["w0"], np.float32), "w1": np.frombuffer(got[0]["w1"], np.float32), "rest": np.frombuffer(got[0]["rest"], np.float64)}
+
+
+def raw_odds(piece: pa.Table, model: dict) -> tuple[np.ndarray, np.ndarray]:
+    content, meta = views(piece)
+    return content @ model["w0"] + model["rest"][0], meta @ model["w1"] + model["rest"][1]
+
+
+def surest_task(model: dict, learnt: np.ndarray, given: int):
+    """Of a partition's rows that aren't learnt from, the ``given`` surest of either sign for each view, a text once."""
+    schema = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("by", pa.int32()), ("odds", pa.float64())])
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = {}
+        for piece in slices(batches, SLICE_BYTES):
+            ids, keys = (piece[c].combine_chunks().fill_null(0).to_numpy(zero_copy_only=False) for c in ("doc_id", "text_key"))
+            free = ~np.isin(keys, learnt) & np.asarray(piece["doc_id"].combine_chunks().is_valid())
+            for v, odds in enumerate(raw_odds(piece, model)):
+                for sign in (1, -1):
+                    at = np.flatnonzero(free & (sign * odds > SURE))
+                    rows = np.rec.fromarrays([-sign * odds[at].astype(np.float64), keys[at], ids[at]], names="far,key,id")
+                    rows = np.concatenate([best.get((v, sign), rows[:0]), rows])
+                    best[v, sign] = first_of_each(rows)[:given]
+        for (v, sign), rows in best.items():
+            yield pa.RecordBatch.from_arrays([pa.array(rows["id"]), pa.array(rows["key"]), pa.array(np.full(len(rows), v, np.int32)), pa.array(-sign * rows["far"])], schema=schema)
+
+    return task
+
+
+def first_of_each(rows: np.ndarray) -> np.ndarray:
+    """Sorted rows (far, key, id), the first of each key."""
+    rows = np.sort(rows, order=["far", "key", "id"])
+    return rows[np.sort(np.unique(rows["key"], return_index=True)[1])]
+
+
 def view_columns(documents: DataFrame) -> DataFrame:
     def text(name: str):
         return F.col(name).cast("string").alias(name) if name in documents.columns else F.lit(None).cast("string").alias(name)
@@ -155,26 +188,57 @@ def view_columns(documents: DataFrame) -> DataFrame:
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), text("text"), text("lang"), text("source"))
 
 
-def fit_quality(documents: DataFrame, labels: DataFrame, rows_per_class: int = ROWS_PER_CLASS, unlabelled: int = UNLABELLED) -> dict | None:
-    """The model of ``labels`` (doc_id, quality) and of documents without a label, both bounded samples by hashed id."""
-    known = labelled_sample(labels, "quality", rows_per_class, held_out_fold=False)
-    ids = documents.select(F.col("doc_id").cast("long").alias("doc_id")).filter("doc_id IS NOT NULL").join(labels.select("doc_id"), "doc_id", "left_anti")
-    free = ids.orderBy(F.xxhash64("doc_id", F.lit("free")), "doc_id").limit(unlabelled).distinct().withColumn("label", F.lit(-1))
+def featured(rows: DataFrame) -> DataFrame:
+    """ROW_FIELDS of rows (doc_id, label, place, view, mark, text, lang, source)."""
+    names = ("doc_id", "label", "place", "view", "mark")
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in slices(batches, SLICE_BYTES):
             content, meta = views(piece)
-            yield pa.RecordBatch.from_pydict(
-                {"doc_id": piece["doc_id"].combine_chunks(), "label": piece["label"].combine_chunks(), "content": pa.array([x.astype(np.float16).tobytes() for x in content], pa.binary()), "meta": pa.array([x.tobytes() for x in meta], pa.binary())}
-            )
-
-    sample = F.broadcast(known.unionByName(free))  # at most 2 * rows_per_class + unlabelled ids
-    rows = view_columns(documents).join(sample, "doc_id").mapInArrow(task, "doc_id long, label int, content binary, meta binary")
-    rows = rows.dropDuplicates(["doc_id"]).withColumn("place", F.xxhash64("doc_id", F.lit("order")))
-    got = rows.groupBy(F.lit(0).alias("all")).applyInPandas(fit_task, "w0 binary, w1 binary, rest binary").collect()
-    if not got:
-        return None
-    return {"w0": np.frombuffer(got[0]["w0"], np.float32), "w1": np.frombuffer(got[0]["w1"], np.float32), "rest": np.frombuffer(got[0]["rest"], np.float64)}
+            columns = {c: piece[c].combine_chunks() for c in names}
+            yield pa.RecordBatch.from_pydict(columns | {"content": pa.array([x.astype(np.float16).tobytes() for x in content], pa.binary()), "meta": pa.array([x.tobytes() for x in meta], pa.binary())})
+
+    return rows.select(*names, "text", "lang", "source").mapInArrow(task, ROW_FIELDS)
+
+
+def surest(keyed: DataFrame, model: dict, learnt: list[int], given: int) -> list[tuple]:
+    """(doc_id, text_key, view, mark) of the rows that each view gives to the other one, in the labels' shares."""
+    found = keyed.mapInArrow(surest_task(model, np.array(learnt, np.int64), given), "doc_id long, text_key long, by int, odds double")
+    found = stored(found.groupBy("text_key", "by").agg(F.min("doc_id").alias("doc_id"), F.min("odds").alias("odds")), "surest")
+    good = max(1, int(given * model["rest"][6]))
+    out = []
+    for by in (0, 1):
+        for mark, most, order in ((1, good, F.desc("odds")), (0, given - good, F.asc("odds"))):
+            side = found.filter((F.col("by") == by) & ((F.col("odds") > 0) == (mark == 1)))
+            out += [(r.doc_id, r.text_key, 1 - by, mark) for r in side.orderBy(order, "doc_id", "text_key").limit(most).collect()]
+    return out
+
+
+def fit_quality(documents: DataFrame, labels: DataFrame, rows_per_class: int = ROWS_PER_CLASS, rounds: int = ROUNDS, given: int = GIVEN) -> dict | None:
+    """The model of a bounded sample of ``labels`` (doc_id, quality), by hashed id, and of all ``documents``.
+
+    Each round reads the corpus twice: to score every row that isn't in the sample nor given yet, and to fetch the few
+    rows that are given. A text that occurs often is given once.
+    """
+    keyed = view_columns(documents).withColumn("text_key", text_key())
+    sample = labelled_sample(labels, "quality", rows_per_class, held_out_fold=False)
+    known = sampled_texts(keyed, sample, "text", "lang", "source").withColumn("view", F.lit(-1)).withColumn("mark", F.lit(-1))
+    rows = stored(featured(known).join(known.select("doc_id", text_key().alias("text_key")), "doc_id"), "labelled")
+    learnt = [r[0] for r in rows.select("text_key").collect()]
+    rows = rows.drop("text_key")
+    spark = documents.sparkSession
+    for _ in range(rounds):
+        model = fitted(rows)
+        chosen = surest(keyed, model, learnt, given) if model is not None else []
+        if not chosen:
+            return model
+        learnt += [r[1] for r in chosen]
+        few = F.broadcast(spark.createDataFrame(chosen, "of_id long, of_key long, view int, mark int"))  # at most 2 * given rows
+        same = (F.col("doc_id") == F.col("of_id")) & (F.col("text_key") == F.col("of_key"))
+        texts = keyed.join(few, same).groupBy("doc_id", "text_key", "view", "mark").agg(F.min(F.struct("text", "lang", "source")).alias("row"))
+        texts = texts.select("doc_id", F.lit(-1).alias("label"), F.xxhash64("doc_id", F.lit("order")).alias("place"), "view", "mark", "row.*")
+        rows = stored(rows.unionByName(featured(texts)), "given")
+    return fitted(rows)
 
 
 def scorer(model: dict | None):
@@ -183,10 +247,10 @@ def scorer(model: dict | None):
     def score(piece: pa.Table) -> np.ndarray:
         odds = np.zeros((3, piece.num_rows))
         if model is not None:
-            content, meta = views(piece)
-            b0, b1, s0, o0, s1, o1 = model["rest"]
-            odds[0] = np.clip(s0 * (content @ model["w0"] + b0) + o0, -12, 12)
-            odds[1] = np.clip(s1 * (meta @ model["w1"] + b1) + o1, -12, 12)
+            content, meta = raw_odds(piece, model)
+            s0, o0, s1, o1 = model["rest"][2:6]
+            odds[0] = np.clip(s0 * content + o0, -12, 12)
+            odds[1] = np.clip(s1 * meta + o1, -12, 12)
             odds[2] = (odds[0] + odds[1]) / 2
         return 1 / (1 + np.exp(-odds))
 
@@ -217,13 +281,14 @@ def drop_low_quality(documents: DataFrame, labels: DataFrame, least: float = LEA
     return documents.mapInArrow(task, documents.schema)
 
 
-def quality(documents: DataFrame, labels: DataFrame, rows_per_class: int = ROWS_PER_CLASS, unlabelled: int = UNLABELLED) -> DataFrame:
+def quality(documents: DataFrame, labels: DataFrame, rows_per_class: int = ROWS_PER_CLASS, rounds: int = ROUNDS, given: int = GIVEN) -> DataFrame:
     """(doc_id, content_score, metadata_score, score, keep) for every row of ``documents`` (doc_id, text, lang, source).
 
     The scores are probabilities that the quality label is 1; keep: score >= LEAST_SCORE. Without rows of both
     labels every score is 0.5 and everything is kept. A null text counts as empty; null or missing lang and
-    source are values of their own. Rows with the same doc_id each give a row, and one of them is learnt
-    from. Other columns are ignored; an empty table gives an empty result.
+    source are values of their own. Rows with the same doc_id each give a row, and one of them is learnt from,
+    the same in every run; rows without an id aren't learnt from. A text of any length is scored as a whole by one
+    task. Other columns are ignored; an empty table gives an empty result.
     """
-    scored = score_quality(documents, fit_quality(documents, labels, rows_per_class, unlabelled))
+    scored = score_quality(documents, fit_quality(documents, labels, rows_per_class, rounds, given))
     return scored.withColumn("keep", F.col("score") >= LEAST_SCORE)

@@ -16,13 +16,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .sampling import held_out, labelled_sample
+from .sampling import held_out, labelled_sample, sampled_texts
 from .textops import U64, distinct_sets, mix64, slices, strings, sums, word_hashes
 
 SLICE_BYTES = 2 << 20
 #: Features are hashed to so many bits; the weights of them can't be more.
 HASH_BITS = 20
-#: The classifier is fitted on at most so many labelled rows of either class (bounded sample).
+#: The classifier is fitted on at most so many labelled rows of either class (bounded sample), and on no more bytes than sampling.SAMPLE_BYTES.
 ROWS_PER_CLASS = 4096
 #: Chosen on an inner fold of the rows that are learnt from.
 ALPHA, BETA, L1, L2, EPOCHS = 2.0, 1.0, 5.0, 0.1, 6
@@ -76,6 +76,8 @@ def fit_task(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
     """One row with the model; examples go in hashed order of their ids."""
     rows = rows.sort_values(["place", "doc_id"], kind="stable")
     labels = rows["label"].to_numpy().astype(float)
+    if len(np.unique(labels)) < 2:
+        return pd.DataFrame({"at": [], "weights": [], "bias": []}, dtype=object)
     found = [np.frombuffer(x, np.uint32) for x in rows["found"]]
     at, w, bias = fit_ftrl(found, labels, np.where(labels > 0, TOXIC_WEIGHT, CLEAN_WEIGHT))
     return pd.DataFrame({"at": [at.astype(np.uint32).tobytes()], "weights": [w.astype(np.float32).tobytes()], "bias": [bias]})
@@ -92,11 +94,10 @@ def fit_toxicity(documents: DataFrame, labels: DataFrame, rows_per_class: int =
         for piece in slices(batches, SLICE_BYTES):
             found, at = features(piece["text"])
             blobs = [found[a:z].astype(np.uint32).tobytes() for a, z in zip(at[:-1].tolist(), at[1:].tolist())]
-            yield pa.RecordBatch.from_pydict({"doc_id": piece["doc_id"].combine_chunks(), "label": piece["label"].combine_chunks(), "found": pa.array(blobs, pa.binary())})
+            yield pa.RecordBatch.from_pydict({"doc_id": piece["doc_id"].combine_chunks(), "label": piece["label"].combine_chunks(), "place": piece["place"].combine_chunks(), "found": pa.array(blobs, pa.binary())})
 
-    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(sample), "doc_id")  # at most 2 * rows_per_class ids
-    rows = rows.select("doc_id", "text", "label").mapInArrow(task, "doc_id long, label int, found binary")
-    rows = rows.dropDuplicates(["doc_id"]).withColumn("place", F.xxhash64("doc_id", F.lit("order")))
+    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = sampled_texts(texts, sample, "text").select("doc_id", "label", "place", "text").mapInArrow(task, "doc_id long, label int, place long, found binary")
     got = rows.groupBy(F.lit(0).alias("all")).applyInPandas(fit_task, "at binary, weights binary, bias double").collect()
     if not got:
         return np.zeros(0, np.int64), np.zeros(0, np.float32), 0.0
@@ -143,8 +144,9 @@ def toxicity(documents: DataFrame, labels: DataFrame, rows_per_class: int = ROWS
 
     Only texts are inputs of a score; equal texts have equal scores. held_out: crc32(doc_id as text) mod 5 is
     0 (false for a null id); such rows are never learnt from. Null and empty texts are scored as having no
-    words. Rows with the same doc_id each give a row, and one of them is learnt from. Other columns are
-    ignored; an empty table gives an empty result.
+    words. Rows with the same doc_id each give a row, and one of them is learnt from, the same in every run.
+    A text of any length is scored as a whole by one task. Without rows of both labels every score is 0.5. Other
+    columns are ignored; an empty table gives an empty result.
     """
     scored = score_toxicity(documents, fit_toxicity(documents, labels, rows_per_class))
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

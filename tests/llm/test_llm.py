@@ -220,6 +220,8 @@ def test_mixing(spark):
     assert share["big"] == pytest.approx(1000, rel=0.15) and share["mid"] == pytest.approx(1000, rel=0.15) and share[None] == pytest.approx(2000, rel=0.2)
     again = mixing.mix_sources(docs, targets).orderBy("position").select("doc_id", "copy").collect()
     assert again == mixing.mix_sources(docs.repartition(7), targets).orderBy("position").select("doc_id", "copy").collect()
+    clash = edge_docs(spark).withColumn("pieces", F.lit(1)).withColumn("cdf", F.lit("c")).withColumn("mean_source", F.lit(2)).withColumn("copies", F.lit(9))
+    assert {"pieces", "cdf", "mean_source", "copies"} <= set(mixing.mix_sources(clash).columns) and {r.copies for r in mixing.mix_sources(clash).collect()} == {9}
     out = mixing.mix_sources(edge_docs(spark))
     assert set(out.columns) == {*FIELDS.replace(" long", "").replace(" string", "").split(", "), "token", "score", "copy", "position"}
     assert out.collect() is not None and mixing.mix_sources(edge_docs(spark).limit(0)).count() == 0
@@ -269,9 +271,74 @@ def test_quality(spark):
     kept = quality.drop_low_quality(d, lab)
     assert kept.columns == d.columns and kept.count() == sum(r.keep for r in got)
     assert {r.score for r in quality.quality(edge_docs(spark), lab.limit(0)).collect()} == {0.5}
+    # Rows that share a doc_id, and rows in another order, change nothing: the same text is learnt from.
+    twice = d.unionByName(d.filter("doc_id % 7 = 0").withColumn("text", F.concat("text", F.lit(" more"))))
+    again = [{(r.doc_id, round(r.score, 6)) for r in quality.quality(x, lab).collect()} for x in (twice, twice.orderBy(F.desc("text")).repartition(3))]
+    assert again[0] == again[1]
     assert quality.drop_low_quality(edge_docs(spark), lab).count() <= len(EDGES) and quality.quality(d.limit(0), lab).count() == 0
 
 
+def brute_surest(rows, odds, learnt, given):
+    """What a view gives away: (text, mark), the surest texts of either sign."""
+    seen = {}
+    for (text, key), o in zip(rows, odds):
+        if key not in learnt and abs(o) > quality.SURE:
+            seen[key] = o
+    order = sorted(seen, key=lambda k: seen[k])
+    return set([k for k in reversed(order) if seen[k] > 0][:given]), set([k for k in order if seen[k] < 0][:given])
+
+
+def test_co_training_takes_the_surest_of_all_rows(spark):
+    rng = random.Random(13)
+    docs = []
+    for i in range(900):
+        words = [f"w{rng.randrange(300)}" for _ in range(rng.randrange(5, 60))]
+        docs.append((i, " ".join(w + "#$%"[: rng.randrange(4)] for w in words) if i % 3 else " ".join(words), "en", f"s{i % 3}"))
+    docs += [(1000 + i, docs[0][1], "en", "s0") for i in range(300)]  # copies are given once
+    d = spark.createDataFrame(docs, "doc_id long, text string, lang string, source string")
+    keyed = quality.view_columns(d).withColumn("text_key", quality.text_key())
+    rng = np.random.default_rng(3)
+    model = {"w0": rng.normal(0, 0.2, quality.CONTENT).astype(np.float32), "w1": rng.normal(0, 1, 9 + quality.SOURCES).astype(np.float32), "rest": np.array([0, 0, 1, 0, 1, 0, 0.5])}
+    rows = [(r.text, r.text_key) for r in keyed.orderBy("doc_id").collect()]
+    learnt = [rows[1][1], rows[2][1]]
+    got = quality.surest(keyed.repartition(5), model, learnt, 40)
+    odds = quality.raw_odds(pa.table({k: [x[j] for x in docs] for k, j in (("text", 1), ("lang", 2), ("source", 3))}), model)
+    for v in (0, 1):
+        good, bad = brute_surest(rows, odds[v], learnt, 20)
+        assert {r[1] for r in got if r[2] == 1 - v and r[3] == 1} == good and {r[1] for r in got if r[2] == 1 - v and r[3] == 0} == bad
+
+
+def test_ftrl_equals_a_plain_model():
+    rng = np.random.default_rng(5)
+    rows = [np.unique(rng.integers(0, 50, 12)).astype(np.uint32) for _ in range(60)]
+    labels = np.array([float(3 in r) for r in rows])
+    at, w, bias = toxicity.fit_ftrl(rows, labels, np.ones(60))
+    z, n, b, bn = {}, {}, 0.0, 0.0
+
+    def weight(k):
+        s = z.get(k, 0.0)
+        return 0.0 if abs(s) <= toxicity.L1 else -(s - toxicity.L1 * np.sign(s)) / ((toxicity.BETA + n[k] ** 0.5) / toxicity.ALPHA + toxicity.L2)
+
+    for _ in range(toxicity.EPOCHS):
+        for r, y in zip(rows, labels):
+            ws = {k: weight(k) for k in r.tolist()}
+            g = 1 / (1 + np.exp(-(b + sum(ws.values())))) - y
+            for k, x in ws.items():
+                before = n.get(k, 0.0)
+                z[k] = z.get(k, 0.0) + g - ((before + g * g) ** 0.5 - before**0.5) / toxicity.ALPHA * x
+                n[k] = before + g * g
+            bn += g * g
+            b -= 0.1 * g / (1 + bn) ** 0.5
+    expected = {k: weight(k) for k in z if weight(k)}
+    assert expected and dict(zip(at.tolist(), w.tolist())) == pytest.approx(expected) and bias == pytest.approx(b)
+
+
+def test_toxicity_with_one_label(spark):
+    docs = spark.range(300).select(F.col("id").alias("doc_id"), F.concat(F.lit("bad "), F.col("id").cast("string")).alias("text"))
+    lab = docs.select("doc_id", F.lit(0).alias("quality"), F.lit(1).alias("toxic"))
+    assert {r.score for r in toxicity.toxicity(docs, lab).collect()} == {0.5}
+
+
 def test_decontamination(spark):
     rng = random.Random(10)
     words = [f"v{i}" for i in range(2000)]
