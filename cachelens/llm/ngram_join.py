@@ -262,8 +262,7 @@ def links(candidates: DataFrame, percent: int, join_tokens: int, join_sets: int,
     sized = stars.groupBy("star").agg(F.count("*").alias("sets"), F.sum("held").alias("held"))
     sized = stored(sized.withColumn("blocks", F.greatest(F.ceil(F.col("held") / join_tokens), F.ceil(F.col("sets") / join_sets)).cast("int")), "sizes")
     groups = sized.filter("blocks = 1").agg(F.ceil(F.sum("held") / join_tokens)).first()[0] or 1
-    # Stars of several blocks are few; written, so that the planner knows how few.
-    large = stored(sized.filter("blocks > 1").select("star", "blocks"), "large")
+    large = sized.filter("blocks > 1").select("star", "blocks")  # few: a block has some ``join_sets`` sets
     dealt = stars.select("star", "name").join(large, "star", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     own, leads = F.pmod(F.xxhash64("name"), F.col("blocks")).cast("int"), F.col("star") == F.col("name")
     dealt = dealt.withColumn("leads", leads).withColumn("block", F.explode(F.when(leads, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(own))))
@@ -277,10 +276,10 @@ def links(candidates: DataFrame, percent: int, join_tokens: int, join_sets: int,
         return rows.groupBy("part", "block", "ask_group").applyInPandas(join_block(percent), "star long, a long, b long, open boolean")
 
     found = stored(run(dealt), "links")
-    left = stored(found.filter("open").select("star", F.col("a").alias("name")).distinct(), "open")
+    left = found.filter("open").select("star", F.col("a").alias("name")).distinct()
     if left.isEmpty():
         return found.select("a", "b")
-    counted = stored(left.groupBy("star").agg(F.ceil(F.count("*") / join_sets).cast("int").alias("ask_groups")).join(large, "star"), "asking")
+    counted = left.groupBy("star").agg(F.ceil(F.count("*") / join_sets).cast("int").alias("ask_groups")).join(large, "star")
     asking = left.join(counted, "star").withColumn("ask_group", F.pmod(F.xxhash64("name", F.lit(1)), F.col("ask_groups")).cast("int")).withColumn("own", own)
     asking = asking.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).filter("block <> own").withColumn("asks", F.lit(True)).withColumn("leads", F.lit(False))
     asked = dealt.filter("blocks > 1 AND NOT leads").drop("blocks", "ask_group").join(counted, "star").withColumn("ask_group", F.explode(F.sequence(F.lit(0), F.col("ask_groups") - 1)))
@@ -318,7 +317,7 @@ def grouped(documents: DataFrame, words: int, percent: int, block_tokens: int, j
     able = counted.repartition(tasks, "part").groupBy("part").applyInPandas(prefix_block(percent), "name long, n long, alone long, tokens array<long>, counts array<int>")
     labels = components(links(stored(able, "candidates"), percent, join_tokens, join_sets, bucket_sets))
     named = classes.withColumn("name", name).join(labels.select(F.col("node").alias("name"), F.col("component").alias("label")), "name", "left")
-    return own, stored(named.select("d1", "d2", F.coalesce("label", "name").alias("group"), F.col("label").isNotNull().alias("linked"), "first"), "groups")
+    return own, named.select("d1", "d2", F.coalesce("label", "name").alias("group"), F.col("label").isNotNull().alias("linked"), "first")
 
 
 def with_head(classes: DataFrame) -> DataFrame:
