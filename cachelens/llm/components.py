@@ -26,6 +26,7 @@ def components(edges: DataFrame) -> DataFrame:
     while not left.isEmpty():
         both = left.unionByName(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
         up = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("to")).withColumn("to", F.least("node", "to"))
+        up = stored(up, "pointers")  # of known size: a small one is broadcast, so a hub's neighbours stay spread
         for _ in range(2):
             over = up.select(F.col("node").alias("to"), F.col("to").alias("further"))
             up = up.join(over, "to", "left").select("node", F.coalesce("further", "to").alias("to"))
