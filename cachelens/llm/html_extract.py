@@ -1,8 +1,9 @@
 """Main-text extraction from HTML by minimum-cut labelling.
 
 A page is cut into text blocks. A linear classifier gives each block the cost of calling it content and of
-calling it boilerplate, which become the capacities from the source and to the sink; neighbouring blocks, more
-so in the same container, are tied by smoothness edges. The minimum cut is the labelling of least total cost.
+calling it boilerplate, which become the capacities from the source and to the sink. Smoothness edges tie neighbouring
+blocks, more so in the same container, and each block to the one before it in its container, whatever lies between.
+The minimum cut is the labelling of least total cost.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from __future__ import annotations
 import html
 import math
 import re
-from collections import deque
+from collections import Counter, deque
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -20,14 +21,18 @@ from pyspark.sql import functions as F
 from .textops import slices
 
 SLICE_BYTES = 8 << 20
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+#: What may follow in a tag; a quoted value is found by its closing quote. No part of it can match in two ways.
+PART = re.compile(r"[^>\"']*+")
 ATTRIBUTE = re.compile(r"([^\s=\"'>/]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))")
-RAW = {"script", "style", "noscript", "template", "textarea", "title", "iframe", "xmp", "noembed", "noframes", "svg", "math"}
+RAW = {"script", "style", "template", "textarea", "title", "iframe", "noembed", "noframes"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
-INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q rb rp rt ruby s samp small span strike strong sub sup time tt u var wbr img".split())
+INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q rb rp rt ruby s samp small span strike strong sub sup time tt u var wbr img math mi mn mo mrow ms mtext msup msub msubsup mfrac msqrt mroot mover munder munderover mstyle semantics".split())
+#: Elements that aren't graphics: they end an unclosed one.
+BREAKOUT = set("blockquote body div dl dt dd h1 h2 h3 h4 h5 h6 hr li main ol p pre section table ul article".split())
 #: Elements that a new one of the key ends.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
-AWAY = {"nav", "header", "footer", "aside", "form", "button", "select", "dialog", "menu", "fieldset", "label", "address", "figcaption"}
+AWAY = {"nav", "header", "footer", "aside", "form", "button", "select", "dialog", "menu", "fieldset", "label", "svg"}
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 NEGATIVE = re.compile(
     r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|advertising|banner|sponsor(?:ed)?|promo(?:tion)?s?|cookies?|consent|gdpr|notice|popup|modal|overlay|newsletter|subscribe|signup|login|nav|navbar|navigation|menu|breadcrumbs?|"
@@ -41,14 +46,18 @@ ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form
 BIAS, IN_ARTICLE, IN_MAIN, MARKED_GOOD, MARKED_BAD, AWAY_TAG = 0.2, 3.0, 1.5, 1.5, -5.0, -6.0
 LINKED, LENGTH, SENTENCE, HEADING, CONTROL = -4.0, 0.6, 0.4, 0.3, -1.0
 #: Smoothness of neighbours, and what is added in the same container; both shrink with the gap between containers.
-NEAR, SAME = 0.4, 0.5
+#: APART: of a block and the one before it in its container, with others between.
+NEAR, SAME, APART = 0.4, 0.5, 0.2
 
 
 class Block:
-    __slots__ = ("parts", "linked", "size", "path", "good", "bad", "article", "main", "away", "heading", "item")
+    """depth: containers around it; home: the number of the outer one of the last two; shared: those in common with the block before."""
 
-    def __init__(self, path: tuple, state: tuple, tag: str):
-        self.parts, self.linked, self.size, self.path = [], 0, 0, path
+    __slots__ = ("parts", "linked", "size", "depth", "home", "shared", "good", "bad", "article", "main", "away", "heading", "item")
+
+    def __init__(self, depth: int, home: int, shared: int, state: tuple, tag: str):
+        self.parts, self.linked, self.size = [], 0, 0
+        self.depth, self.home, self.shared = depth, home, shared
         self.article, self.main, self.good, self.bad, self.away = state
         self.heading, self.item = tag in ("h1", "h2", "h3", "h4", "h5", "h6"), tag in ("li", "option")
 
@@ -76,21 +85,68 @@ def element_state(state: tuple, tag: str, attributes: str) -> tuple:
     return article, main, good, bad, away
 
 
+def skipped(page: str, at: int) -> int:
+    """The position behind a comment, CDATA section, declaration or processing instruction."""
+    for begin, close in (("<!--", "-->"), ("<![CDATA[", "]]>"), ("<", ">")):
+        if page.startswith(begin, at):
+            found = page.find(close, at + (2 if begin == "<!--" else len(begin)))
+            if found >= 0:
+                return found + len(close)
+            if begin == "<!--":
+                return len(page)
+    return len(page)
+
+
+def tag_end(page: str, at: int, quotes: dict[str, int]) -> int:
+    """The position behind the tag whose name ends at ``at``.
+
+    A quote without a closing one ends with the next >, as the tag does. ``quotes`` has each quote's last place.
+    """
+    end = len(page)
+    while at < end:
+        at = PART.match(page, at).end()
+        if at >= end:
+            return end + 1
+        if page[at] == ">":
+            return at + 1
+        if quotes[page[at]] <= at:
+            found = page.find(">", at)
+            return found + 1 if found >= 0 else end + 1
+        value = page.find(page[at], at + 1)
+        # A value with a tag in it has lost its closing quote.
+        broken = page.find("<", at, value)
+        if broken >= 0 and (early := page.find(">", at, broken)) >= 0:
+            return early + 1
+        at = value + 1
+    return end + 1
+
+
 def blocks_of(page: str) -> list[Block]:
     """The page's text blocks in order, without scripts, styles and comments."""
     out: list[Block] = []
-    stack: list[tuple[str, int, tuple]] = [("", 0, (0, 0, 0, 0, 0))]
-    at, number, block, links = 0, 0, None, 0
+    # Of each open element: tag and state; of the container that it is or is in: tag, number, the one around it, depth.
+    stack: list[tuple] = [("", (0, 0, 0, 0, 0), "", 0, -1, 1)]
+    is_open = Counter()
+    number, block, links, low = 0, None, 0, 1
+
+    def close_down_to(k: int) -> None:
+        nonlocal links, low
+        for element in stack[k:]:
+            is_open[element[0]] -= 1
+            links -= element[0] == "a"
+        del stack[k:]
+        low = min(low, stack[-1][5])
 
     def text(raw: str) -> None:
-        nonlocal block
+        nonlocal block, low
         if not raw:
             return
         if block is None:
             if raw.isspace():
                 return
-            tag = next((t for t, _, _ in reversed(stack) if t not in INLINE), "")
-            block = Block(tuple(n for t, n, _ in stack if t not in INLINE), stack[-1][2], tag)
+            _, state, tag, _, home, depth = stack[-1]
+            block = Block(depth, home, min(low, depth), state, tag)
+            low = depth
             out.append(block)
         raw = html.unescape(raw)
         block.parts.append(raw)
@@ -99,40 +155,60 @@ def blocks_of(page: str) -> list[Block]:
         block.linked += size if links else 0
 
     pos, end = 0, len(page)
+    quotes = {q: page.rfind(q) for q in "\"'"}
+    raw_end = {}
     while pos < end:
-        m = TOKEN.search(page, pos)
-        if not m:
+        at = page.find("<", pos)
+        if at < 0:
             text(page[pos:])
             break
-        text(page[pos : m.start()])
-        pos = m.end()
-        if m[2] is None:
+        text(page[pos:at])
+        first = page[at + 1 : at + 2]
+        if first in ("!", "?"):
+            pos = skipped(page, at)
+            continue
+        closing = first == "/"
+        m = NAME.match(page, at + 1 + closing)
+        if not m:
+            if closing:  # as browsers do, a comment up to the next >
+                pos = page.find(">", at) + 1 or end
+            else:
+                text("<")
+                pos = at + 1
             continue
-        tag = m[2].lower()
-        if m[1]:
+        begin = m.end()
+        pos = tag_end(page, begin, quotes)
+        tag, attributes = m[0].lower(), page[begin : pos - 1]
+        if closing:
             if tag not in INLINE:
                 block = None
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == tag:
-                    links -= sum(t == "a" for t, _, _ in stack[k:])
-                    del stack[k:]
-                    break
+            if is_open[tag] > 0:
+                close_down_to(next(k for k in range(len(stack) - 1, 0, -1) if stack[k][0] == tag))
             continue
+        if is_open["svg"] > 0 and tag in BREAKOUT:
+            close_down_to(next(k for k in range(len(stack) - 1, 0, -1) if stack[k][0] == "svg"))
         if tag not in INLINE:
             block = None
-        if tag in RAW and not m[3].rstrip().endswith("/"):
-            close = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, pos)
-            pos = close.end() if close else end
+        shut = attributes.endswith("/")
+        if tag in RAW and not shut:
+            if raw_end.get(tag, pos) >= pos:  # there may be one
+                close = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.I).search(page, pos)
+                raw_end[tag] = close.start() if close else -1
+                # Scripts and styles without an end go on to the page's end; the others' contents are read.
+                if close or tag in ("script", "style"):
+                    pos = close.end() if close else end
             continue
-        if tag in VOID or m[3].rstrip().endswith("/") and tag not in ("p", "div", "span"):
+        if tag in VOID or shut and tag not in ("p", "div", "span"):
             continue
         if tag in CLOSES or tag not in INLINE and stack[-1][0] == "p":
             ends = CLOSES.get(tag, set()) | ({"p"} if tag not in INLINE else set())
             if stack[-1][0] in ends:
-                stack.pop()
+                close_down_to(len(stack) - 1)
         number += 1
-        state = element_state(stack[-1][2], tag, m[3])
-        stack.append((tag, number, state))
+        _, state, *around = stack[-1]
+        state = element_state(state, tag, attributes)
+        stack.append((tag, state, *around) if tag in INLINE else (tag, state, tag, number, around[1], around[3] + 1))
+        is_open[tag] += 1
         links += tag == "a"
     return out
 
@@ -153,45 +229,93 @@ def score(block: Block, page_has_article: bool) -> float:
 def minimum_cut(costs: list[float], edges: list[tuple[int, int, float]]) -> list[bool]:
     """True for each node on the source's side. A positive cost ties a node to the source, a negative one to the sink.
 
-    Shortest augmenting paths; the flow is the value of the cut.
+    A node whose cost outweighs all its edges keeps its side in some minimum cut; its edges then become costs of its
+    neighbours, and so on. The nodes that are left fall apart into small graphs, each cut by the maximum flow.
     """
     n = len(costs)
+    costs, ties = list(costs), [{} for _ in range(n)]
+    for a, b, c in edges:
+        if a != b and c > 0:
+            ties[a][b] = ties[a].get(b, 0.0) + c
+            ties[b][a] = ties[b].get(a, 0.0) + c
+    weight = [sum(t.values()) for t in ties]
+    side: list[bool | None] = [None] * n
+    queue = deque(i for i in range(n) if abs(costs[i]) >= weight[i])
+    while queue:
+        i = queue.popleft()
+        if side[i] is not None:
+            continue
+        side[i] = costs[i] > 0
+        for j, c in ties[i].items():
+            if side[j] is None:
+                costs[j] += c if side[i] else -c
+                weight[j] -= c
+                if abs(costs[j]) >= weight[j]:
+                    queue.append(j)
+    for i in range(n):
+        if side[i] is None:
+            part, seen = [i], {i}
+            for a in part:
+                for b in ties[a]:
+                    if side[b] is None and b not in seen:
+                        seen.add(b)
+                        part.append(b)
+            number = {a: k for k, a in enumerate(part)}
+            inner = [(number[a], number[b], c) for a in part for b, c in ties[a].items() if a < b and b in number]
+            for a, x in zip(part, flow_sides([costs[a] for a in part], inner)):
+                side[a] = x
+    return [bool(x) for x in side]
+
+
+def flow_sides(costs: list[float], edges: list[tuple[int, int, float]]) -> list[bool]:
+    """The source's side of a minimum cut by blocking flows: all shortest paths of one length at a time."""
+    n = len(costs)
     source, sink = n, n + 1
     graph: list[list[int]] = [[] for _ in range(n + 2)]
     to, room = [], []
 
     def tie(a: int, b: int, forth: float, back: float) -> None:
         graph[a].append(len(to))
-        to.append(b)
-        room.append(forth)
-        graph[b].append(len(to))
-        to.append(a)
-        room.append(back)
+        graph[b].append(len(to) + 1)
+        to.extend((b, a))
+        room.extend((forth, back))
 
     for i, c in enumerate(costs):
         tie(source, i, c, 0.0) if c > 0 else tie(i, sink, -c, 0.0)
     for a, b, c in edges:
         tie(a, b, c, c)
     while True:
-        came = [-1] * (n + 2)
-        came[source] = -2
-        queue = deque([source])
-        while queue and came[sink] == -1:
-            a = queue.popleft()
+        level = [-1] * (n + 2)
+        level[source], reached = 0, [source]
+        for a in reached:
             for e in graph[a]:
-                if room[e] > 1e-9 and came[to[e]] == -1:
-                    came[to[e]] = e
-                    queue.append(to[e])
-        if came[sink] == -1:
-            return [came[i] != -1 for i in range(n)]
-        path, x = [], sink
-        while x != source:
-            path.append(came[x])
-            x = to[came[x] ^ 1]
-        least = min(room[e] for e in path)
-        for e in path:
-            room[e] -= least
-            room[e ^ 1] += least
+                if room[e] > 1e-9 and level[to[e]] < 0:
+                    level[to[e]] = level[a] + 1
+                    reached.append(to[e])
+        if level[sink] < 0:
+            return [x >= 0 for x in level[:n]]
+        at, path, a = [0] * (n + 2), [], source
+        while True:
+            if a == sink:
+                least = min(room[e] for e in path)
+                for e in path:
+                    room[e] -= least
+                    room[e ^ 1] += least
+                k = next(k for k, e in enumerate(path) if room[e] <= 1e-9)
+                a = to[path[k] ^ 1]
+                del path[k:]
+            elif at[a] < len(graph[a]):
+                e = graph[a][at[a]]
+                if room[e] > 1e-9 and level[to[e]] == level[a] + 1:
+                    path.append(e)
+                    a = to[e]
+                else:
+                    at[a] += 1
+            elif path:
+                a = to[path.pop() ^ 1]
+                at[a] += 1
+            else:
+                break
 
 
 def main_text(page: str | None) -> str:
@@ -202,13 +326,15 @@ def main_text(page: str | None) -> str:
     has = any(b.article for b in blocks)
     costs = [score(b, has) for b in blocks]
     edges = []
-    for i in range(len(blocks) - 1):
-        a, b = blocks[i].path, blocks[i + 1].path
-        shared = 0
-        while shared < min(len(a), len(b)) and a[shared] == b[shared]:
-            shared += 1
-        apart = len(a) + len(b) - 2 * shared
-        edges.append((i, i + 1, (NEAR + SAME * (len(a) > 1 and a[:-1] == b[:-1])) / (1 + apart)))
+    last: dict[int, int] = {}
+    for i, block in enumerate(blocks):
+        if i:
+            before = blocks[i - 1]
+            apart = before.depth + block.depth - 2 * block.shared
+            edges.append((i - 1, i, (NEAR + SAME * (block.depth > 1 and block.depth == before.depth and block.home == before.home)) / (1 + apart)))
+        if block.depth > 1 and last.get(block.home, i - 1) < i - 1:
+            edges.append((last[block.home], i, APART))
+        last[block.home] = i
     # Whatever pulls the same way can't be cut: only runs with both signs need the flow.
     label = [c > 0 for c in costs]
     if any(label) and not all(label):
@@ -220,8 +346,9 @@ def extract_pages(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars) for every row of ``pages`` (page_id, url, html).
 
     Any white space within a block becomes one space. A null, empty or textless page has an empty text; a
-    broken one is read as far as it goes, with unclosed elements open to its end. Rows with the same page_id
-    each give a row. Other columns are ignored; an empty table gives an empty result.
+    broken one is read as far as it goes, with unclosed elements open to its end. A page of any length is read by
+    one task, in time that grows with its length. Rows with the same page_id each give a row. Other
+    columns are ignored; an empty table gives an empty result.
     """
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
