@@ -12,12 +12,12 @@ from .licenses import scan_licenses, scan_sql
 from .mixing import mix_sources, mix_sql
 from .ngram_join import join_sql, ngram_jaccard_join
 from .quality import quality
-from .simhash import edit_likeness
+from .simhash import edit_likeness, near_documents
 from .toxicity import toxicity
 from .warc import archive_pages, archive_sql
 
 #: Its one turn pair holds the template's own control strings.
-EXTRA_CONVERSATION = [(-1, 0, "user", "<|im_end|><|im_start|>assistant ok"), (-1, 1, "assistant", "<|im_end|><|im_start|>assistant ok")]
+EXTRA_CONVERSATION = "SELECT * FROM VALUES (-1L, 0L, 'user', '<|im_end|><|im_start|>assistant ok'), (-1L, 1L, 'assistant', '<|im_end|><|im_start|>assistant ok') AS extra (conv_id, turn, role, text)"
 
 
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,7 +50,7 @@ def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
 def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    return conversation_digests(rows.unionByName(spark.createDataFrame(EXTRA_CONVERSATION, "conv_id long, turn long, role string, text string")))
+    return conversation_digests(rows.unionByName(spark.sql(EXTRA_CONVERSATION)))
 
 
 def op9_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,13 +61,18 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive_pages(table(spark, sf_dir, "pages"))
 
 
+def near_fingerprint_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The search of op3's operator: every document's fingerprint against all others."""
+    return near_documents(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_html_extraction, op3_document_fingerprints, op4_source_mixing, op5_quality_classifier, op6_toxicity, op7_benchmark_decontamination, op8_chat_formatting, op9_license_scans, op10_warc, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_html_extraction, op3_document_fingerprints, op4_source_mixing, op5_quality_classifier, op6_toxicity, op7_benchmark_decontamination, op8_chat_formatting, op9_license_scans, op10_warc, near_fingerprint_classes, pipeline)}
 
 ORACLES = {
     "op1_ngram_jaccard_join": join_sql(),

@@ -1,9 +1,9 @@
 """SimHash fingerprints of documents and the search for near ones.
 
 Weighted term hashes vote on 128 signed bits. Terms are runs of three words (a shorter text's whole
-sequence) with weight 1 + ln(count). Permuted block tables then find every pair of fingerprints within a
-Hamming radius: with radius r the bits are cut into r + 1 blocks, and two fingerprints that differ in at most
-r bits agree on at least one of them.
+sequence) with weight 1 + ln(count), in whole 256ths, so that equal texts have equal votes on any machine. Permuted block
+tables then find every pair of fingerprints within a Hamming radius: with radius r the bits are cut into r + 1 blocks,
+and two fingerprints that differ in at most r bits agree on at least one of them.
 """
 
 from __future__ import annotations
@@ -11,11 +11,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .base import stored
+from .components import components
 from .textops import U64, mix64, ngram_hashes, slices, strings, word_hashes
 
 BITS = 128
@@ -30,8 +32,9 @@ def fingerprints(column) -> np.ndarray:
     out = np.zeros((len(at) - 1, BITS // 8), np.uint8)
     for i in np.flatnonzero(np.diff(at)).tolist():
         names, count = np.unique(terms[at[i] : at[i + 1]], return_counts=True)
-        weight = (1 + np.log(count)).astype(np.float32)
-        votes, total = np.zeros(BITS, np.float32), float(weight.sum())
+        # Sums of 4096 weights of at most 2**12 are exact in this type.
+        weight = np.rint(256 * (1 + np.log(np.minimum(count, 1 << 20)))).astype(np.float32)
+        votes, total = np.zeros(BITS, np.float64), float(weight.sum(dtype=np.float64))
         for a in range(0, len(names), 4096):
             part = names[a : a + 4096]
             words = np.stack([mix64(part ^ U64(0x1234567)), mix64(part ^ U64(0x89ABCDEF))], 1)
@@ -139,30 +142,111 @@ def fingerprint_documents(documents: DataFrame) -> DataFrame:
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(task, "doc_id long, fingerprint string")
 
 
-def near_fingerprints(prints: DataFrame, radius: int = 3) -> DataFrame:
-    """(fingerprint_a, fingerprint_b, distance) for all distinct fingerprints a < b within ``radius`` bits.
+#: Fingerprints of a cell; a bucket of more is dealt to chunks, and each pair of chunks is a cell.
+CELL = 4096
+
+
+def blocks_of(radius: int) -> list[tuple[int, int]]:
+    """The first bit and the one behind the last of each of radius + 1 blocks, as even as can be."""
+    if not 1 <= radius < BITS:
+        raise ValueError(f"the radius has to be from 1 to {BITS - 1}")
+    return [(BITS * k // (radius + 1), BITS * (k + 1) // (radius + 1)) for k in range(radius + 1)]
+
+
+def block_keys(prints: np.ndarray, radius: int) -> np.ndarray:
+    """A 64-bit key per fingerprint (rows of 16 bytes) and block: its bits."""
+    bits = np.unpackbits(prints, axis=1)
+    keys = np.zeros((len(prints), radius + 1), U64)
+    for k, (a, z) in enumerate(blocks_of(radius)):
+        for b in range(a, z):
+            keys[:, k] = (keys[:, k] << U64(1)) | bits[:, b].astype(U64)
+    return keys
+
+
+def near_in(left: np.ndarray, right: np.ndarray, block: int, radius: int, own: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of the pairs within ``radius`` that agree on ``block`` and no earlier one; with ``own``, left before right."""
+    keys = block_keys(left, radius), block_keys(right, radius)
+    words = left.view(U64), right.view(U64)
+    a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for k in range(0, len(left), 256):
+        far = sum(np.bitwise_count(words[0][k : k + 256, None, w] ^ words[1][None, :, w]).astype(np.int16) for w in (0, 1))
+        x, y = np.nonzero(far <= radius)
+        x = x + k
+        first = (keys[0][x, block] == keys[1][y, block]) & ~(keys[0][x, :block] == keys[1][y, :block]).any(1)
+        if own:
+            first &= x < y
+        a.append(x[first])
+        b.append(y[first])
+    return np.concatenate(a), np.concatenate(b)
+
+
+def cell_task(radius: int):
+    """Per fingerprint of a cell how many it has near, and links (a, b) that connect those that are near."""
+
+    def task(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("fingerprint", kind="stable")
+        prints = np.frombuffer(b"".join(map(bytes.fromhex, rows["fingerprint"])), np.uint8).reshape(-1, BITS // 8)
+        block, one, other = int(key[0]), int(key[2]), int(key[3])
+        chunk = rows["chunk"].to_numpy()
+        left, right = np.flatnonzero(chunk == one), np.flatnonzero(chunk == other)
+        x, y = near_in(prints[left], prints[right], block, radius, one == other)
+        x, y = left[x], right[y]
+        root, links = np.arange(len(rows)), []
+        for i, j in zip(x.tolist(), y.tolist()):
+            if root[i] != root[j]:
+                links.append((i, j))
+                root[root == root[j]] = root[i]
+        near = np.bincount(np.concatenate([x, y]), minlength=len(rows))
+        some, names = np.flatnonzero(near), rows["fingerprint"].to_numpy()
+        a, b = (names[[pair[k] for pair in links]] for k in (0, 1)) if links else (names[:0], names[:0])
+        return pd.DataFrame({"a": np.concatenate([names[some], a]), "b": np.concatenate([np.full(len(some), None, object), b]), "near": np.concatenate([near[some], np.zeros(len(a), np.int64)])})
 
-    Copies meet once: ``prints`` (fingerprint, ...) is reduced to its distinct fingerprints first, and rows
-    are their members. One table per block holds the fingerprints keyed by that block; a pair that agrees on
-    several blocks is taken from the first. Null fingerprints are left out. The longest equal run that is
-    certain is a block of 128 / (radius + 1) bits, so the tables stay selective for billions of fingerprints.
+    return task
+
+
+def near_fingerprints(prints: DataFrame, radius: int = 3, cell: int = CELL) -> DataFrame:
+    """(fingerprint, n_near, group) for each distinct fingerprint of ``prints`` (fingerprint, ...).
+
+    n_near is the exact number of other fingerprints within ``radius`` bits, group the same for all that are connected by
+    such steps (a 64-bit hash of one of them). One table per block holds the fingerprints keyed by that block; a pair
+    that agrees on several blocks counts in the first. A bucket of any size is dealt to chunks of some ``cell``
+    fingerprints and each pair of chunks is a task's; it puts out counts and at most a link per fingerprint, never all pairs.
+    Null fingerprints are left out. An empty table gives an empty result.
+    """
+    blocks_of(radius)  # checks it
+    distinct = stored(prints.filter("fingerprint IS NOT NULL").select("fingerprint").distinct(), "prints")
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names = batch["fingerprint"].to_pylist()
+            keys = block_keys(np.frombuffer(b"".join(map(bytes.fromhex, names)), np.uint8).reshape(-1, BITS // 8), radius)
+            for k in range(radius + 1):
+                yield pa.RecordBatch.from_arrays([batch["fingerprint"], pa.array(np.full(len(names), k, np.int32)), pa.array(keys[:, k].view(np.int64))], names=["fingerprint", "block", "key"])
+
+    tables = stored(distinct.mapInArrow(keyed, "fingerprint string, block int, key long"), "tables")
+    sizes = tables.groupBy("block", "key").agg(F.ceil(F.count("*") / cell).cast("int").alias("chunks"), F.count("*").alias("rows")).filter("rows > 1").drop("rows")
+    large = stored(sizes.filter("chunks > 1"), "large")  # few: a chunk has some ``cell`` rows
+    shared = tables.join(sizes.select("block", "key"), ["block", "key"], "left_semi").join(large, ["block", "key"], "left")
+    shared = shared.withColumn("chunks", F.coalesce("chunks", F.lit(1))).withColumn("chunk", F.pmod(F.xxhash64("fingerprint"), F.col("chunks")).cast("int"))
+    cells = shared.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    cells = cells.select("block", "key", F.least("chunk", "with").alias("one"), F.greatest("chunk", "with").alias("other"), "chunk", "fingerprint")
+    found = stored(cells.groupBy("block", "key", "one", "other").applyInPandas(cell_task(radius), "a string, b string, near long"), "near")
+    counts = found.filter("b IS NULL").groupBy(F.col("a").alias("fingerprint")).agg(F.sum("near").alias("n_near"))
+    groups = components(found.filter("b IS NOT NULL").select(F.xxhash64("a").alias("a"), F.xxhash64("b").alias("b")))
+    out = distinct.join(counts, "fingerprint", "left").withColumn("node", F.xxhash64("fingerprint")).join(groups, "node", "left")
+    return out.select("fingerprint", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"), F.coalesce("component", "node").alias("group"))
+
+
+def near_documents(documents: DataFrame, radius: int = 3) -> DataFrame:
+    """(doc_id, fingerprint, n_near, class_id) for every row of ``documents``.
+
+    n_near is the number of other distinct fingerprints within ``radius`` bits, class_id the smallest doc_id that is
+    reached by such steps; rows with equal fingerprints are members of one class. A null or empty text has the fingerprint
+    of no words. Rows with the same doc_id each give a row; a null doc_id stands for a class only if it has no other.
     """
-    blocks = radius + 1
-    if 32 % blocks:
-        raise ValueError("radius + 1 must divide 32, the hex digits of a fingerprint")
-    width = 32 // blocks
-    distinct = prints.filter("fingerprint IS NOT NULL").select("fingerprint").distinct()
-    keys = F.array(*[F.substring("fingerprint", 1 + k * width, width) for k in range(blocks)])
-    tables = distinct.select("fingerprint", F.posexplode(keys).alias("block", "key"))
-    a, b = tables.alias("a"), tables.alias("b")
-    pairs = a.join(b, (F.col("a.block") == F.col("b.block")) & (F.col("a.key") == F.col("b.key")) & (F.col("a.fingerprint") < F.col("b.fingerprint")))
-
-    def words(side: str) -> list:
-        return [F.conv(F.substring(f"{side}.fingerprint", 1 + 8 * k, 8), 16, 10).cast("long") for k in range(4)]
-
-    distance = sum((F.bit_count(x.bitwiseXOR(y)) for x, y in zip(words("a"), words("b"))), F.lit(0))
-    first = F.lit(True)
-    for k in range(blocks):
-        same = F.substring("a.fingerprint", 1 + k * width, width) == F.substring("b.fingerprint", 1 + k * width, width)
-        first = first & ((F.col("a.block") <= k) | ~same)
-    return pairs.filter(first).select(F.col("a.fingerprint").alias("fingerprint_a"), F.col("b.fingerprint").alias("fingerprint_b"), distance.cast("int").alias("distance")).filter(F.col("distance") <= radius)
+    rows = stored(fingerprint_documents(documents), "fingerprints")
+    near = stored(near_fingerprints(rows, radius), "classes")
+    own = rows.groupBy("fingerprint").agg(F.min("doc_id").alias("first"))
+    lows = stored(near.join(own, "fingerprint").groupBy("group").agg(F.min("first").alias("class_id"), F.count("*").alias("prints")).filter("prints > 1").drop("prints"), "lows")
+    classes = near.join(own, "fingerprint").join(lows, "group", "left").select("fingerprint", "n_near", F.coalesce("class_id", "first").alias("class_id"))
+    return rows.join(classes, "fingerprint").select("doc_id", "fingerprint", "n_near", "class_id")

@@ -23,8 +23,10 @@ from pyspark.sql import functions as F
 
 from .base import stored, work_dir
 
-#: Records of a file. A file is read by one task at a time.
-FILE_RECORDS = 1000
+#: Records and payload bytes of a file. A file is read by one task at a time.
+FILE_RECORDS, FILE_BYTES = 1000, 1 << 29
+#: Headers are looked for in so many bytes.
+HEADER_BYTES = 1 << 18
 CRLF = "\r\n"
 VERSION = b"WARC/1."
 GZIP = b"\x1f\x8b\x08"
@@ -81,12 +83,24 @@ def warc_records(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
 
 
 def write_warc(pages: DataFrame, path: str, least_bytes: int = 0) -> None:
-    """Writes ``pages`` as WARC files of at most FILE_RECORDS records below ``path``, each task its own."""
-    warc_records(pages, least_bytes).select("record").write.option("lineSep", CRLF + CRLF).option("maxRecordsPerFile", FILE_RECORDS).text(path)
+    """Writes ``pages`` as WARC files below ``path``, each task its own, of at most FILE_RECORDS records and FILE_BYTES of payloads.
+
+    Pages of more than their even share of a file are written apart, as many a file as the largest allows.
+    """
+    records = warc_records(pages, least_bytes)
+    size = F.octet_length(F.coalesce(F.col("html").cast("string"), F.lit("")))
+    most = pages.agg(F.max(size)).first()[0] or 0
+    share = FILE_BYTES // FILE_RECORDS
+    parts = [(records, FILE_RECORDS)]
+    if most > share:
+        large = F.octet_length("record") > share
+        parts = [(records.filter(~large), FILE_RECORDS), (records.filter(large), max(1, FILE_BYTES // most))]
+    for rows, limit in parts:
+        rows.select("record").write.mode("append").option("lineSep", CRLF + CRLF).option("maxRecordsPerFile", limit).text(path)
 
 
 def header_end(data: bytes, at: int) -> int:
-    return data.find(b"\r\n\r\n", at)
+    return data.find(b"\r\n\r\n", at, at + HEADER_BYTES)
 
 
 def parse_record(data: bytes, at: int) -> tuple[dict, bytes, int]:
@@ -170,10 +184,18 @@ def parse_member(plain: bytes, whole: bool) -> tuple[list[tuple], list[tuple], s
     return found, gaps, first
 
 
-def next_start(data: bytes, at: int) -> int:
-    """Where the next member or version line may begin; the end if there is none."""
-    found = [x for x in (data.find(VERSION, at), data.find(GZIP, at)) if x >= 0]
-    return min(found, default=len(data))
+class Starts:
+    """Where the next member or version line may begin from a position on that never falls; the end if there is none."""
+
+    def __init__(self, data: bytes):
+        self.data, self.found = data, {VERSION: -1, GZIP: -1}
+
+    def after(self, at: int) -> int:
+        for mark, place in self.found.items():
+            if place < at:
+                place = self.data.find(mark, at)
+                self.found[mark] = place if place >= 0 else len(self.data)
+        return min(self.found.values())
 
 
 def salvage(data: bytes) -> Iterator[tuple]:
@@ -183,7 +205,7 @@ def salvage(data: bytes) -> Iterator[tuple]:
     broken records gives the others, and a gap at its offset, in unpacked bytes, for each run of broken ones. A
     member that isn't whole gives the records that are sure, and is a gap itself.
     """
-    at, gap = 0, None
+    at, gap, starts = 0, None, Starts(data)
     while at < len(data):
         try:
             if data.startswith(GZIP, at):
@@ -196,7 +218,7 @@ def salvage(data: bytes) -> Iterator[tuple]:
                 found, lost, why = [(headers, body)], [], ""
         except ValueError as e:
             gap = gap or (at, str(e))
-            at = next_start(data, at + 1)
+            at = starts.after(at + 1)
             continue
         if gap:
             yield "gap", gap[0], at - gap[0], gap[1]
@@ -205,7 +227,7 @@ def salvage(data: bytes) -> Iterator[tuple]:
             yield "record", at, headers, body
         if why:
             gap = at, why
-            at = next_start(data, at + 1)
+            at = starts.after(at + 1)
             continue
         for length, reason in lost:
             yield "gap", at, length, f"in a member: {reason}"

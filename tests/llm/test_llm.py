@@ -222,18 +222,63 @@ def test_simhash(spark):
     assert simhash.edit_likeness(edge_docs(spark).limit(0)).count() == 0
 
 
-def test_near_fingerprints_equal_brute_force(spark):
+def plain_simhash(text):
+    """Votes term by term and bit by bit."""
+    raw, at = strings(pa.array([text]))
+    terms, _ = ngram_hashes(*word_hashes(raw, at), simhash.TERM_WORDS, short=True)
+    names, counts = np.unique(terms, return_counts=True)
+    votes, mask = [0] * 128, (1 << 64) - 1
+    for name, count in zip(names.tolist(), counts.tolist()):
+        weight = round(256 * (1 + float(np.log(count))))
+        for half, salt in enumerate((0x1234567, 0x89ABCDEF)):
+            x = name ^ salt
+            x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & mask
+            x = (x ^ x >> 27) * 0x94D049BB133111EB & mask
+            word = (x ^ x >> 31).to_bytes(8, "little")
+            for b in range(64):
+                votes[64 * half + b] += weight if word[b // 8] >> (7 - b % 8) & 1 else -weight
+    return f"{int(''.join('1' if v > 0 else '0' for v in votes), 2):032x}"
+
+
+def test_fingerprints_equal_a_plain_model():
+    rng = random.Random(2)
+    texts = [" ".join(rng.choice("abcdefg") for _ in range(n)) for n in (1, 2, 3, 10, 200, 6000)]
+    assert simhash.hexed(simhash.fingerprints(pa.array(texts))) == [plain_simhash(t) for t in texts]
+    assert simhash.hexed(simhash.fingerprints(pa.array(["", None]))) == ["0" * 32] * 2
+
+
+@pytest.mark.parametrize("radius, cell", [(1, 4096), (2, 4096), (3, 3), (5, 4096)])
+def test_near_fingerprints_equal_brute_force(spark, radius, cell):
     rng = random.Random(6)
     prints = [rng.getrandbits(128) for _ in range(30)]
     for p in prints[:20]:
         x = p
-        for b in rng.sample(range(128), rng.randrange(6)):
+        for b in rng.sample(range(128), rng.randrange(8)):
             x ^= 1 << b
         prints.append(x)
+    prints += [prints[0] ^ (1 << b) for b in range(25)]  # a hot bucket
     table = spark.createDataFrame([(f"{p:032x}",) for p in [*prints, prints[0]]] + [(None,)], "fingerprint string")
-    got = {(r.fingerprint_a, r.fingerprint_b, r.distance) for r in simhash.near_fingerprints(table, 3).collect()}
+    got = {r.fingerprint: r for r in simhash.near_fingerprints(table, radius, cell).collect()}
     every = sorted({f"{p:032x}" for p in prints})
-    assert got == {(a, b, d) for k, b in enumerate(every) for a in every[:k] if (d := (int(a, 16) ^ int(b, 16)).bit_count()) <= 3}
+    near = {a: [b for b in every if b != a and (int(a, 16) ^ int(b, 16)).bit_count() <= radius] for a in every}
+    assert {a: r.n_near for a, r in got.items()} == {a: len(x) for a, x in near.items()}
+    label = {a: a for a in every}
+    for _ in every:
+        for a in every:
+            label[a] = min([label[a], *(label[b] for b in near[a])])
+    pairs = {(a, b): label[a] == label[b] for a in every for b in every}
+    assert pairs == {(a, b): got[a].group == got[b].group for a in every for b in every}
+
+
+def test_near_documents(spark):
+    text = " ".join(f"w{i}" for i in range(3000))
+    docs = [(1, text), (2, text + " end"), (3, text), (4, "other words here"), (5, None), (None, ""), (None, text), (6, "x " * 30000)]
+    d = spark.createDataFrame(docs, "doc_id long, text string").withColumn("group", F.lit(1))
+    got = {(r.doc_id, r.class_id) for r in simhash.near_documents(d).collect()}
+    assert got == {(1, 1), (2, 1), (3, 1), (4, 4), (5, 5), (None, 5), (None, 1), (6, 6)}
+    assert simhash.near_documents(d.limit(0)).count() == 0
+    with pytest.raises(ValueError):
+        simhash.near_fingerprints(d.select(F.lit("0" * 32).alias("fingerprint")), 128)
 
 
 def test_mixing(spark):
@@ -559,6 +604,25 @@ def test_warc_salvage_inside_members():
     assert kinds(gzip.compress(record(b"one"))) == [("record", b"one")] and kinds(gzip.compress(b"")) == []
 
 
+def test_warc_salvage_takes_linear_time_and_large_pages_get_files_of_their_own(spark, tmp_path, monkeypatch):
+    body = b"HTTP/1.1 200 OK\r\n\r\nx"
+    record = b"WARC/1.1\r\nWARC-Type: response\r\nContent-Length: %d\r\n\r\n" % len(body) + body + b"\r\n\r\n"
+    packed = gzip.compress(record)
+    broken = packed[:12] + b"\xff" + packed[13:]
+    for data, records in ((packed * 20000, 20000), (broken * 20000, 0), (b"WARC/1.1\r\n" * 30000, 0)):
+        began = time.process_time()
+        assert sum(x[0] == "record" for x in warc.salvage(data)) == records
+        assert time.process_time() - began < 10
+    monkeypatch.setattr(warc, "FILE_BYTES", 4000)
+    monkeypatch.setattr(warc, "FILE_RECORDS", 4)
+    rows = [(i, "u", str(i) * (30 if i % 5 else 1500)) for i in range(40)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    warc.write_warc(pages, str(tmp_path / "w"))
+    sizes = [(f.stat().st_size, f.read_bytes().count(b"WARC/1.1\r\n")) for f in (tmp_path / "w").glob("part-*")]
+    assert sum(n for _, n in sizes) == 40 and max(n for _, n in sizes) <= 4 and all(n <= 2 for size, n in sizes if size > 4000)
+    assert warc.archive_pages(pages).count() == 40
+
+
 def test_pipeline(spark, tmp_path):
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
     words = [f"w{i}" for i in range(900)]
