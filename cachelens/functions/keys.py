@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -60,6 +61,14 @@ def mix64(x: Column) -> Column:
     return once(step, lambda v: v.bitwiseXOR(F.shiftrightunsigned(v, 31)))
 
 
+def mix64_words(x: np.ndarray) -> np.ndarray:
+    """The same step on an array of 64-bit words."""
+    x = x + np.uint64(INCREMENT)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(MULTIPLIER_1)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(MULTIPLIER_2)
+    return x ^ (x >> np.uint64(31))
+
+
 def next_pow2(x: Column) -> Column:
     """The least power of two that isn't below x; 1 for x <= 1."""
     return F.when(x <= 1, F.lit(1).cast("long")).otherwise(F.call_function("shiftleft", F.lit(1).cast("long"), F.length(F.bin(x - 1))))

@@ -2,20 +2,30 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..config import AdmissionConfig
-from ..functions.keys import mix64, once
+from ..functions.keys import mix64_words
+from .ranks import running
 
 
 def places(h: Column, count: int, size: int) -> Column:
-    """The ``count`` positions of a hash: h, mix(h), mix(mix(h)), ... in a table of ``size``."""
-    chain = F.array(h)
-    for _ in range(count - 1):
-        chain = once(chain, lambda a: F.concat(a, F.array(mix64(F.element_at(a, -1)))))
-    return F.transform(chain, lambda v: v.bitwiseAND(F.lit(size - 1)))
+    """The ``count`` positions of a hash: h, mix(h), mix(mix(h)), ... in a table of ``size``.
+
+    Only distinct keys are mixed, in Arrow batches: as native expressions the nested steps take seconds to plan.
+    """
+
+    @F.pandas_udf("array<long>")
+    def mixed(hashes: pd.Series) -> pd.Series:
+        chain = [hashes.to_numpy(np.int64).view(np.uint64)]
+        for _ in range(count - 1):
+            chain.append(mix64_words(chain[-1]))
+        return pd.Series(list(np.stack([(c & np.uint64(size - 1)).astype(np.int64) for c in chain], 1)))
+
+    return mixed(h)
 
 
 def doorkeeper(log: DataFrame, cfg: AdmissionConfig) -> DataFrame:
@@ -32,22 +42,24 @@ def doorkeeper(log: DataFrame, cfg: AdmissionConfig) -> DataFrame:
     return log.join(known, "key_hash").withColumn("shard", shard).withColumn("seen", F.col("all_set") < F.col("seq")).drop("all_set")
 
 
-def increments(log: DataFrame, cfg: AdmissionConfig) -> DataFrame:
-    """(shard, idx, epoch, n): counter increments of the seen accesses by aging epoch."""
-    seen = doorkeeper(log, cfg).filter("seen")
-    ordinal = F.row_number().over(Window.partitionBy("shard").orderBy("seq"))
-    seen = seen.withColumn("epoch", F.floor((ordinal - 1) / F.lit(cfg.reset_at)).cast("int"))
+def increments(log: DataFrame, cfg: AdmissionConfig, bucket: Column | None = None) -> DataFrame:
+    """(shard, idx, epoch, n): counter increments of the seen accesses by aging epoch.
+
+    ``bucket`` never falls as seq grows; with it an access's ordinal is counted within its bucket and added to those before.
+    """
+    seen = running(doorkeeper(log, cfg).filter("seen"), ["shard"], F.lit(0) if bucket is None else bucket, ["seq"], {"ordinal": F.lit(1)})
+    seen = seen.withColumn("epoch", F.floor(F.col("ordinal") / F.lit(cfg.reset_at)).cast("int"))
     counted = seen.groupBy("shard", "key_hash", "epoch").agg(F.count("*").alias("n"))  # before the explode
     keys = counted.select("key_hash").distinct().withColumn("idx", places(F.col("key_hash"), 4, cfg.table_len))
     return counted.join(keys, "key_hash").select("shard", F.explode("idx").alias("idx"), "epoch", "n").groupBy("shard", "idx", "epoch").agg(F.sum("n").alias("n"))
 
 
-def counters(log: DataFrame, cfg: AdmissionConfig, aging: bool = True) -> DataFrame:
+def counters(log: DataFrame, cfg: AdmissionConfig, aging: bool = True, bucket: Column | None = None) -> DataFrame:
     """(shard, idx, counter) after the whole log: saturating at 15, halved between epochs.
 
     Without ``aging`` nothing is halved. Epochs without an increment still halve: a gap is a shift.
     """
-    rows = increments(log, cfg)
+    rows = increments(log, cfg, bucket)
     if not aging:
         return rows.groupBy("shard", "idx").agg(F.least(F.lit(15), F.sum("n")).cast("int").alias("counter"))
     last = rows.groupBy("shard").agg(F.max("epoch").alias("last"))
@@ -68,12 +80,17 @@ def estimates(keys: DataFrame, table: DataFrame, cfg: AdmissionConfig) -> DataFr
     return at.join(table, ["shard", "idx"], "left").groupBy("key_hash").agg(F.min(F.coalesce("counter", F.lit(0))).alias("estimate"))
 
 
-def allow(pairs: DataFrame, log: DataFrame, cfg: AdmissionConfig) -> DataFrame:
+def reset(table: DataFrame) -> DataFrame:
+    """``table`` (shard, idx, counter) after a reset: counters halved, those at 0 gone. The doorkeeper's bits are dropped with it."""
+    return table.withColumn("counter", F.floor(F.col("counter") / 2).cast("int")).filter("counter > 0")
+
+
+def allow(pairs: DataFrame, log: DataFrame, cfg: AdmissionConfig, bucket: Column | None = None) -> DataFrame:
     """``pairs`` (candidate, victim) with candidate_freq, victim_freq and allow, after the whole log.
 
     A key is allowed against itself; an unseen candidate never; else it has to be more frequent.
     """
-    table = counters(log, cfg)
+    table = counters(log, cfg, bucket=bucket)
     both = pairs.select(F.col("candidate").alias("key_hash")).union(pairs.select("victim")).distinct()
     freq = estimates(both, table, cfg)
     shard = F.col("key_hash").bitwiseAND(F.lit(cfg.shards - 1)).cast("int")

@@ -8,7 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.keys import SHARDS
+from ..functions.keys import SHARDS, key_hash
+from ..sources.tables import written
+from .ranks import running
 
 
 def classify_hits(log: DataFrame) -> DataFrame:
@@ -88,11 +90,40 @@ def victim_by_list(entries: DataFrame, start: int, probes: int = 8) -> DataFrame
 def victim_by_sample(entries: DataFrame, start: int, shards: int, keys: int, seed: int) -> DataFrame:
     """The least recent of up to ``keys`` randomly drawn entries of each of ``shards`` shards from ``start`` on."""
     ahead = F.pmod(F.col("shard") - F.lit(start), F.lit(SHARDS))
-    drawn = entries.filter(ahead < shards).withColumn("draw", F.xxhash64("key", F.lit(seed)))
+    drawn = entries.filter(ahead < shards).withColumn("draw", draw(F.col("key"), seed))
     near = drawn.withColumn("place", F.row_number().over(Window.partitionBy("shard").orderBy("draw", "key"))).filter(F.col("place") <= keys)
     return near.agg(F.min_by(F.struct("key", "shard", "touched"), F.struct("touched", "key")).alias("v")).filter("v IS NOT NULL").select("v.*")
 
 
+def draw(key: Column, seed: int) -> Column:
+    """A pseudo-random number per key and seed, which other engines compute as well."""
+    return key_hash(F.concat_ws("|", key.cast("string"), F.lit(str(seed))))
+
+
+def evict_sampled_until(entries: DataFrame, limit: int, rounds: int, shards: int = 4, keys: int = 8, seed: int = 0) -> DataFrame:
+    """The entries that sampled eviction removes in up to ``rounds`` picks until the weight is at most ``limit``; with pick, 1 for the first.
+
+    Pick number k looks at up to ``keys`` drawn entries of each of the next ``shards`` shards and takes the least recent. In
+    SHARDS / ``shards`` picks no shard is looked at twice, so all of them are found at once; a round is so many picks.
+    """
+    each = SHARDS // shards
+    left, gone, weight = entries, None, entries.agg(F.coalesce(F.sum("weight"), F.lit(0))).first()[0]
+    for done in range(0, rounds, each):
+        if weight <= limit:
+            break
+        ahead = F.pmod(F.col("shard") - 1, F.lit(SHARDS))
+        drawn = left.withColumn("pick", (F.floor(ahead / shards) + 1 + done).cast("int")).filter(F.col("pick") <= rounds).withColumn("draw", draw(F.col("key"), seed + done))
+        near = drawn.withColumn("place", F.row_number().over(Window.partitionBy("shard").orderBy("draw", "key"))).filter(F.col("place") <= keys)
+        victims = near.groupBy("pick").agg(F.min_by(F.struct("key", "shard", "weight", "touched"), F.struct("touched", ahead, "draw")).alias("v")).select("pick", "v.*")
+        # At most one victim a pick: the sum of SHARDS / ``shards`` rows.
+        freed = F.coalesce(F.sum("weight").over(Window.orderBy("pick").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        victims = written(victims.withColumn("freed", freed).filter(F.lit(weight) - F.col("freed") > limit).drop("freed"), "victims")
+        weight -= victims.agg(F.coalesce(F.sum("weight"), F.lit(0))).first()[0]
+        gone = victims if gone is None else gone.unionByName(victims)
+        left = written(delete_keys(left, victims), "left")
+    return entries.select("key", "shard", "weight", "touched").limit(0).withColumn("pick", F.lit(0)) if gone is None else gone
+
+
 def evict_until(entries: DataFrame, limit: int, start: int = 1) -> DataFrame:
     """The entries that list eviction removes to bring the total weight to ``limit``.
 
@@ -102,29 +133,32 @@ def evict_until(entries: DataFrame, limit: int, start: int = 1) -> DataFrame:
     """
     turn = F.pmod(F.col("shard") - F.lit(start), F.lit(SHARDS))
     ranked = lru_rank(entries).withColumn("turn", turn)
-    rounds = ranked.groupBy("lru_rank").agg(F.sum("weight").alias("round_weight"))
-    order = Window.orderBy("lru_rank")
-    rounds = rounds.select("lru_rank", (F.sum("round_weight").over(order) - F.col("round_weight")).alias("rounds_before"), F.sum("round_weight").over(Window.partitionBy()).alias("total"))
+    sums = ranked.groupBy("lru_rank").agg(F.sum("weight").alias("round_weight"))
+    rounds = running(sums, [], F.floor(F.col("lru_rank") / 4096), ["lru_rank"], {"rounds_before": F.col("round_weight")}).drop("round_weight")
+    total = entries.agg(F.coalesce(F.sum("weight"), F.lit(0))).first()[0]
     within = Window.partitionBy("lru_rank").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
     freed = F.col("rounds_before") + F.coalesce(F.sum("weight").over(within), F.lit(0))
-    return ranked.join(rounds, "lru_rank").withColumn("freed_before", freed).filter(F.col("total") - F.col("freed_before") > limit).drop("turn", "rounds_before", "total")
+    return ranked.join(rounds, "lru_rank").withColumn("freed_before", freed).filter(F.lit(total) - F.col("freed_before") > limit).drop("turn", "rounds_before")
 
 
 def evict_oldest_until(entries: DataFrame, limit: int, buckets: int = 256) -> DataFrame:
     """The globally least recent entries to remove until the total weight is at most ``limit`` (what sampling tends to).
 
-    Recency is cut into ``buckets`` ranges first; only the range in which the limit is met needs its order.
+    Recency is cut into ``buckets`` ranges of about as many entries each first; only the range in which the limit is
+    met needs its order. Entries of one and the same time are one range.
     """
-    low, high = entries.agg(F.min("touched"), F.max("touched")).first()
-    if low is None:
+    edges = entries.agg(F.percentile_approx("touched", [k / buckets for k in range(1, buckets)], 10_000)).first()[0]
+    if edges is None:
         return entries.withColumn("freed_before", F.lit(0).cast("long"))
-    width = max(1, -(-(high - low + 1) // buckets))
-    cut = entries.withColumn("bucket", F.floor((F.col("touched") - low) / width))
-    sums = cut.groupBy("bucket").agg(F.sum("weight").alias("held"))
-    sums = sums.select("bucket", (F.sum("held").over(Window.orderBy("bucket")) - F.col("held")).alias("before"), F.sum("held").over(Window.partitionBy()).alias("total"))
-    within = Window.partitionBy("bucket").orderBy("touched", "key").rowsBetween(Window.unboundedPreceding, -1)
-    live = cut.join(F.broadcast(sums), "bucket").filter(F.col("total") - F.col("before") > limit)  # at most ``buckets`` rows
-    return live.withColumn("freed_before", F.col("before") + F.coalesce(F.sum("weight").over(within), F.lit(0))).filter(F.col("total") - F.col("freed_before") > limit).drop("bucket", "before", "total")
+    edges = sorted(set(edges))
+    bucket = F.size(F.filter(F.array(*[F.lit(e) for e in edges]), lambda e: F.col("touched") > e))
+    total = entries.agg(F.sum("weight")).first()[0]
+    cut = entries.withColumn("range", bucket)
+    sums = cut.groupBy("range").agg(F.sum("weight").alias("held"))
+    sums = sums.select("range", (F.sum("held").over(Window.orderBy("range")) - F.col("held")).alias("before"))
+    within = Window.partitionBy("range").orderBy("touched", "key").rowsBetween(Window.unboundedPreceding, -1)
+    live = cut.join(F.broadcast(sums), "range").filter(F.lit(total) - F.col("before") > limit)  # at most ``buckets`` rows
+    return live.withColumn("freed_before", F.col("before") + F.coalesce(F.sum("weight").over(within), F.lit(0))).filter(F.lit(total) - F.col("freed_before") > limit).drop("range", "before")
 
 
 def reuse_distance(log: DataFrame, period: Column, run: Column | None = None, piece: int = 1 << 16) -> DataFrame:

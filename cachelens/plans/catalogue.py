@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..cache import Cache
-from ..config import AdmissionConfig, CacheConfig, DbConfig, EvictionConfig, LifetimeConfig
+from ..config import AdmissionConfig, CacheConfig, DbConfig, EvictionConfig, LifetimeConfig, load_config
 from ..functions.keys import key_hash, key_hash_sql, mix64, mix64_sql, next_pow2, shard_of
-from ..functions.scalars import expired, expiry_probability, fmt_mem, payload_equal, weight
-from ..operators import admission, lifetime, replay, storage, telemetry
+from ..functions.scalars import cached_time, expired, expiry_probability, fmt_mem, payload_equal, stream_seed, uniform, weight
+from ..operators import admission, lifetime, queues, replay, storage, telemetry, workers
 from ..sources.tables import document_entries, event_log, table
 from ..streaming.ttl import drain_ttl_stream
 
@@ -117,7 +117,11 @@ def victim_global(spark, sf_dir):
     return storage.victim_by_list(document_entries(spark, sf_dir), 0, probes=1024)
 
 
-@query()
+def draw_sql(key: str, seed: int) -> str:
+    return key_hash_sql(f"({key} || '|{seed}')")
+
+
+@query(f"WITH {DOCS}, d AS (SELECT *, row_number() OVER (PARTITION BY shard ORDER BY {draw_sql('key', 1)}, key) AS place FROM docs WHERE (shard - 1 + 1024) % 1024 < 64) SELECT key, shard, touched FROM d WHERE place <= 8 ORDER BY touched, key LIMIT 1")
 def victim_by_sample(spark, sf_dir):
     return storage.victim_by_sample(document_entries(spark, sf_dir), 1, 64, 8, seed=1)
 
@@ -132,6 +136,19 @@ def evict_oldest_until_limit(spark, sf_dir):
     return storage.evict_oldest_until(document_entries(spark, sf_dir), 1_000_000).select("key", "weight", "freed_before")
 
 
+SAMPLED = f"""{DOCS}, a AS (SELECT *, (shard - 1 + 1024) % 1024 AS ahead, {draw_sql('key', 0)} AS draw FROM docs),
+    p AS (SELECT *, (ahead // 4 + 1)::INT AS pick, row_number() OVER (PARTITION BY shard ORDER BY draw, key) AS place FROM a WHERE ahead < 800),
+    v AS (SELECT *, row_number() OVER (PARTITION BY pick ORDER BY touched, ahead, draw) AS best FROM p WHERE place <= 8),
+    f AS (SELECT *, coalesce(sum(weight) OVER (ORDER BY pick ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS freed FROM v WHERE best = 1)"""
+
+
+@query(f"WITH {SAMPLED} SELECT pick, key, shard, weight FROM f WHERE (SELECT sum(weight) FROM docs) - freed > (SELECT sum(weight) * 9 // 10 FROM docs)")
+def evict_by_sample(spark, sf_dir):
+    entries = document_entries(spark, sf_dir)
+    limit = entries.agg(F.sum("weight")).first()[0] * 9 // 10
+    return storage.evict_sampled_until(entries, limit, rounds=200).select("pick", "key", "shard", "weight")
+
+
 DISTANCES = f"""{LOG}, r AS (SELECT *, ts_us // {DAY_US} AS period, row_number() OVER (PARTITION BY ts_us // {DAY_US} ORDER BY ts_us, event_id) AS pos FROM log),
     l AS (SELECT *, lag(pos) OVER (PARTITION BY period, key ORDER BY pos) AS prev FROM r),
     d AS (SELECT a.event_id, a.key, (SELECT count(DISTINCT b.key) FROM l b WHERE b.period = a.period AND b.pos > a.prev AND b.pos < a.pos) AS distance FROM l a WHERE a.prev IS NOT NULL)"""
@@ -201,6 +218,11 @@ def refresh_pick_oldest(spark, sf_dir):
     return lifetime.refresh_picks(due, 3).select("key", "event_id", "place")
 
 
+def hour():
+    """By this sums over the log are cut."""
+    return F.floor(F.col("ts_us") / 3_600_000_000)
+
+
 def hashed_log(spark, sf_dir):
     return event_log(spark, sf_dir).withColumn("key_hash", key_hash(F.col("key")))
 
@@ -236,12 +258,17 @@ def doorkeeper_seen(spark, sf_dir):
 @query(f"WITH {INCS}, counters AS (SELECT shard, idx, least(15, sum(n)) AS c FROM incs GROUP BY shard, idx) SELECT h AS key_hash, min(coalesce(c, 0))::INT AS estimate FROM keys JOIN kidx USING (key) LEFT JOIN counters k ON k.shard = h & {ADMISSION.shards - 1} AND k.idx = kidx.idx GROUP BY h")
 def sketch_estimate(spark, sf_dir):
     log = hashed_log(spark, sf_dir)
-    return admission.estimates(log, admission.counters(log, ADMISSION, aging=False), ADMISSION)
+    return admission.estimates(log, admission.counters(log, ADMISSION, aging=False, bucket=hour()), ADMISSION)
 
 
 @query(f"WITH RECURSIVE {COUNTERS} SELECT shard::INT AS shard, idx, c::INT AS counter FROM counters")
 def sketch_aged(spark, sf_dir):
-    return admission.counters(hashed_log(spark, sf_dir), ADMISSION)
+    return admission.counters(hashed_log(spark, sf_dir), ADMISSION, bucket=hour())
+
+
+@query(f"WITH RECURSIVE {COUNTERS} SELECT shard::INT AS shard, idx, (c // 2)::INT AS counter FROM counters WHERE c // 2 > 0")
+def sketch_reset(spark, sf_dir):
+    return admission.reset(admission.counters(hashed_log(spark, sf_dir), ADMISSION, bucket=hour()))
 
 
 @query(f"WITH RECURSIVE {COUNTERS}, v AS (SELECT h, estimate FROM est ORDER BY key LIMIT 1) SELECT est.h AS candidate, v.h AS victim, est.estimate::INT AS candidate_freq, v.estimate::INT AS victim_freq, (est.h = v.h OR est.estimate > v.estimate) AS allow FROM est, v")
@@ -249,7 +276,7 @@ def admission_allow(spark, sf_dir):
     log = hashed_log(spark, sf_dir)
     victim = log.agg(F.min_by("key_hash", "key")).first()[0]
     pairs = log.select(F.col("key_hash").alias("candidate")).distinct().withColumn("victim", F.lit(victim).cast("long"))
-    return admission.allow(pairs, log, ADMISSION).select("candidate", "victim", "candidate_freq", "victim_freq", "allow")
+    return admission.allow(pairs, log, ADMISSION, hour()).select("candidate", "victim", "candidate_freq", "victim_freq", "allow")
 
 
 @query("SELECT l_partkey AS key, count(*) AS n FROM lineitem GROUP BY l_partkey ORDER BY n DESC, key LIMIT 20")
@@ -323,12 +350,16 @@ def cache_get_batches(spark, sf_dir):
     return cache.get(log.filter(F.col("ts_us") >= HALF_US), loaded_users, NOW_US).select("event_id", "key", "payload", "outcome")
 
 
-@query(f"WITH {BATCHES} SELECT user_id AS key, 'user-' || user_id AS payload, {NOW_US}::BIGINT AS updated_us FROM (SELECT DISTINCT user_id FROM events WHERE user_id NOT IN (FROM old))")
+#: Few users have been seen by then.
+EARLY_US = NOW_US - 30 * DAY_US + DAY_US // 8
+
+
+@query(f"SELECT user_id AS key, 'user-' || user_id AS payload, {NOW_US}::BIGINT AS updated_us FROM (SELECT DISTINCT user_id FROM events WHERE user_id NOT IN (SELECT user_id FROM events WHERE epoch_us(ts) < {EARLY_US}))")
 def cache_expire_removes(spark, sf_dir):
     """What a cache holds once the entries of the first of two batches have outlived their time."""
     cache, log = Cache(spark, CacheConfig(lifetime=LifetimeConfig(ttl_us=DAY_US))), event_log(spark, sf_dir).select("event_id", "key", "ts_us")
-    cache.get(log.filter(F.col("ts_us") < HALF_US), loaded_users, HALF_US)
-    cache.get(log.filter(F.col("ts_us") >= HALF_US), loaded_users, NOW_US)
+    cache.get(log.filter(F.col("ts_us") < EARLY_US), loaded_users, EARLY_US)
+    cache.get(log.filter(F.col("ts_us") >= EARLY_US), loaded_users, NOW_US)
     cache.expire(NOW_US, seconds=3600)
     return cache.around().select("key", "payload", "updated_us")
 
@@ -343,6 +374,193 @@ def peek_expired(spark, sf_dir):
     return lifetime.oldest_expired(rows.withColumn("expired", old))
 
 
+LIFE = f"""{LOG}, held AS (SELECT DISTINCT key, 56 + length('user-' || key) AS weight FROM log), total AS (SELECT count(*) AS n, sum(weight) AS mem FROM held),
+    odd AS (SELECT key, CASE WHEN key % 2 = 1 THEN 57 ELSE weight END AS weight FROM held), kept AS (SELECT * FROM odd WHERE key % 5 <> 0),
+    run AS (SELECT *, coalesce(sum(weight) OVER (ORDER BY key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS freed, sum(weight) OVER () AS mem FROM kept),
+    soft AS (SELECT * FROM run WHERE mem - freed <= 4000)"""
+
+
+@query(f"""WITH {LIFE} SELECT 'get' AS step, n AS len, mem::BIGINT AS mem, 0::BIGINT AS scans, 0::BIGINT AS hits, 0::BIGINT AS items, 0::BIGINT AS bytes FROM total
+    UNION ALL SELECT 'update', count(*), sum(weight)::BIGINT, 0, 0, 0, 0 FROM odd
+    UNION ALL SELECT 'delete', count(*), sum(weight)::BIGINT, 0, 0, 0, 0 FROM kept
+    UNION ALL SELECT 'force_call', (SELECT count(*) FROM soft), (SELECT coalesce(sum(weight), 0) FROM soft)::BIGINT, 1, (max(mem) > 4000)::BIGINT, count(*) - (SELECT count(*) FROM soft), (sum(weight) - (SELECT coalesce(sum(weight), 0) FROM soft))::BIGINT FROM run
+    UNION ALL SELECT 'clear', 0, 0, 1, (max(mem) > 4000)::BIGINT, count(*) - (SELECT count(*) FROM soft), (sum(weight) - (SELECT coalesce(sum(weight), 0) FROM soft))::BIGINT FROM run""")
+def cache_lifecycle(spark, sf_dir):
+    """Length, weight and the evictor's counters of a cache after each step of its life; entries of one batch go by key."""
+    cache = Cache(spark, CacheConfig(db=DbConfig(size_bytes=1 << 40), eviction=EvictionConfig(mode="sampling", soft_limit_coefficient=4000 / (1 << 40))))
+    keys = event_log(spark, sf_dir).select("key")
+    rows = []
+
+    def note(step: str) -> None:
+        held = cache.metrics()["evictor"]
+        rows.append((step, cache.len(), cache.mem(), held["scans"], held["hits"], held["items"], held["bytes"]))
+
+    cache.get(keys, loaded_users, NOW_US)
+    note("get")
+    cache.update(F.lit("x"), F.col("key") % 2 == 1)
+    note("update")
+    cache.delete(keys.filter("key % 5 = 0").distinct())
+    note("delete")
+    cache.force_call()
+    note("force_call")
+    cache.clear()
+    note("clear")
+    return spark.createDataFrame(rows, "step string, len long, mem long, scans long, hits long, items long, bytes long")
+
+
+TICKED = f"""{LOG}, t AS (SELECT *, ts_us // 3600000000 + 1 AS tick, sum(weight) OVER (ORDER BY ts_us, event_id) AS upto FROM log), u AS (SELECT tick, max(upto) AS upto FROM t GROUP BY tick),
+    g AS (SELECT weight, (SELECT min(u.tick) FROM u WHERE u.upto > t.upto - t.weight + 20000) AS gone FROM t)"""
+
+
+@query(f"WITH {TICKED} SELECT u.tick, 1 AS scans, (count(g.gone) > 0)::INT AS hits, count(g.gone) AS items, coalesce(sum(g.weight), 0)::BIGINT AS bytes FROM u LEFT JOIN g ON g.gone = u.tick GROUP BY u.tick")
+def evictor_ticks(spark, sf_dir):
+    """The evictor's counters hour by hour, every access being an insert."""
+    inserts = event_log(spark, sf_dir).select(F.col("ts_us").alias("at_us"), F.col("event_id").alias("id"), "weight")
+    return workers.evictor_ticks(inserts, 20_000, 3_600_000_000)
+
+
+#: A busy log: 100,000 times as fast.
+BUSY = "busy AS (SELECT event_id AS id, event_type AS lane, epoch_us(ts) // 100000 AS at_us FROM events)"
+
+
+def busy_log(spark, sf_dir):
+    return event_log(spark, sf_dir).select(F.col("event_id").alias("id"), F.col("op").alias("lane"), F.floor(F.col("ts_us") / 100_000).alias("at_us"))
+
+
+@query(f"WITH {BUSY}, n AS (SELECT *, row_number() OVER (PARTITION BY lane ORDER BY at_us, id) AS place FROM busy) SELECT id, lane, (max(at_us - place * 20000) OVER (PARTITION BY lane ORDER BY at_us, id) + place * 20000)::BIGINT AS served_us FROM n")
+def paced_requests(spark, sf_dir):
+    return workers.paced(busy_log(spark, sf_dir), 50, ["lane"]).select("id", "lane", "served_us")
+
+
+@query(f"WITH {BUSY}, n AS (SELECT *, row_number() OVER (ORDER BY at_us, id) AS place FROM busy), s AS (SELECT max(at_us + 1000001 - place * 10000) OVER (ORDER BY at_us, id) + place * 10000 AS served FROM n) SELECT (served // 1000000)::BIGINT AS tick, 100::BIGINT AS scans, count(*) AS hits, 100 - count(*) AS misses, count(*) AS affected FROM s GROUP BY 1")
+def lifetimer_ticks(spark, sf_dir):
+    """The lifetime worker's counters second by second, with more entries due than its rate allows."""
+    entries = busy_log(spark, sf_dir).select(F.col("id").alias("key"), F.col("at_us").alias("updated_us"))
+    return workers.lifetimer_ticks(entries, 1_000_000, 100, 1_000_000)
+
+
+QUEUE = f"""touched AS (SELECT ({key_hash_sql('user_id')} & 31)::INT AS shard, user_id AS key, min((epoch_us(ts), event_id)) AS seq FROM events WHERE event_id % 3 = 0 GROUP BY 1, 2),
+    queue AS (SELECT shard, key, row_number() OVER (PARTITION BY shard ORDER BY seq) AS place FROM touched)"""
+
+
+def touch_queue(spark, sf_dir):
+    touches = hashed_log(spark, sf_dir).select(F.col("key_hash").bitwiseAND(31).cast("int").alias("shard"), "key", "seq", (F.col("event_id") % 3 == 0).alias("expired"))
+    return queues.enqueue_touched(touches, 4)
+
+
+@query(f"WITH {QUEUE} SELECT shard, key, place <= 3 AS queued FROM queue")
+def refresh_queue(spark, sf_dir):
+    return touch_queue(spark, sf_dir).select("shard", "key", "queued")
+
+
+@query(f"WITH {QUEUE}, looked AS (SELECT shard, key, (shard - 5 + 1024) % 1024 AS ahead, CASE WHEN key % 3 = 1 THEN 'gone' WHEN key % 4 = 0 THEN 'taken' ELSE 'fresh' END AS outcome FROM queue WHERE place = 1) SELECT shard, key, outcome FROM looked WHERE ahead <= (SELECT coalesce(min(ahead), 1024) FROM looked WHERE outcome = 'taken')")
+def peek_by_queue(spark, sf_dir):
+    entries = event_log(spark, sf_dir).select("key", (F.col("key") % 4 == 0).alias("expired")).distinct().filter("key % 3 <> 1")
+    return queues.peek_queued(touch_queue(spark, sf_dir).filter("queued"), entries, 5)
+
+
+@query(f"WITH {DOCS}, a AS (SELECT *, (shard - 1 + 1024) % 1024 AS ahead, {draw_sql('key', 1)} AS draw FROM docs), o AS (SELECT *, key % 7 = 0 AS expired, row_number() OVER w - 1 AS seen, coalesce(sum((key % 7 = 0)::INT) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS found FROM a WHERE ahead < 512 WINDOW w AS (ORDER BY ahead, draw, key)) SELECT key, 100000 - touched AS updated_us FROM o WHERE seen < 512 AND found < 32 AND expired ORDER BY touched DESC, seen LIMIT 1")
+def peek_by_sampling(spark, sf_dir):
+    rows = document_entries(spark, sf_dir).withColumn("draw", storage.draw(F.col("key"), 1)).withColumn("expired", F.col("key") % 7 == 0).withColumn("updated_us", 100_000 - F.col("touched"))
+    return queues.peek_sampled(rows, 1, 32)
+
+
+@query(f"WITH {DOCS}, l AS (SELECT shard, min(key) AS last FROM docs WHERE weight > 3000 GROUP BY shard) SELECT d.shard, d.key FROM docs d LEFT JOIN l USING (shard) WHERE d.shard < 900 AND (l.last IS NULL OR d.key <= l.last)")
+def around_early_stop(spark, sf_dir):
+    """A scan by key that stops in each shard at the first large entry, and after 900 shards."""
+    return queues.walk(document_entries(spark, sf_dir), F.col("key"), F.col("weight") > 3000, 900).select("shard", "key")
+
+
+@query(f"WITH {LOG}, p AS (SELECT *, {key_hash_sql('key')} & 63 AS slot, first_value(key) OVER (PARTITION BY {key_hash_sql('key')} & 63 ORDER BY ts_us, event_id) AS owner, row_number() OVER (PARTITION BY {key_hash_sql('key')} & 63 ORDER BY ts_us, event_id) AS n FROM log) SELECT event_id, slot, owner, CASE WHEN key <> owner THEN 'collision' WHEN n = 1 THEN 'miss' ELSE 'hit' END AS outcome FROM p")
+def lookup_collisions(spark, sf_dir):
+    log = hashed_log(spark, sf_dir).withColumn("identity", F.md5(F.col("key").cast("string")))
+    return queues.lookup_identity(log, 64).select("event_id", "slot", "owner", "outcome")
+
+
+@query("WITH w AS (SELECT l_partkey AS key, l_orderkey, l_linenumber, floor(l_quantity)::BIGINT % 3 AS payload, lag(floor(l_quantity)::BIGINT % 3) OVER (PARTITION BY l_partkey ORDER BY l_shipdate, l_orderkey, l_linenumber) AS before FROM lineitem) SELECT key, l_orderkey, l_linenumber, CASE WHEN before IS NULL THEN 'insert' WHEN before = payload THEN 'touch' ELSE 'update' END AS decision, (before IS NULL)::INT AS len_delta, (payload - coalesce(before, -56))::BIGINT AS mem_delta FROM w")
+def set_decisions(spark, sf_dir):
+    """What each write does to a table without admission and limits."""
+    writes = line_writes(spark, sf_dir).withColumn("payload", F.col("weight") % 3).withColumn("weight", F.col("payload") + 56)
+    return queues.write_decisions(writes).select("key", "l_orderkey", "l_linenumber", "decision", "len_delta", "mem_delta")
+
+
+@query("SELECT event_id, (epoch_us(ts) + event_id) - (epoch_us(ts) + event_id) % 10000 AS cached_us, epoch_us(ts) + event_id AS real_us FROM events")
+def cached_clock(spark, sf_dir):
+    log = event_log(spark, sf_dir).withColumn("now", F.col("ts_us") + F.col("event_id"))
+    return log.select("event_id", cached_time(F.col("now")).alias("cached_us"), cached_time(F.col("now"), enabled=False).alias("real_us"))
+
+
+@query(f"SELECT o_orderkey, ({mix64_sql(mix64_sql('o_orderkey::UBIGINT'))} >> 11)::DOUBLE / 9007199254740992::DOUBLE AS drawn FROM orders")
+def random_floats(spark, sf_dir):
+    """The first draw of a stream seeded with each order's key."""
+    return table(spark, sf_dir, "orders").select("o_orderkey", uniform(stream_seed(F.col("o_orderkey"))).alias("drawn"))
+
+
+CHANGED = "concat(substr(text, 1, 9), 'X', substr(text, 11))"
+HALVES = " , ".join(f"xor(xor({key_hash_sql(f'substr({h}, 1, 16)')}, {key_hash_sql(f'substr({h}, (n // 2) * 2 + 1, 16)')}), {key_hash_sql(f'substr({h}, 2 * n - 15, 16)')}) AS {h}x" for h in ("a", "b"))
+
+
+@query(f"WITH h AS (SELECT doc_id, hex(encode(text)) AS a, hex(encode({CHANGED})) AS b, octet_length(encode(text)) AS n, octet_length(encode({CHANGED})) AS m FROM documents), x AS (SELECT *, {HALVES} FROM h) SELECT doc_id, CASE WHEN a IS NULL THEN b IS NULL WHEN n <> m THEN false WHEN n < 32 THEN a = b ELSE ax = bx END AS same FROM x")
+def payload_sampled_equal(spark, sf_dir):
+    """Texts against themselves with the tenth character changed, by length and three sampled blocks."""
+    docs = table(spark, sf_dir, "documents")
+    changed = F.concat(F.substring("text", 1, 9), F.lit("X"), F.expr("substring(text, 11)"))
+    return docs.select("doc_id", payload_equal(F.col("text"), changed, sampled=True).alias("same"))
+
+
+#: (size, coefficient in percent, mode, on_ttl, capacity, shards, least table, multiplier, bits)
+CONFIGS = [(size, percent, mode, on_ttl, capacity, shards, least, multiplier, bits) for size in (1 << 20, 3_000_001) for percent in (50, 80) for mode, on_ttl in (("listing", "remove"), ("sampling", "refresh"), ("other", "other")) for capacity, shards, least, multiplier, bits in ((128, 4, 64, 3, 2), (10_000, 16, 64, 10, 3), (5, 8, 1, 0, 1))]
+POW2 = "CASE WHEN {0} <= 1 THEN 1 ELSE 1::BIGINT << length(bin({0} - 1)) END"
+
+
+@query(f"""WITH c(size, percent, mode, on_ttl, capacity, shards, least, multiplier, bits) AS (VALUES {', '.join(map(str, CONFIGS))}),
+    t AS (SELECT *, greatest({POW2.format('greatest(1, capacity // shards)')}, least)::BIGINT AS table_len FROM c)
+    SELECT size::BIGINT AS size, percent::BIGINT AS percent, mode, on_ttl, capacity::BIGINT AS capacity, (size * percent // 100)::BIGINT AS soft_limit, mode = 'listing' AS listing, on_ttl <> 'refresh' AS removes, table_len,
+        ({POW2.format('greatest(1, table_len * bits)')})::BIGINT AS door_len, ((CASE WHEN multiplier = 0 THEN 10 ELSE multiplier END) * table_len)::BIGINT AS reset_at, true AS enabled FROM t""")
+def config_derived(spark, sf_dir):
+    """What is derived from configurations, and whether their parts are enabled."""
+    rows = []
+    for size, percent, mode, on_ttl, capacity, shards, least, multiplier, bits in CONFIGS:
+        cfg = load_config({"db": {"size_bytes": size}, "admission": {"capacity": capacity, "shards": shards, "min_table": least, "sample_multiplier": multiplier, "door_bits": bits}, "eviction": {"mode": mode, "soft_limit_coefficient": percent / 100}, "lifetime": {"on_ttl": on_ttl}})
+        a = cfg.admission
+        rows.append((size, percent, mode, on_ttl, capacity, cfg.eviction.soft_limit_bytes, cfg.eviction.is_listing, cfg.lifetime.is_remove, a.table_len, a.door_len, a.reset_at, None not in (cfg.admission, cfg.eviction, cfg.lifetime)))
+    return spark.createDataFrame(rows, "size long, percent long, mode string, on_ttl string, capacity long, soft_limit long, listing boolean, removes boolean, table_len long, door_len long, reset_at long, enabled boolean")
+
+
+COUNTERS_OF = [f"{record}_{c}" for record, names in telemetry.RECORDS.items() for c in names]
+
+
+def counter_sql(name: str, k: int) -> str:
+    """A counter that falls now and then: the accesses of some keys, modulo a number; the hard evictor's rarely move."""
+    return f"(sum(count(*) FILTER (user_id % {len(COUNTERS_OF)} = {k}{' AND event_id % 97 = 0' if name.startswith('hard') else ''})) OVER (ORDER BY epoch_us(ts) // {DAY_US}) * {1 if 'hard' in name else 1000 + k} % 100003)::BIGINT AS {name}"
+
+
+FULL = load_config({"db": {"size_bytes": 1 << 30}, "admission": {}, "eviction": {}, "lifetime": {}})
+
+
+def delta_sql(name: str) -> str:
+    return f"CASE WHEN lag({name}) OVER w IS NULL OR {name} < lag({name}) OVER w THEN {name} ELSE {name} - lag({name}) OVER w END AS {name}"
+
+
+def fields_sql(record: str) -> str:
+    return " || ' ' || ".join(f"'{c}=' || {'(' + fmt_sql(f'{record}_{c}') + ')' if c.endswith('bytes') else f'{record}_{c}'}" for c in telemetry.RECORDS[record])
+
+
+@query(f"""WITH s AS (SELECT epoch_us(ts) // {DAY_US} AS interval, sum(count(*)) OVER (ORDER BY epoch_us(ts) // {DAY_US})::BIGINT AS entries, {', '.join(counter_sql(n, k) for k, n in enumerate(COUNTERS_OF))} FROM events GROUP BY epoch_us(ts) // {DAY_US}),
+    d AS (SELECT interval, entries, entries * 1000 AS mem, {', '.join(map(delta_sql, COUNTERS_OF))} FROM s WINDOW w AS (ORDER BY interval))
+    {' UNION ALL '.join(f"SELECT interval, '{r}' AS record, {fields_sql(r)} AS fields FROM d" + (" WHERE hard_evictor_freed_items > 0 OR hard_evictor_freed_bytes > 0" if r == 'hard_evictor' else '') for r in telemetry.RECORDS)}
+    UNION ALL SELECT interval, 'storage', 'size=' || ({fmt_sql('mem')}) || ' entries=' || entries || ' soft_limit=819MB 204KB hard_limit=1GB 0MB' FROM d""")
+def telemetry_records(spark, sf_dir):
+    """The log of a cache whose counters are made of the accesses of each day."""
+    events = table(spark, sf_dir, "events").withColumn("interval", F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / DAY_US))
+    rare = F.col("event_id") % 97 == 0
+    mine = {n: (F.col("user_id") % len(COUNTERS_OF) == k) & (rare if n.startswith("hard") else F.lit(True)) for k, n in enumerate(COUNTERS_OF)}
+    days = events.groupBy("interval").agg(F.count("*").alias("rows"), *[F.count_if(c).alias(n) for n, c in mine.items()])
+    upto = Window.orderBy("interval")  # one row a day
+    snapshots = days.select("interval", F.sum("rows").over(upto).alias("entries"), *[(F.sum(n).over(upto) * (1 if "hard" in n else 1000 + k) % 100003).alias(n) for k, n in enumerate(COUNTERS_OF)])
+    return telemetry.log_records(snapshots.withColumn("mem", F.col("entries") * 1000), FULL)
+
+
 REPLAY = CacheConfig(db=DbConfig(size_bytes=4096), admission=ADMISSION, eviction=EvictionConfig())
 
 
