@@ -12,13 +12,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .config import CacheConfig, adjusted
-from .functions.keys import key_hash, shard_of
+from .functions.keys import SHARDS, key_hash, shard_of
 from .functions.scalars import expired, expiry_probability, weight
-from .operators import admission, lifetime, storage
+from .operators import admission, lifetime, queues, storage
 from .sources.tables import written
 
 #: Removals at expiry a second, where nothing is loaded again.
 REMOVALS_PER_SECOND = 100_000
+#: Places of a shard's refresh queue; one stays free.
+RING = 1024
 Loader = Callable[[DataFrame], DataFrame]
 
 
@@ -34,6 +36,8 @@ class Cache:
         self.spark, self.cfg = spark, adjusted(cfg)
         self.empty = f"key {key_type}, payload {payload_type}, shard int, weight long, touched long, updated_us long, ttl_us long, removes boolean"
         self.entries = spark.createDataFrame([], self.empty)
+        self.queue = spark.createDataFrame([], f"shard int, key {key_type}, seq long")
+        self.turn, self.workers = 0, None
         self.history = spark.createDataFrame([], "key_hash long, seq struct<at: long, key: long>")
         self.admitted, self.evicted, self.aged = dict.fromkeys(("allowed", "not_allowed", "hard_items", "hard_bytes"), 0), dict.fromkeys(("scans", "hits", "items", "bytes"), 0), dict.fromkeys(("affected", "errors", "scans", "hits", "misses"), 0)
 
@@ -71,6 +75,7 @@ class Cache:
             self.admitted["not_allowed"] += turned
             self.admitted["allowed"] += fresh.count()
         touched = self.entries.join(asked.withColumn("asked", F.lit(True)), "key", "left").withColumn("touched", F.when(F.col("asked"), F.lit(now_us).cast("long")).otherwise(F.col("touched"))).drop("asked")
+        self.enqueue(self.entries.join(asked, "key", "left_semi"), now_us)
         self.keep(touched.unionByName(fresh))
         if self.cfg.eviction is not None and self.mem() > self.cfg.db.size_bytes:
             items, size = self.evict(self.cfg.db.size_bytes)
@@ -80,11 +85,26 @@ class Cache:
 
     def rejected(self, fresh: DataFrame) -> DataFrame:
         """(key) of the loaded entries that aren't more frequent than the least recent entry."""
-        victim = storage.victim_by_list(self.entries, 0, probes=1024).select(key_hash(F.col("key"))).first()[0]
+        self.turn += 1
+        if self.cfg.eviction is None or self.cfg.eviction.is_listing:
+            found = storage.victim_by_list(self.entries, 0, probes=1024)
+        else:  # of the next two shards, as far as they have entries
+            found = storage.victim_by_sample(self.entries, self.turn, 2, 8, seed=self.turn)
+            found = found if not found.isEmpty() else storage.victim_by_sample(self.entries, 0, SHARDS, 8, seed=self.turn)
+        victim = found.select(key_hash(F.col("key"))).first()[0]
         pairs = fresh.select("key", key_hash(F.col("key")).alias("candidate"), F.lit(victim).cast("long").alias("victim"))
         verdict = admission.allow(pairs.select("candidate", "victim").distinct(), self.history, self.cfg.admission)
         return pairs.join(verdict.filter("NOT allow").select("candidate"), "candidate", "left_semi").select("key")
 
+    def enqueue(self, touched: DataFrame, now_us: int) -> None:
+        """Touched entries that have expired are queued for refresh, once each, as far as their shard's ring has places."""
+        if self.cfg.lifetime is None:
+            return
+        old = expired(F.lit(now_us).cast("long"), F.col("updated_us"), F.col("ttl_us"))
+        new = touched.select("shard", "key", F.lit(now_us).cast("long").alias("seq"), old.alias("expired"))
+        held = self.queue.select("shard", "key", "seq", F.lit(True).alias("expired"))
+        self.queue = written(queues.enqueue_touched(held.unionByName(new), RING).filter("queued").select("shard", "key", "seq"), "queue")
+
     def marked(self, answers: DataFrame, rejected: DataFrame) -> DataFrame:
         turned = rejected.withColumn("turned", F.lit(True))
         return answers.join(turned, "key", "left").withColumn("outcome", F.when(F.col("turned"), "miss_rejected").otherwise(F.col("outcome"))).drop("turned")
@@ -106,9 +126,15 @@ class Cache:
         """(shard, len, mem)"""
         return storage.shard_stats(self.entries)
 
-    def around(self, where: Column | None = None) -> DataFrame:
-        """The entries, or those that match."""
-        return self.entries if where is None else self.entries.filter(where)
+    def around(self, where: Column | None = None, stop: Column | None = None, shards: int = SHARDS) -> DataFrame:
+        """The entries, or those that match; with ``stop`` in each shard by key up to the first that it holds for, in the first ``shards``."""
+        found = self.entries if stop is None and shards == SHARDS else queues.walk(self.entries, F.col("key"), F.lit(False) if stop is None else stop, shards)
+        return found if where is None else found.filter(where)
+
+    def close(self) -> None:
+        """Stops the background workers; the entries stay."""
+        if self.workers is not None:
+            self.workers.close()
 
     def update(self, change: Column, where: Column | None = None) -> None:
         """A scan that writes: payloads become ``change`` where it holds; their times stay."""
@@ -148,8 +174,12 @@ class Cache:
             chance = expiry_probability(now, F.col("updated_us"), F.col("ttl_us"), life.beta, life.coefficient)
             old = draw < chance
         rate = REMOVALS_PER_SECOND if life.is_remove else life.rate
-        rows = self.entries.withColumn("expired", old).withColumn("is_queued", F.lit(False))
+        flags = self.queue.select("key", F.lit(True).alias("flag"))
+        rows = self.entries.join(flags, "key", "left").withColumn("expired", old).withColumn("is_queued", F.coalesce("flag", F.lit(False)))
         due = written(lifetime.expired_first(rows, max(1, rate * seconds)).select("key", "removes"), "due")
+        # Taken keys leave the queue, and so do those that are gone or fresh again.
+        waiting = rows.filter("expired AND is_queued").select("key")
+        self.queue = written(self.queue.join(waiting, "key", "left_semi").join(due, "key", "left_anti"), "queue")
         found, again = due.agg(F.count("*"), F.count_if(~F.col("removes"))).first()
         self.aged["scans"] += 1
         self.aged["hits" if found else "misses"] += 1

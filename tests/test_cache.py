@@ -1,11 +1,15 @@
 """The cache over tables: requests, limits, admission, expiry."""
 
+import threading
+import time
+
 from pyspark.sql import functions as F
 
 from cachelens.cache import Cache
 from cachelens.config import AdmissionConfig, CacheConfig, DbConfig, EvictionConfig, LifetimeConfig
 from cachelens.functions.keys import key_hash
 from cachelens.operators import storage
+from cachelens.streaming.workers import NotResponded, Workers
 
 
 def keys(spark, *values):
@@ -86,3 +90,42 @@ def test_first_accesses_of_a_hot_and_a_null_key(spark):
     rows = [(1, i) for i in range(50)] + [(None, 60), (None, 61), (2, 70)]
     got = storage.classify_hits(spark.createDataFrame(rows, "key long, seq long").withColumn("first_seen", F.lit(0)))
     assert sorted(r.seq for r in got.collect() if r.outcome == "miss") == [0, 60, 70] and got.count() == 53
+
+
+def test_touched_expired_entries_are_taken_first(spark):
+    cache = Cache(spark, CacheConfig(lifetime=LifetimeConfig(on_ttl="refresh", ttl_us=10, rate=1)))
+    cache.get(keys(spark, 1, 2, 3), load(), 0)
+    assert outcomes(cache.get(keys(spark, 3), load(), 20)) == [(3, "hit")]  # served though expired
+    assert [r.key for r in cache.queue.collect()] == [3]
+    cache.expire(20, load())
+    assert {r.key: r.updated_us for r in cache.around().collect()} == {1: 0, 2: 0, 3: 20} and cache.queue.isEmpty()
+    assert [r.key for r in cache.around(shards=0).collect()] == []
+
+
+def test_workers_tick_log_and_close(spark):
+    records = []
+    cfg = CacheConfig(db=DbConfig(size_bytes=1000, telemetry_logs=True, telemetry_interval_us=1_000_000), eviction=EvictionConfig(mode="sampling", calls_per_sec=2), lifetime=LifetimeConfig(ttl_us=3_600_000_000))
+    cache = Cache(spark, cfg)
+    cache.get(keys(spark, *range(9)), load(), time.time_ns() // 1000)
+    running = Workers(cache, load(), lambda *r: records.append(r)).start()
+    began = time.time()
+    while time.time() - began < 90 and (cache.mem() > 800 or not any(r[1] == "soft_evictor" and "hits=1" in r[2] for r in records)):
+        time.sleep(0.5)
+    with running.lock:
+        assert cache.mem() == 800 and {r[1] for r in records} == {"lifetime_manager", "soft_evictor", "storage"}
+        failed = []
+
+        def call():
+            try:
+                running.force_call(0.1)
+            except NotResponded as e:
+                failed.append(e)
+
+        caller = threading.Thread(target=call)
+        caller.start()
+        caller.join()
+        assert failed
+    running.force_call(30)
+    cache.close()
+    assert not any(q.isActive for q in running.queries) and cache.len() == 8
+    running.force_call(0.1)

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cachelens.config import AdmissionConfig, CacheConfig, DbConfig, EvictionConfig, LifetimeConfig
-from cachelens.operators import admission, lifetime, replay, storage, telemetry
+from cachelens.operators import admission, lifetime, queues, replay, storage, telemetry, workers
 from cachelens.plans import catalogue
 
 SMALL = AdmissionConfig(capacity=16, shards=2, min_table=8, sample_multiplier=3, door_bits=4)
@@ -140,6 +140,151 @@ def test_replay_limits(spark):
     assert sum(r.outcome == "miss_admitted" for r in plain) == len({r[0] for r in rows})
 
 
+class PlainCache:
+    """The replayed cache once more, from lists and scans: what happens on each access, in both modes."""
+
+    def __init__(self, cfg, limit, compat):
+        self.a, self.limit, self.compat = cfg.admission, limit, compat
+        self.rows, self.iter, self.now = {}, 0, 0  # hash -> [weight, touched]
+        self.bits = [[0] * self.a.door_len for _ in range(self.a.shards)]
+        self.counts = [[0] * self.a.table_len for _ in range(self.a.shards)]
+        self.adds = [0] * self.a.shards
+
+    def chain(self, h, n, size):
+        out = []
+        for _ in range(n):
+            out.append(h % size)
+            z = (h + 0x9E3779B97F4A7C15) % 2**64
+            z = (z ^ (z >> 30)) * 0xBF58476D1CE4E5B9 % 2**64
+            z = (z ^ (z >> 27)) * 0x94D049BB133111EB % 2**64
+            h = z ^ (z >> 31)
+        return out
+
+    def record(self, h):
+        s, spots = h % self.a.shards, self.chain(h, 3, self.a.door_len)
+        if not all(self.bits[s][k] for k in spots):
+            for k in spots:
+                self.bits[s][k] = 1
+            return
+        if self.adds[s] >= self.a.reset_at:
+            self.counts[s], self.adds[s] = [c // 2 for c in self.counts[s]], 0
+        for k in self.chain(h, 4, self.a.table_len):
+            self.counts[s][k] = min(15, self.counts[s][k] + 1)
+        self.adds[s] += 1
+
+    def estimate(self, h):
+        return min(self.counts[h % self.a.shards][k] for k in self.chain(h, 4, self.a.table_len))
+
+    def mem(self):
+        return sum(w for w, _ in self.rows.values())
+
+    def tail(self, shard):
+        return min(((t, h) for h, (_, t) in self.rows.items() if h % 1024 == shard), default=None)
+
+    def evict(self, limit, spins):
+        items = freed = 0
+        while self.rows:
+            done = self.mem() <= limit
+            if self.compat and (spins == 0 or done and freed <= 8 * 2**20) or not self.compat and done:
+                break
+            spins -= 1
+            if self.compat:
+                self.iter += 1
+                found = self.tail(self.iter % 1024)
+            else:
+                found = min((t, h) for h, (_, t) in self.rows.items())
+            if found:
+                freed += self.rows.pop(found[1])[0]
+                items += 1
+        return items, freed
+
+    def access(self, h, weight):
+        self.now += 1
+        if not self.compat or h not in self.rows:
+            self.record(h)
+        if h in self.rows:
+            self.rows[h][1] = self.now
+            return "hit", 0, 0
+        over = self.mem() + (0 if self.compat else weight) > self.limit
+        if self.rows and (self.compat or over):
+            if self.compat:
+                tails = [self.tail((self.iter + k) % 1024) for k in range(8)]
+                self.iter += 1
+                victim = min((t for t in tails if t), default=None, key=lambda t: t[0])
+            else:
+                victim = min((t, h) for h, (_, t) in self.rows.items())
+            seen = all(self.bits[h % self.a.shards][k] for k in self.chain(h, 3, self.a.door_len))
+            if victim is None or not (victim[1] == h or seen and self.estimate(h) > self.estimate(victim[1])):
+                return "miss_rejected", 0, 0
+        items, freed = self.evict(self.limit - (0 if self.compat else weight), 32) if over else (0, 0)
+        self.rows[h] = [weight, self.now]
+        return "miss_admitted", items, freed
+
+
+@pytest.mark.parametrize("compat, weight", [(False, 1024), (True, 1024), (True, 3 << 20)])
+def test_replay_equals_a_plain_model(spark, compat, weight):
+    rng = random.Random(9)
+    keys = [min(rng.randrange(40), rng.randrange(40)) for _ in range(1200)]
+    rows = [(k, k * 7919 + 13 if weight == 1024 else k % 4 + 1024 * k, i, i, weight + k) for i, k in enumerate(keys)]
+    log = spark.createDataFrame(rows, "key long, key_hash long, event_id long, ts_us long, weight long")
+    cfg = CacheConfig(db=DbConfig(size_bytes=10 * weight), admission=SMALL, eviction=EvictionConfig())
+    model = PlainCache(cfg, 10 * weight, compat)
+    expected = [model.access(h, w) for _, h, _, _, w in rows]
+    got = replay.replay(log, cfg, compat=compat).orderBy("event_id").collect()
+    assert [(r.outcome, r.evicted_items, r.evicted_bytes) for r in got] == expected
+    assert {x[0] for x in expected} == {"hit", "miss_admitted", "miss_rejected"}
+
+
+def test_evictor_and_lifetimer_ticks_equal_loops(spark, monkeypatch):
+    rng = random.Random(4)
+    rows = sorted((rng.randrange(50_000), i, rng.randrange(1, 60)) for i in range(400))
+    monkeypatch.setattr(workers, "BUCKET_US", 700)
+    monkeypatch.setattr(workers, "BUCKET_BYTES", 500)
+    inserts = spark.createDataFrame([(a, i, w) for a, i, w in rows], "at_us long, id long, weight long")
+    held, expected = [], {}
+    for tick in range(1, 52):
+        new = [w for a, _, w in rows if a // 1000 + 1 == tick]
+        held += new
+        items = freed = 0
+        hit = sum(held) > 300
+        while sum(held) > 300:
+            freed += held.pop(0)
+            items += 1
+        if new:
+            expected[tick] = (1, int(hit), items, freed)
+    assert {r.tick: (r.scans, r.hits, r["items"], r.bytes) for r in workers.evictor_ticks(inserts, 300, 1000).collect()} == expected
+    free, served = 0, {}
+    for a, i, _ in rows:
+        free = max(free, a)
+        served[i] = free
+        free += 200
+    assert {r.id: r.served_us for r in workers.paced(inserts, 5000).collect()} == served
+    ticks = workers.lifetimer_ticks(inserts.select(F.col("id").alias("key"), F.col("at_us").alias("updated_us")), 10, 5000, 1000).collect()
+    assert sum(r.hits for r in ticks) == 400 and all(r.hits <= r.scans == 5 for r in ticks) and workers.tokens_buffer(5) == 1 and workers.tokens_buffer(50) == 5
+
+
+def test_sampled_eviction(spark):
+    rows = entries(spark, 300, 5)
+    df = spark.createDataFrame([(k, (k * 37) % 1024, w, t) for k, _, w, t in rows], "key long, shard int, weight long, touched long")
+    total = sum(r[2] for r in rows)
+    gone = storage.evict_sampled_until(df, total // 3, rounds=4096).collect()
+    assert total - sum(r.weight for r in gone) <= total // 3 < total - sum(r.weight for r in gone) + max(r.weight for r in gone)
+    assert len({r.key for r in gone}) == len(gone) and not storage.evict_sampled_until(df, total, rounds=10).collect()
+    assert len(storage.evict_sampled_until(df, 0, rounds=20).collect()) <= 20
+
+
+def test_queues_and_walks(spark):
+    pushes = spark.createDataFrame([(0, k, k) for k in range(5)] + [(1, 9, 1)], "shard int, key long, seq long")
+    assert {r.key for r in queues.ring(pushes, 4).filter("pushed").collect()} == {0, 1, 2, 9}
+    assert queues.ring(pushes, 0).filter("pushed AND shard = 0").count() == 1  # two places at least
+    known = spark.createDataFrame([(0, False), (9, True)], "key long, expired boolean")
+    assert {(r.key, r.outcome) for r in queues.peek_queued(pushes, known, 0).collect()} == {(0, "fresh"), (9, "taken")}
+    assert {(r.key, r.outcome) for r in queues.peek_queued(pushes, known, 1).collect()} == {(9, "taken")}
+    assert {(r.key, r.outcome) for r in queues.peek_queued(pushes, known.limit(0), 1).collect()} == {(0, "gone"), (9, "gone")}
+    assert {r.key for r in queues.walk(pushes, F.col("key"), F.col("key") == 2).collect()} == {0, 1, 2, 9}
+    assert {r.key for r in queues.walk(pushes, F.col("key"), F.lit(None).cast("boolean"), 1).collect()} == {0, 1, 2, 3, 4}
+
+
 def test_reuse_distance(spark):
     stream = [1, 2, 3, 1, 1, 2, 4, 3, 1]
     log = spark.createDataFrame([(k, i) for i, k in enumerate(stream)], "key long, seq long")
