@@ -149,26 +149,7 @@ def evict_by_sample(spark, sf_dir):
     return storage.evict_sampled_until(entries, limit, rounds=200).select("pick", "key", "shard", "weight")
 
 
-DISTANCES = f"""{LOG}, r AS (SELECT *, ts_us // {DAY_US} AS period, row_number() OVER (PARTITION BY ts_us // {DAY_US} ORDER BY ts_us, event_id) AS pos FROM log),
-    l AS (SELECT *, lag(pos) OVER (PARTITION BY period, key ORDER BY pos) AS prev FROM r),
-    d AS (SELECT a.event_id, a.key, (SELECT count(DISTINCT b.key) FROM l b WHERE b.period = a.period AND b.pos > a.prev AND b.pos < a.pos) AS distance FROM l a WHERE a.prev IS NOT NULL)"""
-
-
-@query(f"WITH {DISTANCES} SELECT event_id, key, distance FROM d")
-def lru_reuse_distance(spark, sf_dir):
-    rows = storage.reuse_distance(event_log(spark, sf_dir), F.floor(F.col("ts_us") / DAY_US))
-    return rows.select(F.col("seq.id").alias("event_id"), "key", "distance")
-
-
-@query(f"WITH {DISTANCES} SELECT c.capacity, count(*) FILTER (distance < capacity) AS hits FROM d, (SELECT unnest([5, 10, 20, 50]) AS capacity) c GROUP BY c.capacity")
-def lru_hit_by_capacity(spark, sf_dir):
-    rows = storage.reuse_distance(event_log(spark, sf_dir), F.floor(F.col("ts_us") / DAY_US)).groupBy("distance").agg(F.count("*").alias("n"))
-    sizes = rows.withColumn("capacity", F.explode(F.array(*[F.lit(c) for c in (5, 10, 20, 50)])))
-    return sizes.groupBy("capacity").agg(F.sum(F.when(F.col("distance") < F.col("capacity"), F.col("n")).otherwise(0)).alias("hits"))
-
-
-#: The same with the whole log as one period.
-LOG_DISTANCES = f"""{LOG}, r AS (SELECT *, row_number() OVER (ORDER BY ts_us, event_id) AS pos FROM log),
+DISTANCES = f"""{LOG}, r AS (SELECT *, row_number() OVER (ORDER BY ts_us, event_id) AS pos FROM log),
     l AS (SELECT *, lag(pos) OVER (PARTITION BY key ORDER BY pos) AS prev FROM r),
     d AS (SELECT a.event_id, a.key, (SELECT count(DISTINCT b.key) FROM l b WHERE b.pos > a.prev AND b.pos < a.pos) AS distance FROM l a WHERE a.prev IS NOT NULL)"""
 
@@ -178,13 +159,13 @@ def log_distances(spark, sf_dir):
     return storage.reuse_distance(event_log(spark, sf_dir), F.lit(0), run=F.floor(F.col("ts_us") / (DAY_US // 24)))
 
 
-@query(f"WITH {LOG_DISTANCES} SELECT event_id, key, distance FROM d")
-def lru_reuse_distance_whole_log(spark, sf_dir):
+@query(f"WITH {DISTANCES} SELECT event_id, key, distance FROM d")
+def lru_reuse_distance(spark, sf_dir):
     return log_distances(spark, sf_dir).select(F.col("seq.id").alias("event_id"), "key", "distance")
 
 
-@query(f"WITH {LOG_DISTANCES} SELECT c.capacity, count(*) FILTER (distance < capacity) AS hits FROM d, (SELECT unnest([5, 10, 20, 50]) AS capacity) c GROUP BY c.capacity")
-def lru_hit_by_capacity_whole_log(spark, sf_dir):
+@query(f"WITH {DISTANCES} SELECT c.capacity, count(*) FILTER (distance < capacity) AS hits FROM d, (SELECT unnest([5, 10, 20, 50]) AS capacity) c GROUP BY c.capacity")
+def lru_hit_by_capacity(spark, sf_dir):
     rows = log_distances(spark, sf_dir).groupBy("distance").agg(F.count("*").alias("n"))
     sizes = rows.withColumn("capacity", F.explode(F.array(*[F.lit(c) for c in (5, 10, 20, 50)])))
     return sizes.groupBy("capacity").agg(F.sum(F.when(F.col("distance") < F.col("capacity"), F.col("n")).otherwise(0)).alias("hits"))

@@ -314,7 +314,7 @@ def test_reuse_distance_crosses_midnight(spark):
     data = "/root/testdata/sf0.001"
     rows = [(r.user_id, r.event_id) for r in spark.read.parquet(f"{data}/events.parquet").orderBy("ts", "event_id").collect()]
     expected = {rows[i][1]: d for i, d in brute_distances([k for k, _ in rows]).items()}
-    got = catalogue.QUERIES["lru_reuse_distance_whole_log"](spark, data).collect()
+    got = catalogue.QUERIES["lru_reuse_distance"](spark, data).collect()
     assert {r.event_id: r.distance for r in got} == expected and len(got) == len(rows) - len({k for k, _ in rows})
-    hits = {r.capacity: r.hits for r in catalogue.QUERIES["lru_hit_by_capacity_whole_log"](spark, data).collect()}
+    hits = {r.capacity: r.hits for r in catalogue.QUERIES["lru_hit_by_capacity"](spark, data).collect()}
     assert hits == {c: sum(d < c for d in expected.values()) for c in (5, 10, 20, 50)}
