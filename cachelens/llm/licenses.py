@@ -72,7 +72,14 @@ def computed(df: DataFrame, keep: list[str], name: str, value: Column, where: Co
 
 
 def words_in(text: Column) -> Column:
-    return F.filter(F.split(F.regexp_replace(F.lower(text), "[^a-z0-9]+", " "), " "), lambda w: w != "")
+    plain = F.trim(F.regexp_replace(F.lower(text), "[^a-z0-9]+", " "))
+    return F.when(plain == "", F.array().cast("array<string>")).otherwise(F.split(plain, " "))
+
+
+def may_have(text: str, rows: list[tuple[str, list[str]]], least: float) -> Column:
+    """Whether a text has a word that one of the templates can't do without."""
+    telling = sorted({w for _, grams in rows for w in telling_words(grams, least)})
+    return F.lower(text).rlike(f"(?<![a-z0-9])(?:{'|'.join(telling)})(?![a-z0-9])")
 
 
 def embedded(documents: DataFrame, rows: list[tuple[str, list[str]]], units: list[tuple[str, list[str]]], least: float) -> DataFrame:
@@ -82,9 +89,7 @@ def embedded(documents: DataFrame, rows: list[tuple[str, list[str]]], units: lis
     windows of all templates are taken by coefficient, then by length, place and name. One that touches a
     line which as a unit reaches ``least`` with a template of ``units``, or of a text that does, is left out.
     """
-    telling = sorted({w for _, grams in rows for w in telling_words(grams, least)})
-    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    docs = docs.filter(F.lower("text").rlike(f"(?<![a-z0-9])(?:{'|'.join(telling)})(?![a-z0-9])"))
+    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).filter(may_have("text", rows, least))
     words = F.flatten(F.transform(F.split("text", "\n", -1), lambda x, k: F.transform(words_in(x), lambda w: F.struct((k + 1).alias("line"), w.alias("word")))))
     docs = computed(docs, ["doc_id"], "words", words, F.lit(True))
     pairs = F.transform(F.sequence(F.lit(0), F.size("words") - 2), lambda i: F.concat(F.get("words", i)["word"], F.lit(" "), F.get("words", i + 1)["word"]))
@@ -129,8 +134,9 @@ def scan_licenses(documents: DataFrame, templates: dict | None = None, least: fl
     Lines are separated by line feeds and counted from 1; a text of one line is compared as that line only.
     A unit gets the template with the largest coefficient (rounded to 9 digits; ties to the last name) if it
     reaches ``least``. Only ASCII letters and digits make words. A null or empty text, or a unit under two
-    words, has no bigrams and no licence. Notices across lines or inside a longer line: see embedded. Rows with the same doc_id each give their own rows. Other columns
-    are ignored. An empty table gives an empty result. The templates are literals of the plan, whose size
+    words, has no bigrams and no licence. A unit without any word that some template can't do without isn't compared.
+    Notices across lines or inside a longer line: see embedded. Texts of any length are compared as a whole, by one
+    task each. Rows with the same doc_id each give their own rows. Other columns are ignored. An empty table gives an empty result. The templates are literals of the plan, whose size
     doesn't depend on the data.
     """
     rows = template_rows(TEMPLATES if templates is None else templates)
@@ -138,10 +144,10 @@ def scan_licenses(documents: DataFrame, templates: dict | None = None, least: fl
     sizes = [len(grams) for _, grams in rows]
     fewest, largest = min(sizes) * least / (2 - least), max(sizes) * (2 - least) / least
     known = F.array(*[F.struct(F.lit(name).alias("name"), F.array(*[F.lit(g) for g in grams]).alias("grams"), F.lit(len(grams)).alias("size")) for name, grams in rows])
-    text = text_or_empty()
-    lines = F.split(text, "\n", -1)
-    units = F.concat(F.array(F.when(F.size(lines) > 1, text).otherwise(F.lit(""))), lines)
-    found = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.posexplode(units).alias("line", "unit"))
+    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).filter(may_have("text", rows, least))
+    lines = F.split("text", "\n", -1)
+    units = F.concat(F.array(F.when(F.size(lines) > 1, F.col("text")).otherwise(F.lit(""))), lines)
+    found = docs.select("doc_id", F.posexplode(units).alias("line", "unit")).filter(may_have("unit", rows, least))
     # A word takes two characters with its separator.
     found = found.filter(F.length("unit") >= 2 * int(fewest))
     found = computed(found, ["doc_id", "line"], "words", words_in(F.col("unit")), F.lit(True))

@@ -524,6 +524,30 @@ def test_license_scan(spark):
     assert licenses.scan_licenses(edge_docs(spark).limit(0)).count() == 0
 
 
+def test_license_scan_near_the_threshold_equals_brute_force(spark):
+    rng = random.Random(15)
+    texts = [t for ts in licenses.TEMPLATES.values() for t in ts]
+    docs = []
+    for i in range(240):
+        words = rng.choice(texts).split()
+        for _ in range(rng.randrange(5)):
+            words[rng.randrange(len(words))] = rng.choice(["word", "the", "license", "under"])
+        words += ["more"] * rng.randrange(4)
+        docs.append((i, " ".join(words)))
+    rows = licenses.template_rows(licenses.TEMPLATES)
+
+    def best(text):
+        own = set(licenses.bigrams(licenses.normalised(text)))
+        return max((round(2 * len(own & set(g)) / (len(own) + len(g)), 9), name) for name, g in rows)
+
+    expected = {(i, best(t)[1], best(t)[0]) for i, t in docs if best(t)[0] >= licenses.LEAST_DICE}
+    assert 30 < len(expected) < 200
+    got = licenses.scan_licenses(spark.createDataFrame(docs, "doc_id long, text string"))
+    lines = {(r.doc_id, r.license, r.dice) for r in got.collect()}
+    assert expected <= lines and {x[0] for x in lines - expected}.isdisjoint({x[0] for x in expected})
+    assert licenses.scan_licenses(spark.createDataFrame([(1, "x " * 400000 + "\nReleased under the MIT License.")], "doc_id long, text string")).count() == 1
+
+
 def test_license_scan_finds_wrapped_and_embedded_notices(spark):
     mit = """The MIT License (MIT)
 
