@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Used only where the session names no shared folder, as in tests.
+#: Used only on a local master where the session names no shared folder, as in tests.
 LOCAL_WORK_DIR = "/tmp/checkpoints"
 
 #: Word pattern of all operators here: runs of anything but ASCII white space.
@@ -21,8 +21,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def work_dir(spark: SparkSession, what: str) -> str:
-    """A new folder name below the checkpoint folder that the whole cluster shares."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or LOCAL_WORK_DIR
+    """A new folder name below the checkpoint folder that the whole cluster shares. What is written there isn't deleted."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
+    root = root or LOCAL_WORK_DIR
     return f"{root.rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
 

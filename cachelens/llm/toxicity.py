@@ -129,8 +129,11 @@ def score_toxicity(documents: DataFrame, model: tuple[np.ndarray, np.ndarray, fl
 
 
 def drop_toxic(documents: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """The rows of ``documents``, with all their columns, that score below ``threshold``."""
-    score = scorer(fit_toxicity(documents, labels))
+    """The rows of ``documents``, with all their columns, that score below ``threshold``; all of them if nothing could be learnt."""
+    model = fit_toxicity(documents, labels)
+    if not len(model[0]) and not model[2]:
+        return documents
+    score = scorer(model)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in slices(batches, SLICE_BYTES):

@@ -495,6 +495,15 @@ def test_chat_round_trip(spark):
     assert got[None].n_turns == 1
 
 
+def test_chat_with_long_texts_and_without_rows(spark):
+    long_text = "<|im_end|>\\ " * 60000
+    rows = spark.createDataFrame([(1, 0, "user", long_text), (1, 1, "assistant", long_text), (2, 5, "assistant", "a"), (2, 5, "assistant", "a")], "conv_id long, turn long, role string, text string")
+    got = {r.conv_id: r for r in chat_format.conversation_digests(rows).collect()}
+    assert (got[1].loss_chars, got[1].n_turns, got[2].loss_chars) == (len(long_text), 2, 2)
+    assert got[1].loss_sha256 == hashlib.sha256(long_text.encode()).hexdigest()
+    assert chat_format.conversation_digests(rows.limit(0)).count() == 0
+
+
 def test_reply_trees(spark):
     rows = [("t", 1, None, "user", "q", 1.0), ("t", 2, 1, "assistant", "bad", 0.0), ("t", 3, 1, "assistant", "good", 5.0), ("t", 4, 3, "user", "more", 1.0), ("u", 1, 9, "user", "lone", None), ("v", 1, 1, "user", "self", 0.0)]
     got = chat_format.format_trees(spark.createDataFrame(rows, "tree string, node long, parent long, role string, text string, score double"), best=2).collect()
@@ -674,3 +683,22 @@ def test_pipeline(spark, tmp_path):
     clean = {i for i in range(300) if i % 4 and i % 8 != 1} - {102, 106}
     assert len(ids & clean) >= 0.98 * len(clean) and len(ids - clean) <= 3 and not ids & {102, 106}
     assert corpus_pipeline.STAGES[-1][1](spark, kept, str(tmp_path)).count() > 0
+
+
+def test_pipeline_edges(spark, tmp_path):
+    """Nulls, empty and repeated rows, a long text and clashing columns go through all stages; equal rows with words once."""
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    item = " ".join(f"b{i}" for i in range(20))
+    rows = [*EDGES, (None, "no id here at all", "en", "b", 17), (1, "clean words that share the id of a dirty row " * 3, "en", "a", 9), (1, item, "en", "a", 9), (None, item, "en", "c", 9)]
+    docs = spark.createDataFrame(rows, FIELDS).withColumn("text_key", F.lit(1)).withColumn("of_id", F.lit(2)).withColumn("pieces", F.lit(3))
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, item), (2, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    kept = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, kept.limit(0), str(tmp_path)).count() == 0
+        kept = stage(spark, kept, str(tmp_path))
+        assert kept.columns == docs.columns, name
+    texts = sorted((r.doc_id or 0, (r.text or "").strip()[:20]) for r in kept.collect())
+    assert texts == [(0, "no id here at all"), (1, ""), (1, "clean words that sha"), (2, ""), (3, ""), (4, "one"), (5, "word word word word ")]
+    assert corpus_pipeline.run(spark, str(tmp_path)).columns[: len(docs.columns)] == docs.columns
