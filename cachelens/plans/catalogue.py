@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -13,7 +11,7 @@ from ..config import AdmissionConfig, CacheConfig, DbConfig, EvictionConfig, Lif
 from ..functions.keys import key_hash, key_hash_sql, mix64, mix64_sql, next_pow2, shard_of
 from ..functions.scalars import cached_time, expired, expiry_probability, fmt_mem, payload_equal, stream_seed, uniform, weight
 from ..operators import admission, lifetime, queues, replay, storage, telemetry, workers
-from ..sources.tables import document_entries, event_log, table
+from ..sources.tables import document_entries, event_log, shared_folder, table
 from ..streaming.ttl import drain_ttl_stream
 
 TTL_US = 6 * 3600 * 1_000_000
@@ -557,5 +555,4 @@ def replay_sharded(spark, sf_dir):
 
 @query(ORACLES["ttl_fold"])
 def stream_replay(spark, sf_dir):
-    root = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
-    return drain_ttl_stream(spark, sf_dir, TTL_US, f"{root.rstrip('/')}/ttl-{uuid.uuid4().hex}")
+    return drain_ttl_stream(spark, sf_dir, TTL_US, shared_folder(spark, "ttl"))

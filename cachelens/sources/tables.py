@@ -29,9 +29,16 @@ def document_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select(F.col("doc_id").alias("key"), h.alias("key_hash"), h.bitwiseAND(1023).cast("int").alias("shard"), weight(F.col("text")).alias("weight"), F.col("doc_id").alias("touched"))
 
 
+def shared_folder(spark: SparkSession, what: str) -> str:
+    """A new folder name below the one that the cluster shares; only a local master has one of its own. It isn't deleted."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
+    return f"{(root or '/tmp/checkpoints').rstrip('/')}/{what}-{uuid.uuid4().hex}"
+
+
 def written(df: DataFrame, what: str) -> DataFrame:
     """``df`` written as a table in the folder that the cluster shares and read again, which cuts its lineage."""
-    root = df.sparkSession.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
-    path = f"{root.rstrip('/')}/{what}-{uuid.uuid4().hex}"
+    path = shared_folder(df.sparkSession, what)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
