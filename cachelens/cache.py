@@ -113,8 +113,12 @@ class Cache:
         """Entries of ``keys`` (key) go; unknown keys are no error."""
         self.keep(storage.delete_keys(self.entries, keys))
 
-    def clear(self) -> None:
-        self.entries = self.spark.createDataFrame([], self.empty)
+    def clear(self, shard: int | None = None) -> None:
+        """All entries go, or those of one shard. What waits in refresh queues stays there until it is looked for."""
+        if shard is None:
+            self.entries = self.spark.createDataFrame([], self.empty)
+        else:
+            self.keep(self.entries.filter(F.col("shard") != shard))
 
     def len(self) -> int:
         return self.entries.count()

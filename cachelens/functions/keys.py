@@ -16,6 +16,22 @@ def key_hash(key: Column) -> Column:
     return F.conv(F.substring(F.md5(key.cast("string")), 1, 15), 16, 10).cast("long")
 
 
+def identity(key: Column) -> Column:
+    """What tells keys with one hash apart: (hash, upper, lower), 64 bits of the MD5 in either half."""
+    digest = F.md5(key.cast("string"))
+    return F.struct(key_hash(key).alias("hash"), F.substring(digest, 1, 16).alias("upper"), F.substring(digest, 17, 16).alias("lower"))
+
+
+def same_key(a: Column, b: Column) -> Column:
+    """Whether two identities are the same in all three parts; a missing one is no key."""
+    return F.coalesce(a == b, F.lit(False))
+
+
+def entry_key(key: Column, payload: Column) -> Column:
+    """An entry's key, or one made of its payload where it has none."""
+    return F.coalesce(key.cast("string"), F.md5(payload))
+
+
 def shard_of(hashed: Column, shards: int = SHARDS) -> Column:
     """The shard by the hash's low bits."""
     return hashed.bitwiseAND(F.lit(shards - 1)).cast("int")

@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from ..cache import Cache
 from ..config import AdmissionConfig, CacheConfig, DbConfig, EvictionConfig, LifetimeConfig, load_config
-from ..functions.keys import key_hash, key_hash_sql, mix64, mix64_sql, next_pow2, shard_of
+from ..functions.keys import entry_key, identity, key_hash, key_hash_sql, mix64, mix64_sql, next_pow2, same_key, shard_of
 from ..functions.scalars import cached_time, expired, expiry_probability, fmt_mem, payload_equal, stream_seed, uniform, weight
 from ..operators import admission, lifetime, queues, replay, storage, telemetry, workers
 from ..sources.tables import document_entries, event_log, shared_folder, table
@@ -387,6 +387,58 @@ def cache_lifecycle(spark, sf_dir):
     return spark.createDataFrame(rows, "step string, len long, mem long, scans long, hits long, items long, bytes long")
 
 
+BATCH_KEYS = f"b1 AS (SELECT DISTINCT user_id AS key FROM events WHERE epoch_us(ts) < {EARLY_US}), b2 AS (SELECT DISTINCT user_id AS key FROM events WHERE epoch_us(ts) >= {EARLY_US})"
+
+
+@query(f"WITH {BATCH_KEYS}, t AS (SELECT key FROM b1 ORDER BY key IN (SELECT key FROM b2) DESC, key LIMIT 20) SELECT key, CASE WHEN key IN (SELECT key FROM t) THEN 'again-' ELSE 'user-' END || key AS payload, (CASE WHEN key IN (SELECT key FROM b1) AND key NOT IN (SELECT key FROM t) THEN {EARLY_US} ELSE {NOW_US} END)::BIGINT AS updated_us FROM (SELECT key FROM b1 UNION SELECT key FROM b2)")
+def cache_refresh(spark, sf_dir):
+    """A cache after a round that loads expired entries again, within its rate: those that were touched since come first."""
+    cache, log = Cache(spark, CacheConfig(lifetime=LifetimeConfig(on_ttl="refresh", ttl_us=DAY_US, rate=20))), event_log(spark, sf_dir).select("event_id", "key", "ts_us")
+    cache.get(log.filter(F.col("ts_us") < EARLY_US), loaded_users, EARLY_US)
+    cache.get(log.filter(F.col("ts_us") >= EARLY_US), loaded_users, NOW_US)
+    cache.expire(NOW_US, lambda due: due.withColumn("payload", F.concat(F.lit("again-"), F.col("key").cast("string"))))
+    return cache.around().select("key", "payload", "updated_us")
+
+
+@query(f"""WITH {LIFE}, r AS (SELECT *, coalesce(sum(weight) OVER (ORDER BY key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS freed, sum(weight) OVER () AS mem FROM held), g AS (SELECT * FROM r WHERE mem - freed > 3000)
+    SELECT (SELECT n FROM total) - count(*) AS len, ((SELECT mem FROM total) - coalesce(sum(weight), 0))::BIGINT AS mem, count(*) AS hard_items, coalesce(sum(weight), 0)::BIGINT AS hard_bytes FROM g""")
+def cache_hard_limit(spark, sf_dir):
+    """What stays of a batch that weighs more than the cache may hold, and the counters of the hard limit."""
+    cache = Cache(spark, CacheConfig(db=DbConfig(size_bytes=3000), eviction=EvictionConfig(mode="sampling")))
+    cache.get(event_log(spark, sf_dir).select("key"), loaded_users, NOW_US)
+    held = cache.metrics()["cache"]
+    return spark.createDataFrame([(cache.len(), cache.mem(), held["hard_items"], held["hard_bytes"])], "len long, mem long, hard_items long, hard_bytes long")
+
+
+@query(f"WITH {DOCS} SELECT key, key % 5 = 0 AS is_queued FROM docs WHERE key % 3 = 0 ORDER BY key % 5 = 0 DESC, touched, key LIMIT 100")
+def expired_queue_first(spark, sf_dir):
+    rows = document_entries(spark, sf_dir).withColumn("expired", F.col("key") % 3 == 0).withColumn("is_queued", F.col("key") % 5 == 0).withColumn("updated_us", F.col("touched"))
+    return lifetime.expired_first(rows, 100).select("key", "is_queued")
+
+
+@query(f"SELECT event_id, {key_hash_sql('user_id')} AS hash, substr(md5(user_id::VARCHAR), 1, 16) AS upper, substr(md5(user_id::VARCHAR), 17, 16) AS lower, coalesce(user_id = lag(user_id) OVER (PARTITION BY {key_hash_sql('user_id')} & 63 ORDER BY event_id), false) AS same FROM events")
+def key_identity(spark, sf_dir):
+    """Each access's key in three parts, and whether the access before with the same last six bits of the hash has the same key."""
+    log = hashed_log(spark, sf_dir).select("event_id", identity(F.col("key")).alias("own"), F.col("key_hash").bitwiseAND(63).alias("slot"))
+    before = F.lag("own").over(Window.partitionBy("slot").orderBy("event_id"))
+    return log.withColumn("before", before).select("event_id", "own.*", same_key(F.col("own"), F.col("before")).alias("same"))
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN md5(text) ELSE doc_id::VARCHAR END AS key FROM documents")
+def entry_keys(spark, sf_dir):
+    """Entries without a key of their own have one made of their payload."""
+    docs = table(spark, sf_dir, "documents")
+    return docs.select("doc_id", entry_key(F.when(F.col("doc_id") % 4 != 0, F.col("doc_id")), F.col("text")).alias("key"))
+
+
+@query(f"SELECT event_id, (CASE WHEN user_id % 3 = 0 THEN 0 WHEN user_id % 3 = 1 THEN {DAY_US} * (user_id % 30) ELSE {TTL_US} END)::BIGINT AS ttl_us, CASE WHEN user_id % 3 = 0 THEN false WHEN user_id % 3 = 1 THEN user_id % 30 <> 0 AND {NOW_US} - epoch_us(ts) > {DAY_US} * (user_id % 30) ELSE {NOW_US} - epoch_us(ts) > {TTL_US} END AS expired FROM events")
+def item_ttl(spark, sf_dir):
+    """Times to live that loaders gave their own entries, 0 for ever, the configured one elsewhere."""
+    own = F.when(F.col("key") % 3 == 0, F.lit(0).cast("long")).when(F.col("key") % 3 == 1, F.lit(DAY_US) * (F.col("key") % 30))
+    rows = event_log(spark, sf_dir).withColumn("ttl_us", F.coalesce(own, F.lit(TTL_US)).cast("long"))
+    return rows.select("event_id", "ttl_us", expired(F.lit(NOW_US), F.col("ts_us"), F.col("ttl_us")).alias("expired"))
+
+
 TICKED = f"""{LOG}, t AS (SELECT *, ts_us // 3600000000 + 1 AS tick, sum(weight) OVER (ORDER BY ts_us, event_id) AS upto FROM log), u AS (SELECT tick, max(upto) AS upto FROM t GROUP BY tick),
     g AS (SELECT weight, (SELECT min(u.tick) FROM u WHERE u.upto > t.upto - t.weight + 20000) AS gone FROM t)"""
 

@@ -36,6 +36,9 @@ def test_requests(spark):
     cache.delete(keys(spark, 2, 9))
     assert cache.len() == 2
     assert cache.get(keys(spark), load(), 30).count() == 0
+    one = cache.around(F.col("key") == 1).first().shard
+    cache.clear(one)
+    assert {r.key for r in cache.around().collect()} == {3}
     cache.clear()
     assert (cache.len(), cache.mem()) == (0, 0)
 
