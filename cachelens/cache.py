@@ -38,7 +38,7 @@ class Cache:
         self.entries = spark.createDataFrame([], self.empty)
         self.queue = spark.createDataFrame([], f"shard int, key {key_type}, seq long")
         self.turn, self.workers = 0, None
-        self.history = spark.createDataFrame([], "key_hash long, seq struct<at: long, key: long>")
+        self.sketch = admission.Sketch.empty(spark)
         self.admitted, self.evicted, self.aged = dict.fromkeys(("allowed", "not_allowed", "hard_items", "hard_bytes"), 0), dict.fromkeys(("scans", "hits", "items", "bytes"), 0), dict.fromkeys(("affected", "errors", "scans", "hits", "misses"), 0)
 
     def keep(self, entries: DataFrame) -> None:
@@ -64,7 +64,7 @@ class Cache:
         if self.cfg.admission is not None:
             own = asked.select(key_hash(F.col("key")).alias("key_hash"))
             seen = own.select("key_hash", F.struct(F.lit(now_us).cast("long").alias("at"), F.col("key_hash").alias("key")).alias("seq"))
-            self.history = written(self.history.unionByName(seen), "history")
+            self.record(seen)
             added = fresh.agg(F.coalesce(F.sum("weight"), F.lit(0))).first()[0]
             if self.cfg.eviction is not None and self.mem() and self.mem() + added > self.cfg.db.size_bytes:
                 rejected = written(self.rejected(fresh), "rejected")
@@ -83,6 +83,11 @@ class Cache:
             self.admitted["hard_bytes"] += size
         return answers
 
+    def record(self, seen: DataFrame) -> None:
+        """Counts accesses (key_hash, seq) in the admission sketch; the accesses themselves aren't kept."""
+        after = admission.advanced(seen, self.sketch, self.cfg.admission)
+        self.sketch = admission.Sketch(written(after.bits, "bits"), written(after.table, "counters"), written(after.adds, "adds"))
+
     def rejected(self, fresh: DataFrame) -> DataFrame:
         """(key) of the loaded entries that aren't more frequent than the least recent entry."""
         self.turn += 1
@@ -93,7 +98,7 @@ class Cache:
             found = found if not found.isEmpty() else storage.victim_by_sample(self.entries, 0, SHARDS, 8, seed=self.turn)
         victim = found.select(key_hash(F.col("key"))).first()[0]
         pairs = fresh.select("key", key_hash(F.col("key")).alias("candidate"), F.lit(victim).cast("long").alias("victim"))
-        verdict = admission.allow(pairs.select("candidate", "victim").distinct(), self.history, self.cfg.admission)
+        verdict = admission.allow_by(pairs.select("candidate", "victim").distinct(), self.sketch.table, self.sketch.bits, self.cfg.admission)
         return pairs.join(verdict.filter("NOT allow").select("candidate"), "candidate", "left_semi").select("key")
 
     def enqueue(self, touched: DataFrame, now_us: int) -> None:

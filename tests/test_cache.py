@@ -64,7 +64,7 @@ def test_admission(spark):
     assert {r.key for r in cache.around().collect()} == {1, 2, 3}
     often = keys(spark, 7).select(key_hash(F.col("key")).alias("key_hash"))
     seen = often.select("key_hash", F.explode(F.sequence(F.lit(2).cast("long"), F.lit(9).cast("long"))).alias("at"))
-    cache.history = cache.history.unionByName(seen.select("key_hash", F.struct("at", F.col("key_hash").alias("key")).alias("seq")))
+    cache.record(seen.select("key_hash", F.struct("at", F.col("key_hash").alias("key")).alias("seq")))
     assert outcomes(cache.get(keys(spark, 7), load(), 10)) == [(7, "miss_admitted")]
     assert cache.len() == 3 and cache.metrics()["cache"] == {"allowed": 4, "not_allowed": 1, "hard_items": 1, "hard_bytes": 100}
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from cachelens.config import AdmissionConfig, CacheConfig, DbConfig, EvictionConfig, LifetimeConfig
 from cachelens.operators import admission, lifetime, queues, replay, storage, telemetry, workers
 from cachelens.plans import catalogue
+from cachelens.sources.tables import written
 
 SMALL = AdmissionConfig(capacity=16, shards=2, min_table=8, sample_multiplier=3, door_bits=4)
 
@@ -37,6 +38,22 @@ def test_sketch_equals_sequential(spark, seed):
     assert {(r.candidate, r.allow) for r in allowed} == {(a, model.allow(a, b)) for a, b in pairs}
 
 
+def test_sketch_advances_batch_by_batch(spark):
+    stream = hashes(240, 30, 4)
+    model, sketch = replay.Admitter(SMALL), admission.Sketch.empty(spark)
+    for begin in range(0, 240, 60):
+        log = spark.createDataFrame(list(enumerate(stream))[begin : begin + 60], "seq long, key_hash long")
+        sketch = admission.advanced(log, sketch, SMALL)
+        sketch = admission.Sketch(*(written(x, "sketch") for x in (sketch.bits, sketch.table, sketch.adds)))
+        for h in stream[begin : begin + 60]:
+            model.record(h)
+        table = {(r.shard, r.idx): r.counter for r in sketch.table.collect()}
+        assert [[table.get((s, i), 0) for i in range(SMALL.table_len)] for s in range(SMALL.shards)] == model.table
+        assert {(r.shard, r.bit) for r in sketch.bits.collect()} == {(s, b) for s, d in enumerate(model.door) for b in d}
+        adds = {r.shard: r.adds for r in sketch.adds.collect()}
+        assert [adds.get(s, 0) for s in range(SMALL.shards)] == model.adds
+
+
 def test_admitter_gates_and_ages():
     a = replay.Admitter(AdmissionConfig())
     found = []
