@@ -32,18 +32,30 @@ INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins
 BREAKOUT = set("blockquote body div dl dt dd h1 h2 h3 h4 h5 h6 hr li main ol p pre section table ul article".split())
 #: Elements that a new one of the key ends.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
-AWAY = {"nav", "header", "footer", "aside", "form", "button", "select", "dialog", "menu", "fieldset", "label", "svg"}
+AWAY = {"nav", "header", "footer", "aside", "button", "select", "dialog", "menu", "fieldset", "label", "svg"}
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
-NEGATIVE = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|advertising|banner|sponsor(?:ed)?|promo(?:tion)?s?|cookies?|consent|gdpr|notice|popup|modal|overlay|newsletter|subscribe|signup|login|nav|navbar|navigation|menu|breadcrumbs?|"
-    r"sidebar|side|rail|widgets?|related|recommend(?:ed|ations)?|share|sharing|social|comments?|commentlist|discussion|replies|reply|respond|disqus|footer|foot|header|masthead|topbar|pagination|pager|tags?|toolbar|search|copyright|legal|skip|alert)(?:$|[\s_-]|\d)",
+#: Words of classes and ids by which what isn't the main text is marked, those that sections of a text may have as well,
+#: and those of headers, which belong to the text inside it. An id made of a heading's words is no mark for UNSURE ones.
+BOUND = r"(?:^|[\s_-])(?:{})(?:$|[\s_-]|\d)"
+STRONG = re.compile(
+    BOUND.format(
+        r"ads?|adverts?|advertisement|advertising|banner|sponsor(?:ed)?|promo(?:tion)?s?|cookies?|consent|gdpr|notice|popup|modal|newsletter|subscribe|signup|login|nav|navbar|navigation|menu|breadcrumbs?|"
+        r"sidebar|widgets?|related|recommend(?:ed|ations)?|share|sharing|social|comments?|commentlist|replies|reply|respond|disqus|footer|masthead|topbar|pagination|pager|toolbar|copyright|skip"
+    ),
     re.I,
 )
+UNSURE = re.compile(BOUND.format(r"banner|sponsor(?:ed)?|promo(?:tion)?s?|consent|notice|menu|related|recommend(?:ed|ations)?|share|sharing|social|replies|reply|respond|copyright|skip"), re.I)
+WEAK = re.compile(BOUND.format(r"side|rail|tags?|search|legal|alert|foot|overlay|discussion"), re.I)
+HEADS = re.compile(BOUND.format(r"header|head"), re.I)
+#: Classes that tell what a page has or hasn't, and frames around the main text and others.
+ABOUT = re.compile(r"(?:has|with|no|without|is|tag|category)[_-]", re.I)
+FRAME = re.compile(r"(?:article|content|main|post|entry|story|body)[_-].*(?:wrap|wrapper|container|layout|grid|row)$", re.I)
 POSITIVE = re.compile(r"(?:^|[\s_-])(?:article|articlebody|content|main|post|entry|story|body|text|blogpost|prose)(?:$|[\s_-]|\d)", re.I)
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "menu", "menubar", "alertdialog"}
 
 # Weights of the block classifier: the score is content's log odds.
-BIAS, IN_ARTICLE, IN_MAIN, MARKED_GOOD, MARKED_BAD, AWAY_TAG = 0.2, 3.0, 1.5, 1.5, -5.0, -6.0
+# Two marks (a strong one counts twice) or an element that is never text outweigh all that speaks for content.
+BIAS, IN_ARTICLE, IN_MAIN, MARKED_GOOD, MARKED_BAD, AWAY_TAG = 0.2, 3.0, 1.5, 1.5, -6.0, -12.0
 LINKED, LENGTH, SENTENCE, HEADING, CONTROL = -4.0, 0.6, 0.4, 0.3, -1.0
 #: Smoothness of neighbours, and what is added in the same container; both shrink with the gap between containers.
 #: APART: of a block and the one before it in its container, with others between.
@@ -51,38 +63,53 @@ NEAR, SAME, APART = 0.4, 0.5, 0.2
 
 
 class Block:
-    """depth: containers around it; home: the number of the outer one of the last two; shared: those in common with the block before."""
+    """depth: containers around it; home: the number of the outer one of the last two; shared: those in common with the block before.
 
-    __slots__ = ("parts", "linked", "size", "depth", "home", "shared", "good", "bad", "article", "main", "away", "heading", "item")
+    linked and marked: the words in links and in inline elements that are marked.
+    """
+
+    __slots__ = ("parts", "linked", "marked", "size", "depth", "home", "shared", "good", "bad", "article", "main", "away", "heading", "item")
 
     def __init__(self, depth: int, home: int, shared: int, state: tuple, tag: str):
-        self.parts, self.linked, self.size = [], 0, 0
+        self.parts, self.linked, self.marked, self.size = [], 0, 0, 0
         self.depth, self.home, self.shared = depth, home, shared
-        self.article, self.main, self.good, self.bad, self.away = state
+        self.article, self.main, self.good, self.bad, self.away = *state[:4], state[4] + state[5]
         self.heading, self.item = tag in ("h1", "h2", "h3", "h4", "h5", "h6"), tag in ("li", "option")
 
 
+def mark_of(names: dict[str, str], tag: str, inside: bool) -> tuple[int, bool]:
+    """How surely an element's class and id mark it as other than main text (0 to 2), and whether they mark it as such."""
+    if tag in ("html", "body") or not ("class" in names or "id" in names):
+        return 0, False
+    split = [re.sub(r"(?<=[a-z])(?=[A-Z])", "-", names.get(k, "")) for k in ("class", "id")]
+    classes = " ".join(w for w in split[0].split() if not ABOUT.match(w) and not FRAME.match(w))
+    own = "" if tag in ("p", "h1", "h2", "h3", "h4", "h5", "h6") or FRAME.match(split[1]) else split[1]
+    if STRONG.search(classes) or STRONG.search(own) and not UNSURE.search(own):
+        return 2, False
+    if WEAK.search(classes) or UNSURE.search(own) or not inside and (WEAK.search(own) or HEADS.search(f"{classes} {own}")):
+        return 1, False
+    return 0, bool(POSITIVE.search(" ".join(split)))
+
+
 def element_state(state: tuple, tag: str, attributes: str) -> tuple:
-    """(article, main, good, bad, away) inside an element."""
-    article, main, good, bad, away = state
+    """(article, main, good, bad, away, forms) inside an element."""
+    article, main, good, bad, away, forms = state
     names = {k.lower(): a or b or c for k, a, b, c in ATTRIBUTE.findall(attributes)} if "=" in attributes else {}
-    marks = " ".join(re.sub(r"(?<=[a-z])(?=[A-Z])", "-", names.get(k, "")) for k in ("class", "id"))
     role = names.get("role", "").lower()
-    if tag == "article":
-        # An article within comments or a sidebar doesn't lead back to the main text.
-        article += not bad and not away
-    if tag == "main" or role == "main":
-        main += 1
-    if tag in AWAY and not (tag == "header" and article) or role in ROLES:
+    inside = bool(article or main or good)
+    marks, is_good = mark_of(names, tag, inside)
+    if tag == "main" or role == "main":  # there is one, whatever its frame is called
+        main, bad, away, forms = main + 1, 0, 0, 0
+    if tag == "article" and not (bad or away or marks):
+        # An article within comments or a sidebar doesn't lead back to the main text; a form around it is the page's.
+        article, forms = article + 1, 0
+    bad, good = bad + marks, good + is_good
+    forms += tag == "form"
+    if tag in AWAY and not (tag == "header" and inside) or role in ROLES:
         away += 1
-    if marks.strip():
-        if NEGATIVE.search(marks):
-            bad += 1
-        elif POSITIVE.search(marks):
-            good += 1
     if "hidden" in re.split(r"[\s=]", attributes.lower()) or names.get("aria-hidden") == "true" or HIDDEN.search(names.get("style", "")):
-        away += 2
-    return article, main, good, bad, away
+        away += 1
+    return article, main, good, bad, away, forms
 
 
 def skipped(page: str, at: int) -> int:
@@ -124,8 +151,8 @@ def tag_end(page: str, at: int, quotes: dict[str, int]) -> int:
 def blocks_of(page: str) -> list[Block]:
     """The page's text blocks in order, without scripts, styles and comments."""
     out: list[Block] = []
-    # Of each open element: tag and state; of the container that it is or is in: tag, number, the one around it, depth.
-    stack: list[tuple] = [("", (0, 0, 0, 0, 0), "", 0, -1, 1)]
+    # Of each open element: tag and state; of the container that it is or is in: state, tag, number, the one around it, depth.
+    stack: list[tuple] = [("", (0,) * 6, (0,) * 6, "", 0, -1, 1)]
     is_open = Counter()
     number, block, links, low = 0, None, 0, 1
 
@@ -135,7 +162,7 @@ def blocks_of(page: str) -> list[Block]:
             is_open[element[0]] -= 1
             links -= element[0] == "a"
         del stack[k:]
-        low = min(low, stack[-1][5])
+        low = min(low, stack[-1][6])
 
     def text(raw: str) -> None:
         nonlocal block, low
@@ -144,7 +171,7 @@ def blocks_of(page: str) -> list[Block]:
         if block is None:
             if raw.isspace():
                 return
-            _, state, tag, _, home, depth = stack[-1]
+            _, _, state, tag, _, home, depth = stack[-1]
             block = Block(depth, home, min(low, depth), state, tag)
             low = depth
             out.append(block)
@@ -153,6 +180,7 @@ def blocks_of(page: str) -> list[Block]:
         size = len(raw.split())
         block.size += size
         block.linked += size if links else 0
+        block.marked += size if stack[-1][1][3:] != stack[-1][2][3:] else 0
 
     pos, end = 0, len(page)
     quotes = {q: page.rfind(q) for q in "\"'"}
@@ -207,7 +235,7 @@ def blocks_of(page: str) -> list[Block]:
         number += 1
         _, state, *around = stack[-1]
         state = element_state(state, tag, attributes)
-        stack.append((tag, state, *around) if tag in INLINE else (tag, state, tag, number, around[1], around[3] + 1))
+        stack.append((tag, state, *around) if tag in INLINE else (tag, state, state, tag, number, around[2], around[4] + 1))
         is_open[tag] += 1
         links += tag == "a"
     return out
@@ -220,7 +248,9 @@ def score(block: Block, page_has_article: bool) -> float:
         value += IN_ARTICLE
     elif page_has_article:
         value -= 2 * IN_ARTICLE
-    value += IN_MAIN * bool(block.main) + MARKED_GOOD * bool(block.good) + MARKED_BAD * min(block.bad, 2) + AWAY_TAG * min(block.away, 2)
+    value += IN_MAIN * bool(block.main) + MARKED_GOOD * bool(block.good) + MARKED_BAD * min(block.bad, 2) + AWAY_TAG * min(block.away, 1)
+    if block.size and block.marked == block.size:
+        value += 2 * MARKED_BAD
     last = block.parts[-1].rstrip()[-1:] if block.parts else ""
     value += SENTENCE * (last in ".!?…。") + HEADING * block.heading + CONTROL * block.item
     return value

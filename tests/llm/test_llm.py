@@ -181,6 +181,27 @@ def test_broken_pages(page, text):
     assert html_extract.main_text(page) == text
 
 
+LONG = " ".join(f"word {i} runs over the quiet hill and back again" for i in range(12)) + "."
+
+
+@pytest.mark.parametrize("page", [
+    "<main><article>{a}<aside><p>BAD {x}</p></aside>{b}<footer><p>BAD {x}</p></footer></article></main>",
+    "<main><article>{a}<div class='ad'>BAD {x}</div>{b}<section class='comments'><p>BAD {x}</p><p>BAD {x}</p></section></article></main>",
+    "<main><article>{a}{b}</article><article class='comment'><p>BAD {x}</p></article></main>",
+    "<article>{a}<form>BAD {x}</form><div role='complementary'>BAD {x}</div><div class='relatedPosts'><p>BAD {x}</p></div>{b}</article>",
+    "<body class='with-sidebar no-comments legal'><article class='post tag-social'>{a}{b}</article></body>",
+    "<div class='content-sidebar-wrap'><main class='content'>{a}{b}</main><div class='sidebar'><p>BAD {x}</p></div></div>",
+    "<form id='page'><div class='menu'>BAD</div><article>{a}{b}</article><div class='reader-comments'>BAD {x}</div></form>",
+    "<main><header class='entry-header'>{a}</header>{b}</main><header><p>BAD {x}</p></header>",
+    "<article>{a}<p><span class='share'>BAD</span></p><section id='discussion'><h2 id='notice'>A heading</h2>{b}</section></article>",
+    "<article>{a}<div class='newsletter-signup'>BAD {x}</div><nav><p>BAD {x}</p></nav><div hidden><p>BAD {x}</p></div>{b}</article>",
+])
+def test_what_is_not_main_text_goes_however_long(page):
+    text = html_extract.main_text(page.format(a=f"<p>First. {LONG}</p>", b=f"<p><b class='tag'>Last.</b> {LONG}</p>", x=LONG))
+    heading = "A heading " if "<h2" in page else ""
+    assert text == f"First. {LONG} {heading}Last. {LONG}"
+
+
 def test_hostile_pages_take_linear_time():
     blocks = "".join(f"<p>word {i} is here in a sentence.</p><div class='ad'>Buy {i}</div>" for i in range(8000))
     items = "".join(f"<li>word {i}</li><li><a>link</a></li>" for i in range(15000))
