@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .base import text_or_empty
 
@@ -82,50 +83,70 @@ def may_have(text: str, rows: list[tuple[str, list[str]]], least: float) -> Colu
     return F.lower(text).rlike(f"(?<![a-z0-9])(?:{'|'.join(telling)})(?![a-z0-9])")
 
 
+def size_bounds(rows: list[tuple[str, list[str]]], least: float) -> tuple[float, float]:
+    """How many bigrams a unit has at least and at most that reaches ``least`` with some template."""
+    sizes = [len(grams) for _, grams in rows]
+    return min(sizes) * least / (2 - least) - 1e-9, max(sizes) * (2 - least) / least + 1e-9
+
+
 def embedded(documents: DataFrame, rows: list[tuple[str, list[str]]], units: list[tuple[str, list[str]]], least: float) -> DataFrame:
     """(doc_id, line, license, dice) of the best windows of each text that don't overlap, by their first word's line.
 
-    A window begins and ends at bigrams of a template and has up to (2 - least) / least times as many. The
-    windows of all templates are taken by coefficient, then by length, place and name. One that touches a
-    line which as a unit reaches ``least`` with a template of ``units``, or of a text that does, is left out.
+    A window begins and ends at bigrams of a template and has up to (2 - least) / least times as many. One that
+    touches a line which as a unit reaches ``least`` with a template of ``units``, or of a text that does, is left
+    out. The windows of all templates are then taken by coefficient, length, place and name; only those of a run
+    that hangs together are compared, so a text with many notices takes time in proportion to them.
     """
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).filter(may_have("text", rows, least))
-    words = F.flatten(F.transform(F.split("text", "\n", -1), lambda x, k: F.transform(words_in(x), lambda w: F.struct((k + 1).alias("line"), w.alias("word")))))
-    docs = computed(docs, ["doc_id"], "words", words, F.lit(True))
+    docs = docs.withColumn("row", F.monotonically_increasing_id())
+    keep = ["doc_id", "row", "lines"]
+    docs = computed(docs, ["doc_id", "row"], "lines", F.transform(F.split("text", "\n", -1), words_in), F.lit(True))
+    words = F.flatten(F.transform("lines", lambda ws, k: F.transform(ws, lambda w: F.struct((k + 1).alias("line"), w.alias("word")))))
+    docs = computed(docs, keep, "words", words, F.lit(True))
     pairs = F.transform(F.sequence(F.lit(0), F.size("words") - 2), lambda i: F.concat(F.get("words", i)["word"], F.lit(" "), F.get("words", i + 1)["word"]))
-    docs = computed(docs, ["doc_id", "words"], "grams", pairs, F.size("words") >= 2)
+    docs = computed(docs, [*keep, "words"], "grams", pairs, F.size("words") >= 2)
     known = F.array(*[F.struct(F.lit(name).alias("name"), F.array(*[F.lit(g) for g in grams]).alias("theirs"), F.lit(int(len(grams) * (2 - least) / least + 1e-9)).alias("most"), F.lit(len(grams) * least / (2 - least) - 1e-9).alias("fewest")) for name, grams in rows])
-    docs = computed(docs, ["doc_id", "words", "grams"], "able", F.filter(known, lambda t: F.size(F.array_intersect("grams", t["theirs"])) >= t["fewest"]), F.lit(True)).filter(F.size("able") > 0)
+    docs = computed(docs, [*keep, "words", "grams"], "able", F.filter(known, lambda t: F.size(F.array_intersect("grams", t["theirs"])) >= t["fewest"]), F.lit(True)).filter(F.size("able") > 0)
+    theirs = F.array(*[F.array(*[F.lit(g) for g in grams]) for _, grams in units])
+    fewest, largest = size_bounds(units, least)
+
+    def is_unit(grams: Column) -> Column:
+        return F.exists(theirs, lambda t: F.round(2.0 * F.size(F.array_intersect(grams, t)) / (F.size(grams) + F.size(t)), 9) >= least)
+
+    docs = computed(docs, [*keep, "words", "grams", "able"], "whole", F.array_distinct("grams"), F.lit(True))
+    docs = docs.filter(~(F.size("whole").between(fewest, largest) & is_unit(F.col("whole"))))
+    # Of each line, its bigrams if it may be a notice by itself; then, whether it is one.
+    telling = F.array(*[F.lit(w) for w in sorted({w for _, grams in units for w in telling_words(grams, least)})])
+    bigrams_of = F.transform("lines", lambda ws: F.when((F.size(ws) >= 2) & F.arrays_overlap(ws, telling), F.array_distinct(F.transform(F.sequence(F.lit(0), F.size(ws) - 2), lambda i: F.concat(F.get(ws, i), F.lit(" "), F.get(ws, i + 1))))))
+    docs = computed(docs, ["doc_id", "row", "words", "grams", "able"], "by_line", bigrams_of, F.lit(True))
+    noted = F.transform("by_line", lambda gs: F.when(F.size(gs).between(fewest, largest), is_unit(gs)).otherwise(F.lit(False)))
+    docs = computed(docs, ["doc_id", "row", "words", "grams", "able"], "noted", noted, F.lit(True))
     # Where a template's bigrams are; then, from each of these places on, those within the longest window.
     places = F.transform("able", lambda t: t.withField("places", F.filter(F.sequence(F.lit(0), F.size("grams") - 1), lambda i: F.array_contains(t["theirs"], F.get("grams", i)))))
-    docs = computed(docs, ["doc_id", "words", "grams"], "placed", places, F.lit(True))
+    docs = computed(docs, ["doc_id", "row", "words", "grams", "noted"], "placed", places, F.lit(True))
 
     def window(t: Column, p: Column, q: Column) -> Column:
         own = F.array_distinct(F.slice("grams", p + 1, q - p + 1))
         dice = F.round(2.0 * F.size(F.array_intersect(own, t["theirs"])) / (F.size(own) + F.size(t["theirs"])), 9)
-        return F.struct((-dice).alias("order"), (p - q).alias("short"), p.alias("p"), t["name"].alias("name"), q.alias("q"))
+        return F.struct((-dice).alias("order"), (p - q).alias("short"), p.alias("p"), t["name"].alias("name"), q.alias("q"), F.get("words", p)["line"].alias("line"))
 
     def windows(t: Column) -> Column:
         near = F.transform(t["places"], lambda p, k: F.filter(F.slice(t["places"], k + 1, t["most"]), lambda q: q < p + t["most"]))
         near = F.filter(near, lambda qs: F.size(qs) >= t["fewest"])
         return F.filter(F.flatten(F.transform(near, lambda qs: F.transform(qs, lambda q: window(t, F.get(qs, F.lit(0)), q)))), lambda x: x["order"] <= -least)
 
-    docs = computed(docs, ["doc_id", "words", "grams"], "found", F.array_sort(F.flatten(F.transform("placed", windows))), F.lit(True)).filter(F.size("found") > 0)
-    none = F.array().cast("array<struct<order:double,short:int,p:int,name:string,q:int>>")
-    taken = F.aggregate("found", none, lambda held, x: F.when(F.exists(held, lambda y: (x["p"] <= y["q"] + 1) & (y["p"] <= x["q"] + 1)), held).otherwise(F.concat(held, F.array(x))))
-    docs = docs.select("doc_id", "words", "grams", F.explode(taken).alias("x"))
-    whole = F.array_distinct("grams")
-    theirs = F.array(*[F.array(*[F.lit(g) for g in grams]) for _, grams in units])
+    def touches(x: Column) -> Column:
+        return F.exists(F.slice("words", x["p"] + 1, x["q"] - x["p"] + 2), lambda w: F.get("noted", w["line"] - 1))
 
-    def is_unit(grams: Column) -> Column:
-        return F.exists(theirs, lambda t: F.round(2.0 * F.size(F.array_intersect(grams, t)) / (F.size(grams) + F.size(t)), 9) >= least)
-
-    lines = F.transform(F.sequence(F.get("words", F.col("x.p"))["line"], F.get("words", F.col("x.q") + 1)["line"]), lambda n: F.transform(F.filter("words", lambda w: w["line"] == n), lambda w: w["word"]))
-    docs = computed(docs, ["doc_id", "words", "grams", "x"], "lines", F.filter(lines, lambda ws: F.size(ws) >= 2), F.lit(True))
-    bigrams_of = F.transform("lines", lambda ws: F.array_distinct(F.transform(F.sequence(F.lit(0), F.size(ws) - 2), lambda i: F.concat(F.get(ws, i), F.lit(" "), F.get(ws, i + 1)))))
-    docs = computed(docs, ["doc_id", "words", "x", "grams"], "touched", F.concat(bigrams_of, F.array(whole)), F.lit(True))
-    docs = docs.filter(~F.exists("touched", is_unit))
-    return docs.select("doc_id", F.get("words", F.col("x.p"))["line"].cast("int").alias("line"), F.col("x.name").alias("license"), (-F.col("x.order")).alias("dice"))
+    docs = computed(docs, ["doc_id", "row", "words", "noted"], "found", F.flatten(F.transform("placed", windows)), F.lit(True))
+    found = docs.select("doc_id", "row", F.explode(F.filter("found", lambda x: ~touches(x))).alias("x"))
+    by_place = Window.partitionBy("row").orderBy("x.p", "x.q", "x.name")
+    found = found.withColumn("upto", F.max("x.q").over(by_place.rowsBetween(Window.unboundedPreceding, -1)))
+    found = found.withColumn("run", F.sum(F.when(F.col("x.p") > F.col("upto") + 1, 1).otherwise(0)).over(by_place.rowsBetween(Window.unboundedPreceding, 0)))
+    found = found.groupBy("row", "run").agg(F.first("doc_id").alias("doc_id"), F.array_sort(F.collect_list("x")).alias("found"))
+    none = F.array().cast("array<struct<order:double,short:int,p:int,name:string,q:int,line:int>>")
+    taken = F.aggregate("found", none, lambda held, x: F.when(F.exists(held, lambda y: (x["p"] <= y["q"] + 1) & (y["p"] <= x["q"] + 1)), held).otherwise(F.concat(held, F.array(x))))
+    return found.select("doc_id", F.explode(taken).alias("x")).select("doc_id", F.col("x.line").cast("int").alias("line"), F.col("x.name").alias("license"), (-F.col("x.order")).alias("dice"))
 
 
 def scan_licenses(documents: DataFrame, templates: dict | None = None, least: float = LEAST_DICE) -> DataFrame:

@@ -604,6 +604,61 @@ furnished to do so, subject to the following conditions:"""
     assert got == [(0, 1, "MIT"), (0, 1, "MIT"), (1, 5, "MIT"), (2, 2, "BSD-3-Clause"), (3, 2, "GPL-3.0"), (4, 1, "MIT"), (5, 1, "CC-BY-NC-4.0"), (6, 1, "MIT"), (6, 2, "MIT")]
 
 
+def test_license_windows_equal_a_plain_model(spark):
+    units = licenses.template_rows(licenses.TEMPLATES)
+    known = units + licenses.template_rows(licenses.PASSAGES)
+    most = {id(g): int(len(g) * (2 - 0.85) / 0.85 + 1e-9) for _, g in known}
+
+    def dice(a, b):
+        return round(2 * len(a & b) / (len(a) + len(b)), 9)
+
+    def model(text):
+        lines = [licenses.normalised(x) for x in text.split("\n")]
+        words = [(k + 1, w) for k, ws in enumerate(lines) for w in ws]
+        grams = [f"{a[1]} {b[1]}" for a, b in zip(words, words[1:])]
+        notices = {k + 1 for k, ws in enumerate(lines) if len(ws) > 1 and any(dice(set(licenses.bigrams(ws)), set(g)) >= 0.85 for _, g in units)}
+        if grams and any(dice(set(grams), set(g)) >= 0.85 for _, g in units):
+            return []
+        found = []
+        for name, g in known:
+            at = [i for i, x in enumerate(grams) if x in g]
+            for p in at:
+                for q in (q for q in at if p <= q < p + most[id(g)]):
+                    own = set(grams[p : q + 1])
+                    if dice(own, set(g)) >= 0.85 and not notices & {words[i][0] for i in range(p, q + 2)}:
+                        found.append((-dice(own, set(g)), p - q, p, name, q))
+        taken = []
+        for x in sorted(set(found)):
+            if all(x[2] > y[4] + 1 or y[2] > x[4] + 1 for y in taken):
+                taken.append(x)
+        return [(words[x[2]][0], x[3], -x[0]) for x in taken]
+
+    rng = random.Random(11)
+    notices = [t for ts in (*licenses.TEMPLATES.values(), *licenses.PASSAGES.values()) for t in ts]
+    texts = []
+    for _ in range(60):
+        words = []
+        for _ in range(rng.randrange(1, 7)):
+            notice = rng.choice(notices).split()
+            if rng.random() < 0.3:
+                notice[rng.randrange(len(notice))] = "other"
+            words += ["one", "more"][: rng.randrange(3)] + notice + ["\n"][: rng.randrange(2)]
+        texts.append(" ".join("\n" if rng.random() < 0.08 else w for w in words))
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(7, texts[7])], "doc_id long, text string")
+    got = sorted((r.doc_id, r.line, r.license, r.dice) for r in licenses.embedded(docs, known, units, 0.85).collect())
+    assert got == sorted((i, *x) for i, t in [*enumerate(texts), (7, texts[7])] for x in model(t))
+    assert len(got) > 60
+
+
+def test_license_scan_of_a_text_with_thousands_of_notices(spark):
+    wrapped = "\n".join(f"this work {i} is released under\nthe mit license and more words follow" for i in range(6000))
+    rows = spark.createDataFrame([(1, wrapped), (2, "\n".join(["Released under the MIT License."] * 6000))], "doc_id long, text string")
+    began = time.time()
+    got = licenses.scan_licenses(rows).groupBy("doc_id").count().collect()
+    assert {r.doc_id: r["count"] for r in got} == {1: 6000, 2: 6001}
+    assert time.time() - began < 60
+
+
 def test_warc_round_trip(spark):
     rows = [(3, "u", "same"), (1, None, "same"), (1, None, "same"), (5, "http://x\r\ny", "é\r\n\r\nWARC/1.1\r\n"), (6, "u", None), (7, "u", ""), (None, "u", "same"), (9, "u", "w" * 200000)]
     got = sorted(((r.page_id or 0, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in warc.archive_pages(spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("sha1", F.lit(1))).collect()), key=repr)
