@@ -604,6 +604,14 @@ furnished to do so, subject to the following conditions:"""
     assert got == [(0, 1, "MIT"), (0, 1, "MIT"), (1, 5, "MIT"), (2, 2, "BSD-3-Clause"), (3, 2, "GPL-3.0"), (4, 1, "MIT"), (5, 1, "CC-BY-NC-4.0"), (6, 1, "MIT"), (6, 2, "MIT")]
 
 
+def test_each_license_is_told_from_the_others(spark):
+    rows = [(name, t) for name, ts in licenses.TEMPLATES.items() for t in ts]
+    rows += [(name, f"before it\n{t}\nafter it") for name, ts in licenses.PASSAGES.items() for t in ts]
+    docs = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(rows)], "doc_id long, text string")
+    best = licenses.scan_licenses(docs).groupBy("doc_id").agg(F.max(F.struct("dice", "license")).alias("x"), F.count("*").alias("n")).collect()
+    assert {r.doc_id: (r.x.license, r.x.dice, r.n) for r in best} == {i: (name, 1.0, 1) for i, (name, _) in enumerate(rows)}
+
+
 def test_license_windows_equal_a_plain_model(spark):
     units = licenses.template_rows(licenses.TEMPLATES)
     known = units + licenses.template_rows(licenses.PASSAGES)
