@@ -57,6 +57,10 @@ ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form
 # Two marks (a strong one counts twice) or an element that is never text outweigh all that speaks for content.
 BIAS, IN_ARTICLE, IN_MAIN, MARKED_GOOD, MARKED_BAD, AWAY_TAG = 0.2, 3.0, 1.5, 1.5, -6.0, -12.0
 LINKED, LENGTH, SENTENCE, HEADING, CONTROL = -4.0, 0.6, 0.4, 0.3, -1.0
+#: On a page that nothing marks the main text of, but that has blocks of LONG_WORDS: of a block outside lists, tables and headings.
+BARE, LONG_WORDS = -1.4, 25
+#: Of a short block that says whose the page is.
+RIGHTS = -3.0
 #: Smoothness of neighbours, and what is added in the same container; both shrink with the gap between containers.
 #: APART: of a block and the one before it in its container, with others between.
 NEAR, SAME, APART = 0.4, 0.5, 0.2
@@ -68,13 +72,14 @@ class Block:
     linked and marked: the words in links and in inline elements that are marked.
     """
 
-    __slots__ = ("parts", "linked", "marked", "size", "depth", "home", "shared", "good", "bad", "article", "main", "away", "heading", "item")
+    __slots__ = ("parts", "linked", "marked", "size", "depth", "home", "shared", "good", "bad", "article", "main", "away", "heading", "item", "plain")
 
     def __init__(self, depth: int, home: int, shared: int, state: tuple, tag: str):
         self.parts, self.linked, self.marked, self.size = [], 0, 0, 0
         self.depth, self.home, self.shared = depth, home, shared
         self.article, self.main, self.good, self.bad, self.away = *state[:4], state[4] + state[5]
         self.heading, self.item = tag in ("h1", "h2", "h3", "h4", "h5", "h6"), tag in ("li", "option")
+        self.plain = not self.heading and tag not in ("li", "dt", "dd", "td", "th", "caption", "pre", "blockquote", "figcaption")
 
 
 def mark_of(names: dict[str, str], tag: str, inside: bool) -> tuple[int, bool]:
@@ -241,7 +246,10 @@ def blocks_of(page: str) -> list[Block]:
     return out
 
 
-def score(block: Block, page_has_article: bool) -> float:
+RIGHTS_TEXT = re.compile(r"\s*(?:©|\(c\)\s|copyright\b)|all rights reserved", re.I)
+
+
+def score(block: Block, page_has_article: bool, bare: bool = False) -> float:
     """The classifier's log odds that a block is content."""
     value = BIAS + LINKED * block.linked / max(block.size, 1) + LENGTH * min(math.log1p(block.size), 4)
     if block.article:
@@ -251,8 +259,11 @@ def score(block: Block, page_has_article: bool) -> float:
     value += IN_MAIN * bool(block.main) + MARKED_GOOD * bool(block.good) + MARKED_BAD * min(block.bad, 2) + AWAY_TAG * min(block.away, 1)
     if block.size and block.marked == block.size:
         value += 2 * MARKED_BAD
+    value += BARE * (bare and block.plain)
+    if block.size < LONG_WORDS and RIGHTS_TEXT.search("".join(block.parts)):
+        value += RIGHTS
     last = block.parts[-1].rstrip()[-1:] if block.parts else ""
-    value += SENTENCE * (last in ".!?…。") + HEADING * block.heading + CONTROL * block.item
+    value += SENTENCE * (last in ".!?…。") + HEADING * block.heading + CONTROL * block.item * (1 if block.linked else 0.5)
     return value
 
 
@@ -354,7 +365,8 @@ def main_text(page: str | None) -> str:
     if not blocks:
         return ""
     has = any(b.article for b in blocks)
-    costs = [score(b, has) for b in blocks]
+    bare = not any(b.article or b.main or b.good for b in blocks) and any(b.size - b.linked >= LONG_WORDS for b in blocks)
+    costs = [score(b, has, bare) for b in blocks]
     edges = []
     last: dict[int, int] = {}
     for i, block in enumerate(blocks):

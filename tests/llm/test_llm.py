@@ -195,6 +195,8 @@ LONG = " ".join(f"word {i} runs over the quiet hill and back again" for i in ran
     "<main><header class='entry-header'>{a}</header>{b}</main><header><p>BAD {x}</p></header>",
     "<article>{a}<p><span class='share'>BAD</span></p><section id='discussion'><h2 id='notice'>A heading</h2>{b}</section></article>",
     "<article>{a}<div class='newsletter-signup'>BAD {x}</div><nav><p>BAD {x}</p></nav><div hidden><p>BAD {x}</p></div>{b}</article>",
+    "<div>BAD <a href='x'>home</a></div><div>BAD</div><div>{a}<h2 id='notice'>A heading</h2>{b}</div><div>&copy; 2020 BAD Ltd. All rights reserved.</div>",
+    "<table><tr><td>BAD</td><td><a href='x'>BAD</a></td></tr></table><div><div>BAD menu</div></div><div>{a}{b}</div><div><div>Copyright BAD</div></div>".replace("<td>BAD</td>", ""),
 ])
 def test_what_is_not_main_text_goes_however_long(page):
     text = html_extract.main_text(page.format(a=f"<p>First. {LONG}</p>", b=f"<p><b class='tag'>Last.</b> {LONG}</p>", x=LONG))
