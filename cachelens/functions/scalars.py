@@ -17,12 +17,16 @@ def weight(payload: Column) -> Column:
 
 
 def fmt_mem(size: Column) -> Column:
-    """A byte count in its two largest units of 1024, as in "1KB 512B"."""
+    """A byte count in its two largest units of 1024, as in "1KB 512B"; a whole number, also a decimal without fraction.
+
+    The remainder goes before a division: a quotient as double or decimal would be rounded up just below a whole one.
+    """
     units = ["B", "KB", "MB", "GB", "TB"]
     out = F.concat(size.cast("string"), F.lit("B"))
     for k in range(1, 5):
         big, small = 1 << 10 * k, 1 << 10 * (k - 1)
-        parts = F.concat(F.floor(size / F.lit(big)).cast("string"), F.lit(units[k] + " "), F.floor((size % big) / F.lit(small)).cast("string"), F.lit(units[k - 1]))
+        rest = (size % F.lit(big)).cast("long")
+        parts = F.concat(F.floor((size - rest) / F.lit(big)).cast("string"), F.lit(units[k] + " "), F.floor(rest / F.lit(small)).cast("string"), F.lit(units[k - 1]))
         out = F.when(size >= big, parts).otherwise(out)
     return out
 

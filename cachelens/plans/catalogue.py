@@ -273,8 +273,12 @@ SIZES = "(o_orderkey * o_orderkey * o_custkey)"
 
 @query(f"SELECT o_orderkey, {fmt_sql(SIZES)} AS size FROM orders")
 def fmt_mem_sizes(spark, sf_dir):
-    rows = table(spark, sf_dir, "orders")
-    return rows.select("o_orderkey", fmt_mem(F.col("o_orderkey") * F.col("o_orderkey") * F.col("o_custkey")).alias("size"))
+    """Sizes made of keys, as a decimal where a long may overflow: exact up to 38 digits, an error beyond (SQL's end at a BIGINT)."""
+    key, cust = F.col("o_orderkey"), F.col("o_custkey")
+    wide, about = key.cast("decimal(20,0)"), key.cast("double") * key
+    fits = F.greatest(about, F.abs(about * cust)) < 9e18
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", F.when(fits, key * key * cust).alias("short"), F.when(~fits, wide * wide * cust).alias("wide"))
+    return rows.select("o_orderkey", F.coalesce(fmt_mem(F.col("short")), fmt_mem(F.col("wide"))).alias("size"))
 
 
 @query("SELECT o_orderkey, (CASE WHEN o_custkey <= 1 THEN 1 ELSE 1::BIGINT << length(bin(o_custkey - 1)) END)::BIGINT AS pow2 FROM orders")

@@ -1,5 +1,7 @@
 """Scalar tables and key functions."""
 
+from decimal import Decimal
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -32,6 +34,13 @@ def test_fmt_mem(spark):
     assert column(spark, list(table), "long", fmt_mem) == list(table.values())
 
 
+def test_fmt_mem_does_not_round_up(spark):
+    t = 1 << 40
+    assert column(spark, [(1 << 60) - 1, (1 << 63) - 1, 8193 * t - 1, None], "long", fmt_mem) == ["1048575TB 1023GB", "8388607TB 1023GB", "8192TB 1023GB", None]
+    table = {1023: "1023B", t - 1: "1023GB 1023MB", (1 << 100) - 1: f"{(1 << 60) - 1}TB 1023GB", 10**38 - 1: f"{(10**38 - 1) // t}TB {(10**38 - 1) % t >> 30}GB"}
+    assert column(spark, [Decimal(v) for v in table], "decimal(38,0)", fmt_mem) == list(table.values())
+
+
 def test_payload_equality(spark):
     base = "x" * 100
     at = lambda k: base[:k] + "y" + base[k + 1 :]
